@@ -29,7 +29,7 @@ from .words import batches
 
 MAGIC, BLOCK = b"VDAC1", 512
 SEGMENT_TOKENS = 1 << 20
-MEMO = 600_000
+MEMO = 1_200_000  # stretches to remember in a process, about 200 bytes each
 
 
 def encode_segment(ids: np.ndarray, ends: np.ndarray) -> bytes:
@@ -104,7 +104,9 @@ class Segment:
 class ChunkEncoder:
     """Encodes texts with the tokenizers library. Texts are cut wherever white
     space begins, which byte-level patterns never match across; each distinct
-    stretch goes to the library once while it is remembered."""
+    stretch goes to the library once while it is remembered. New stretches that
+    begin with white space go there in long rows, and the tokens' byte lengths
+    tell where each one ends."""
 
     def __init__(self, file: str):
         import os
@@ -115,7 +117,28 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.cut = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
+        self.inner = re.compile(f"[{SPACE}]+[^{SPACE}]").match
         self.memo: dict[str, bytes] = {}
+        # A byte-level vocabulary writes each byte as one character.
+        self.length = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.length[i] = len(token)
+
+    def _learn(self, new: list[str]) -> None:
+        rows = [c for c in new if self.inner(c)]
+        for lo in range(0, len(rows), 5_000):
+            some = rows[lo : lo + 5_000]
+            (e,) = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            upto = np.cumsum([len(c.encode()) for c in some])
+            at = np.searchsorted(np.cumsum(self.length[ids]), upto) + 1
+            raw, begin = ids.tobytes(), 0
+            for chunk, end in zip(some, (4 * at).tolist()):
+                self.memo[chunk] = raw[begin:end]
+                begin = end
+        rest = [c for c in new if not self.inner(c)]
+        for chunk, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.memo[chunk] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -123,11 +146,7 @@ class ChunkEncoder:
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo = self.memo
-        new = list(set().union(*parts).difference(memo)) if parts else []
-        for lo in range(0, len(new), 20_000):
-            some = new[lo : lo + 20_000]
-            for chunk, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                memo[chunk] = np.array(e.ids, "<u4").tobytes()
+        self._learn(list(set().union(*parts).difference(memo)))
         return [b"".join(map(memo.__getitem__, p)) for p in parts]
 
 
