@@ -29,7 +29,10 @@ from .common import discard, materialize, table
 from .graph import components, passes, row_filter
 from .words import Words, batches, gram_hashes, mix
 
-FOLD = 1024
+#: Bits of the sketches that pairs are filtered by, and those within buckets.
+FOLD, MINI = 1024, 128
+#: Members of a bucket that are compared in one block.
+CHUNK = 4096
 
 
 class Bands:
@@ -99,6 +102,18 @@ def shingle_sets(column, k: int) -> list[np.ndarray]:
     return out
 
 
+def packed(s: np.ndarray) -> bytes:
+    """The upper six bytes of each hash: two shingles of two sets of a thousand
+    then clash once in some hundred million pairs of sets."""
+    return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def set_name(s: np.ndarray) -> int:
     c = mix(s)
     with np.errstate(over="ignore"):
@@ -107,7 +122,7 @@ def set_name(s: np.ndarray) -> int:
 
 
 def _sketch(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(id, n, sid, fold, keys, shared, centers) of each document. keys are those
+    """(id, n, sid, fold, mini, keys, shared, centers) of each document. keys are those
     that the set enters for its slice of documents: all but the ones that a
     smaller set of the slice enters, which are in shared, with that set in centers."""
 
@@ -142,10 +157,12 @@ def _sketch(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 bits = np.bincount((s & np.uint64(FOLD - 1)).astype(np.int64), minlength=FOLD) & 1
                 fold.append(np.packbits(bits.astype(np.uint8), bitorder="little").tobytes())
             cols = [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sid, pa.int64(), mask=np.array([not len(s) for s in sets])), pa.array(fold, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*cols, lists(new, signed, np.int64), lists(multi, signed, np.int64), lists(multi, center, np.int64)], ["id", "n", "sid", "fold", "keys", "shared", "centers"])
+            wide = np.frombuffer(b"".join(fold), np.uint64).reshape(-1, FOLD // MINI, MINI // 64)
+            mini = pa.array([x.tobytes() for x in np.bitwise_xor.reduce(wide, axis=1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*cols, mini, lists(new, signed, np.int64), lists(multi, signed, np.int64), lists(multi, center, np.int64)], ["id", "n", "sid", "fold", "mini", "keys", "shared", "centers"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(work, f"id {kind}, n long, sid long, fold binary, keys array<long>, shared array<long>, centers array<long>")
+    return docs.select("id", "text").mapInArrow(work, f"id {kind}, n long, sid long, fold binary, mini binary, keys array<long>, shared array<long>, centers array<long>")
 
 
 def _members(sketches: DataFrame) -> DataFrame:
@@ -177,6 +194,71 @@ def _members(sketches: DataFrame) -> DataFrame:
     return across.union(within)
 
 
+def _cross(placed: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members of one bucket in different components that pass the
+    filter by sizes and small sketches. Buckets of more than CHUNK members are
+    dealt out in blocks; members of the bucket's largest component are not
+    compared with each other there."""
+    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).where("x <> y").select("key", "c")
+    rows = placed.join(mixed, "key").join(nodes.select("sid", "n", "mini"), "sid")
+    cols = ["key", "root", "sid", "n", "mini"]
+    small = rows.where(F.col("c") <= CHUNK).select(*cols, F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"))
+    # Large buckets: the largest component (side 1) against the others (side 2), and the others among themselves.
+    cells = placed.join(mixed.where(F.col("c") > CHUNK), "key").groupBy("key", "root", "c").count()
+    plan = cells.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.max("c").alias("all"))
+    plan = plan.select("key", F.col("top.root").alias("main"), F.ceil(F.col("top.count") / CHUNK).cast("int").alias("p"), F.ceil((F.col("all") - F.col("top.count")) / CHUNK).cast("int").alias("q"))
+    big = rows.join(plan, "key").withColumn("h", F.xxhash64("sid"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod("h", F.col(n)).cast("int")
+    main = big.where("root = main").select(*cols, own("p").alias("lo"), every("q").alias("hi"), F.lit(1).alias("side"))
+    rest = big.where("root <> main")
+    facing = rest.select(*cols, every("p").alias("lo"), own("q").alias("hi"), F.lit(2).alias("side"))
+    among = rest.select(*cols, own("q").alias("i"), every("q").alias("j"))
+    among = among.select(*cols, (-1 - F.least("i", "j")).alias("lo"), F.greatest("i", "j").alias("hi"), F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side"))
+    blocks = small.union(main).union(facing).union(among).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def pairs(table: pa.Table):
+        k, lo, hi, root, sid, n, side = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "root", "sid", "n", "side"))
+        mini = np.frombuffer(b"".join(table.column("mini").to_pylist()), np.uint64).reshape(-1, MINI // 64)
+        new = np.ones(len(k), bool)
+        new[1:] = (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(first, append=len(k))
+        ends = np.repeat(first + size, size)
+        at, d, found = np.arange(len(k)), 0, []
+        while True:
+            d += 1
+            at = at[at + d < ends[at]]
+            if not len(at):
+                break
+            i, j = at, at + d
+            ok = (root[i] != root[j]) & ((side[i] == 0) | (side[i] != side[j])) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
+            i, j = i[ok], j[ok]
+            ok = np.bitwise_count(mini[i] ^ mini[j]).sum(1) * (den + num) <= (n[i] + n[j]) * (den - num)
+            found.append(np.stack([np.minimum(sid[i[ok]], sid[j[ok]]), np.maximum(sid[i[ok]], sid[j[ok]])], 1))
+        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+    def work(it):
+        held: list[pa.RecordBatch] = []
+        for batch in it:  # the last block of a batch may go on in the next one
+            if batch.num_rows:
+                held.append(batch)
+                table = pa.Table.from_batches(held).combine_chunks()
+                same = np.ones(table.num_rows, bool)
+                for c in ("key", "lo", "hi"):
+                    x = table.column(c).to_numpy()
+                    same &= x == x[-1]
+                cut = table.num_rows - int(same.sum())
+                if cut:
+                    yield pairs(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
+        if held:
+            yield pairs(pa.Table.from_batches(held).combine_chunks())
+
+    return blocks.mapInArrow(work, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of sets that reach the similarity."""
     node = lambda x: nodes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("fold").alias(f"f{x}"))
@@ -199,7 +281,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num:
         for batch in it:
             b = batch.filter(pa.array(passes(bitmap.value, batch.column("hid").to_numpy())))
             for part in batches([b]) if b.num_rows else ():
-                found = {set_name(s): s.tobytes() for s in shingle_sets(part.column("text"), k) if len(s)}
+                found = {set_name(s): packed(s) for s in shingle_sets(part.column("text"), k) if len(s)}
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["sid", "shingles"])
 
     have = docs.select(F.xxhash64("id").alias("hid"), "text").mapInArrow(sets, "sid long, shingles binary")
@@ -208,9 +290,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num:
         for batch in it:
             keep = []
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both * den >= (len(x) + len(y) - both) * num)
+                size = (len(x) + len(y)) // 6
+                both = size - len(np.unique(np.concatenate([unpacked(x), unpacked(y)])))
+                keep.append(both * den >= (size - both) * num)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x: have.select(F.col("sid").alias(x), F.col("shingles").alias(f"s{x}"))
@@ -230,20 +312,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     """
     d = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
     sketches = materialize(_sketch(d, k, num, den), "sketches")
-    nodes = materialize(sketches.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("fold").alias("fold")), "nodes")
+    nodes = materialize(sketches.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("fold").alias("fold"), F.max("mini").alias("mini")), "nodes")
     members = materialize(_members(sketches).distinct(), "members")
     star = members.where("sid <> center").select(F.col("sid").alias("a"), F.col("center").alias("b")).distinct()
     links = _verified(star, nodes, d, k, num, den)
     roots = components(links)
     # Members of one bucket in different components.
     placed = materialize(members.select("key", "sid").distinct().join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    placed = materialize(placed.join(mixed, "key", "left_semi"), "mixed")
-    cells = placed.select("key", "root").distinct()
-    cells = cells.join(cells.select("key", F.col("root").alias("other")), "key").where("root < other")
-    cross = cells.join(placed.select("key", "root", F.col("sid").alias("a")), ["key", "root"]).join(placed.select("key", F.col("root").alias("other"), F.col("sid").alias("b")), ["key", "other"])
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = cross.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    cross = _cross(placed, nodes, num, den)
     more = _verified(cross, nodes, d, k, num, den)
     if more.limit(1).count():
         roots = components(links.union(more))
