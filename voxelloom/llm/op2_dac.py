@@ -13,6 +13,7 @@ protocol serve: part, seq (their order), n_tokens, doc_ids, payload.
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 import zlib
@@ -25,11 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table, worker_cache
 from .op7_bpe import SPACE
-from .words import batches
+from .words import Words, batches, span_hashes, utf8
 
 MAGIC, BLOCK = b"VDAC1", 512
 SEGMENT_TOKENS = 1 << 20
-MEMO = 1_200_000  # stretches to remember in a process, about 200 bytes each
+MEMO = 1_200_000  # stretches to remember in a process, about 150 bytes each
 
 
 def encode_segment(ids: np.ndarray, ends: np.ndarray) -> bytes:
@@ -102,11 +103,14 @@ class Segment:
 
 
 class ChunkEncoder:
-    """Encodes texts with the tokenizers library. Texts are cut wherever white
-    space begins, which byte-level patterns never match across; each distinct
-    stretch goes to the library once while it is remembered. New stretches that
-    begin with white space go there in long rows, and the tokens' byte lengths
-    tell where each one ends."""
+    """Encodes texts with the tokenizers library.
+
+    Texts are cut where ASCII white space begins, which byte-level patterns never
+    match across. Each distinct stretch goes to the library once while it is
+    remembered (by a 64-bit hash of its bytes); new ones go there in long rows, and
+    the tokens' byte lengths tell where each one ends. Texts with other white
+    space, where such a cut could matter, go to the library whole.
+    """
 
     def __init__(self, file: str):
         import os
@@ -116,38 +120,83 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cut = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
-        self.inner = re.compile(f"[{SPACE}]+[^{SPACE}]").match
-        self.memo: dict[str, bytes] = {}
+        self.other_space = re.compile("[" + SPACE.replace("\\t-\\r ", "") + "]").search
         # A byte-level vocabulary writes each byte as one character.
         self.length = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.length[i] = len(token)
-
-    def _learn(self, new: list[str]) -> None:
-        rows = [c for c in new if self.inner(c)]
-        for lo in range(0, len(rows), 5_000):
-            some = rows[lo : lo + 5_000]
-            (e,) = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            upto = np.cumsum([len(c.encode()) for c in some])
-            at = np.searchsorted(np.cumsum(self.length[ids]), upto) + 1
-            raw, begin = ids.tobytes(), 0
-            for chunk, end in zip(some, (4 * at).tolist()):
-                self.memo[chunk] = raw[begin:end]
-                begin = end
-        rest = [c for c in new if not self.inner(c)]
-        for chunk, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.memo[chunk] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parts = [self.cut(t or "") for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        self._learn(list(set().union(*parts).difference(memo)))
-        return [b"".join(map(memo.__getitem__, p)) for p in parts]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[int, int] = {}
+        self.count, self.offset, self.pool, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, hashes: list[int], stretches: list[bytes]) -> np.ndarray:
+        white = b" \t\n\x0b\x0c\r"
+        inner = [i for i, c in enumerate(stretches) if c[0] in white and c[-1] not in white]
+        held, found, counts = set(inner), [], []
+        for lo in range(0, len(inner), 5_000):
+            some = [stretches[i] for i in inner[lo : lo + 5_000]]
+            found += self._library([b"".join(some).decode()])
+            at = np.searchsorted(np.cumsum(self.length[found[-1]]), np.cumsum(list(map(len, some)))) + 1
+            counts.append(np.diff(at, prepend=0))
+        rest = [i for i in range(len(stretches)) if i not in held]
+        single = self._library([stretches[i].decode() for i in rest])
+        count = np.concatenate([*counts, np.array([len(x) for x in single], np.int64)])
+        number = np.empty(len(hashes), np.int64)
+        number[inner + rest] = np.arange(len(hashes)) + len(self.count)
+        self.number.update(zip(hashes, number.tolist()))
+        self.count = np.concatenate([self.count, count])
+        self.offset = np.concatenate([self.offset, self.used + np.cumsum(count) - count])
+        new = int(count.sum())
+        if self.used + new > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + 2 * new + (1 << 16), np.uint32)])
+        self.pool[self.used : self.used + new] = np.concatenate(found + single)
+        self.used += new
+        return number
+
+    def _cut(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, where each text ends among them) of texts without other white space."""
+        w = Words(column, "space")
+        n = len(w.n)
+        # A stretch ends with each word, and one of white space alone ends a text.
+        tail = np.where(w.n > 0, w.end[np.maximum(w.ptr[1:] - 1, 0)] if len(w) else 0, w.at[:-1]) < w.at[1:]
+        ends = np.insert(w.end, w.ptr[1:][tail], w.at[1:][tail])
+        ptr = w.ptr + np.concatenate([[0], np.cumsum(tail)])
+        begins = np.concatenate([[0], ends[:-1]])[: len(ends)]
+        h = span_hashes(w.data, begins, ends, w._value) if len(ends) else np.zeros(0, np.uint64)
+        if len(self.number) > MEMO:
+            self._forget()
+        distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
+        number = np.fromiter(map(self.number.get, distinct.tolist(), itertools.repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            at = first[new]
+            number[new] = self._learn(distinct[new].tolist(), [w.data[a:z].tobytes() for a, z in zip(begins[at].tolist(), ends[at].tolist())])
+        which = number[back]
+        count = self.count[which]
+        upto = np.concatenate([[0], np.cumsum(count)])
+        ids = self.pool[np.repeat(self.offset[which] - upto[:-1], count) + np.arange(upto[-1])]
+        return ids, upto[ptr[1:]] if n else np.zeros(0, np.int64)
+
+    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of all texts of an Arrow column, where each text ends among them); nulls are empty."""
+        data, at = utf8(column)
+        odd: dict[int, np.ndarray] = {}
+        if np.isin(data, np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8)).any():
+            for i, text in enumerate(column.to_pylist()):
+                if text and self.other_space(text):
+                    odd[i] = self._library([text])[0]
+        if not odd:
+            return self._cut(column)
+        plain = np.array([i not in odd for i in range(len(column))])
+        ids, ends = self._cut(column.filter(pa.array(plain)))
+        parts = iter(np.split(ids, ends[:-1]) if len(ends) else ())
+        out = [odd[i] if i in odd else next(parts) for i in range(len(column))]
+        return np.concatenate(out), np.cumsum([len(x) for x in out])
 
 
 def chunk_encoder(file: str) -> ChunkEncoder:
@@ -162,26 +211,24 @@ def dac_segments(docs: DataFrame, tokenizer_file: str, end_id: int = 2, id_col:
     option compression=none. A null text is empty and has the end id alone; null
     ids come first; rows that share an id are ordered by the text's checksum.
     """
-    end = struct.pack("<I", end_id)
 
     def work(it):
-        part, seq, held, ids = TaskContext.get().partitionId(), 0, [], []
+        part, seq, held = TaskContext.get().partitionId(), 0, []
         size, encoder = 0, chunk_encoder(tokenizer_file)
 
         def flush():
-            ends = np.cumsum([len(x) // 4 for x in held])
-            payload = encode_segment(np.frombuffer(b"".join(held), "<u4"), ends)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([int(ends[-1])], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([payload], pa.binary())], ["part", "seq", "n_tokens", "doc_ids", "payload"])
+            ends = np.cumsum(np.concatenate([n for _, n, _ in held]))
+            payload = encode_segment(np.concatenate([x for x, _, _ in held]), ends)
+            ids = pa.concat_arrays([i for _, _, i in held])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([int(ends[-1])], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([payload], pa.binary())], ["part", "seq", "n_tokens", "doc_ids", "payload"])
 
         for batch in batches(it):
-            kind = batch.schema.field("id").type
-            for i, x in zip(batch.column("id").to_pylist(), encoder.encode(batch.column("text").to_pylist())):
-                held.append(x + end)
-                ids.append(i)
-                size += len(x) // 4 + 1
-                if size >= segment_tokens:
-                    yield flush()
-                    seq, held, ids, size = seq + 1, [], [], 0
+            ids, ends = encoder.encode(batch.column("text"))
+            held.append((np.insert(ids, ends, np.uint32(end_id)), np.diff(ends, prepend=0) + 1, batch.column("id")))
+            size += len(ids)
+            if size >= segment_tokens:
+                yield flush()
+                seq, held, size = seq + 1, [], 0
         if held:
             yield flush()
 

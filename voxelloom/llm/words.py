@@ -72,6 +72,19 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return all_bytes[at[0] : at[-1]], at - at[0]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """A hash of each byte range; ranges follow one another."""
+    out = np.empty(len(start), np.uint64)
+    for lo in range(0, len(start), _PIECE):
+        s, e = start[lo : lo + _PIECE], end[lo : lo + _PIECE]
+        a, z = s[0], e[-1]
+        p, inverse = _powers(z - a + 1)
+        c = np.zeros(z - a + 1, np.uint64)
+        np.cumsum(value[data[a:z]] * p[: z - a], out=c[1:])
+        out[lo : lo + _PIECE] = (c[e - a] - c[s - a]) * inverse[s - a] + (e - s).astype(np.uint64)
+    return mix(out)
+
+
 class Words:
     """The words of a batch of texts: byte ranges, hashes, and the first word of each text."""
 
@@ -100,15 +113,7 @@ class Words:
         return np.repeat(np.arange(len(self.n)), self.n)
 
     def hashes(self) -> np.ndarray:
-        out = np.empty(len(self), np.uint64)
-        for lo in range(0, len(self), _PIECE):
-            s, e = self.start[lo : lo + _PIECE], self.end[lo : lo + _PIECE]
-            a, z = s[0], e[-1]
-            p, inverse = _powers(z - a + 1)
-            c = np.zeros(z - a + 1, np.uint64)
-            np.cumsum(self._value[self.data[a:z]] * p[: z - a], out=c[1:])
-            out[lo : lo + _PIECE] = (c[e - a] - c[s - a]) * inverse[s - a] + (e - s).astype(np.uint64)
-        return mix(out)
+        return span_hashes(self.data, self.start, self.end, self._value)
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
