@@ -8,10 +8,11 @@ confirmed where they occur in two documents or more, and given to the document
 with the smallest id. Runs of confirmed windows there are the recurring
 passages. Passages are cut into tiles of 25 words; any 50 words of a passage
 hold one whole tile. An Aho-Corasick automaton for each block of documents is
-compiled from the tiles of the passages whose anchors occur in the block, the
-block's documents stream through it, one symbol a word, and each hit is
-extended to the longest match with its passage. Automata thus grow with their
-block and not with the corpus, and each document is read by one automaton.
+compiled from the tiles of the passages of those documents that own a window of
+the block, and the block's documents stream through it, one symbol a word. The
+windows around each hit are looked up among those of the passages. Automata thus
+grow with their block and not with the corpus, a phrase in any number of
+passages costs no more than one, and each document is read by one automaton.
 
 Texts with the same words are one node: but for the smallest id, their rows are
 repeats from end to end.
@@ -23,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -104,123 +106,128 @@ def _with_names(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _windows(candidates: DataFrame) -> DataFrame:
-    """(window, id): hashes of the distinct windows whose anchor recurs."""
+    """(window, block, lo, hi): hashes of the windows whose anchor recurs, with the
+    smallest and largest id of the block's documents that hold them. A slice of
+    documents gives a window once for a block."""
 
     def work(it):
         for batch in batches(it):
+            batch = batch.take(pc.sort_indices(batch.column("id")))
             s = Scanned(batch.column("text"))
             found = []
             for i, fps in enumerate(batch.column("anchors")):
                 keep = np.isin(s.anchors(i), fps.values.to_numpy().view(np.uint64))
-                found.append(np.unique(s.windows(i)[keep]).view(np.int64) if keep.any() else np.zeros(0, np.int64))
-            owner = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), batch.column("id").take(owner)], ["window", "id"])
-
-    return candidates.select("id", "text", "anchors").mapInArrow(work, f"window long, id {candidates.schema['id'].dataType.simpleString()}")
+                found.append(np.unique(s.windows(i)[keep]) if keep.any() else np.zeros(0, np.uint64))
+            flat, row = np.concatenate(found), np.repeat(np.arange(len(found)), [len(x) for x in found])
+            block = batch.column("block").to_numpy()[row]
+            order = np.lexsort((row, block, flat))
+            flat, row, block = flat[order], row[order], block[order]
+            new = np.ones(len(flat), bool)
+            new[1:] = (flat[1:] != flat[:-1]) | (block[1:] != block[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(flat)) - 1 if len(first) else first
+            ids = batch.column("id")
+            yield pa.RecordBatch.from_arrays([pa.array(flat[first].view(np.int64)), pa.array(block[first]), ids.take(pa.array(row[first])), ids.take(pa.array(row[last]))], ["window", "block", "lo", "hi"])
+
+    kind = candidates.schema["id"].dataType.simpleString()
+    return candidates.select("id", "block", "text", "anchors").mapInArrow(work, f"window long, block int, lo {kind}, hi {kind}")
 
 
 def _passages(owned: DataFrame) -> DataFrame:
-    """(passage, owner, words, anchors) from rows (id, text, windows): the longest
-    runs of windows that the document owns. words are hashes."""
+    """(owner, words) from rows (id, text, windows): the longest runs of windows that
+    the document owns. words are hashes."""
 
     def work(it):
         for batch in batches(it):
             s = Scanned(batch.column("text"))
-            out: tuple[list, ...] = ([], [], [], [])
+            owner, words = [], []
             for i, mine in enumerate(batch.column("windows")):
                 a, z = s.range[i]
                 if z - a < WINDOW:
                     continue
                 keep = np.isin(s.windows(i), mine.values.to_numpy().view(np.uint64))
                 for x, y in runs(keep):
-                    words = s.h[a + x : a + y + WINDOW - 1]
-                    out[0].append(int(gram_hashes(words, len(words)).view(np.int64)[0]))
-                    out[1].append(batch.column("id")[i].as_py())
-                    out[2].append(words.tobytes())
-                    out[3].append(np.unique(s.anchors(i)[x:y]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], batch.schema.field("id").type), pa.array(out[2], pa.binary()), pa.array(out[3], pa.list_(pa.int64()))], ["passage", "owner", "words", "anchors"])
+                    owner.append(i)
+                    words.append(s.h[a + x : a + y + WINDOW - 1].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owner, pa.int64())), pa.array(words, pa.binary())], ["owner", "words"])
 
-    return owned.select("id", "text", "windows").mapInArrow(work, f"passage long, owner {owned.schema['id'].dataType.simpleString()}, words binary, anchors array<long>")
+    return owned.select("id", "text", "windows").mapInArrow(work, f"owner {owned.schema['id'].dataType.simpleString()}, words binary")
 
 
 class PhraseAutomaton:
-    """The tiles of passages (arrays of word hashes) in one Aho-Corasick automaton.
-    A word is one character; hits are compared by hashes, so characters may clash."""
+    """The tiles of passages (arrays of word hashes, each with its owner's rank) in
+    one Aho-Corasick automaton. A word is one character; characters may clash, as
+    windows around hits are compared by hashes."""
 
-    def __init__(self, passages: list[np.ndarray]):
+    def __init__(self, passages: list[np.ndarray], owners: np.ndarray):
         import ahocorasick
 
-        self.passages = passages
         self.known = np.unique(np.concatenate(passages)) if passages else np.zeros(0, np.uint64)
-        self.automaton = ahocorasick.Automaton()
-        where: dict[str, list[tuple[int, int]]] = {}
-        for q, words in enumerate(passages):
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        windows, owner = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for words, who in zip(passages, owners):
             text = self.symbols(words)
             for o in range(0, len(words) - TILE + 1, TILE):
-                where.setdefault(text[o : o + TILE], []).append((q, o))
-        for tile, places in where.items():
-            self.automaton.add_word(tile, places)
-        if where:
+                self.automaton.add_word(text[o : o + TILE])
+            windows.append(gram_hashes(words, WINDOW))
+            owner.append(np.full(len(windows[-1]), who))
+        if passages:
             self.automaton.make_automaton()
+        flat, who = np.concatenate(windows), np.concatenate(owner)
+        order = np.lexsort((who, flat))
+        self.windows, at = np.unique(flat[order], return_index=True)
+        self.owner = who[order][at]
 
     def symbols(self, h: np.ndarray) -> str:
         at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
         code = np.where(self.known[at] == h, at % 1_000_000 + 0x10000, 1) if len(self.known) else np.ones(len(h))
         return code.astype("<u4").tobytes().decode("utf-32-le")
 
-    def matches(self, h: np.ndarray):
-        """(passage, begin, end) in the text of each longest match that holds a tile."""
-        if not len(self.automaton) or len(h) < TILE:
-            return
-        done: dict[tuple[int, int], int] = {}
-        for last, places in self.automaton.iter(self.symbols(h)):
-            p = last - TILE + 1
-            for q, o in places:
-                if done.get((q, p - o), -1) >= last:
-                    continue
-                words = self.passages[q]
-                if not np.array_equal(h[p : last + 1], words[o : o + TILE]):
-                    continue
-                back = min(p, o)
-                differ = np.flatnonzero(h[p - back : p] != words[o - back : o])
-                begin = p - back + int(differ[-1]) + 1 if len(differ) else p - back
-                ahead = min(len(h) - p, len(words) - o)
-                differ = np.flatnonzero(h[p : p + ahead] != words[o : o + ahead])
-                end = p + int(differ[0]) if len(differ) else p + ahead
-                done[q, p - o] = end - 1
-                yield q, begin, end
-
-
-def _streamed(candidates: DataFrame, passages: DataFrame, blocks: int) -> DataFrame:
-    """(id, name, removed): begins and ends of word ranges covered by passages of smaller ids."""
+    def cover(self, h: np.ndarray, rank: int) -> np.ndarray:
+        """Which words of a text lie in a window that an owner below the rank has."""
+        n = len(h)
+        if not len(self.windows) or n < WINDOW:
+            return np.zeros(n, bool)
+        last = np.array([at for at, _ in self.automaton.iter(self.symbols(h))], np.int64)
+        edge = np.zeros(n + 1, np.int32)
+        np.add.at(edge, np.maximum(last + 1 - WINDOW, 0), 1)  # windows that hold the tile begin here
+        np.add.at(edge, last - TILE + 2, -1)
+        begin = np.flatnonzero(np.cumsum(edge[: n - WINDOW + 1]) > 0)
+        if not len(begin):
+            return np.zeros(n, bool)
+        w = gram_hashes(h, WINDOW)[begin]
+        at = np.minimum(np.searchsorted(self.windows, w), len(self.windows) - 1)
+        begin = begin[(self.windows[at] == w) & (self.owner[at] < rank)]
+        edge = np.zeros(n + 1, np.int32)
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, begin + WINDOW, -1)
+        return np.cumsum(edge[:n]) > 0
+
+
+def _streamed(candidates: DataFrame, passages: DataFrame, routes: DataFrame) -> DataFrame:
+    """(id, name, removed): begins and ends of word ranges covered by passages of
+    smaller ids. routes (block, owner) say whose passages a block needs."""
     kind = candidates.schema["id"].dataType
     arrow = to_arrow_type(kind)
-    block = F.pmod(F.xxhash64("id", "name"), F.lit(blocks)).cast("int").alias("block")
-    docs = candidates.select(block, "id", "name", "text", "anchors")
-    here = docs.select("block", F.explode("anchors").alias("anchor")).distinct()
-    there = passages.select("passage", "owner", F.explode("anchors").alias("anchor"))
-    routed = here.join(there, "anchor").select("block", "passage", "owner").distinct()
-    routed = routed.join(passages.select("passage", "owner", "words").dropDuplicates(["passage", "owner"]), ["passage", "owner"]).select(F.col("block").alias("to"), "owner", "words")
+    routed = routes.join(passages, "owner").select(F.col("block").alias("to"), "owner", "words")
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        owner = right.column("owner").to_pylist()
-        auto = PhraseAutomaton([np.frombuffer(x, np.uint64) for x in right.column("words").to_pylist()])
+        ids, owners = left.column("id").to_pylist(), right.column("owner").to_pylist()
+        rank = {x: i for i, x in enumerate(sorted({*ids, *owners}))}
+        auto = PhraseAutomaton([np.frombuffer(x, np.uint64) for x in right.column("words").to_pylist()], np.array([rank[x] for x in owners], np.int64))
         rows: tuple[list, ...] = ([], [], [])
         for batch in batches(left.select(["id", "name", "text"]).to_batches()):
             s = Scanned(batch.column("text"))
             for i, (me, name) in enumerate(zip(batch.column("id").to_pylist(), batch.column("name").to_pylist())):
                 a, z = s.range[i]
-                cover = np.zeros(z - a, bool)
-                for q, begin, end in auto.matches(s.h[a:z]):
-                    if end - begin >= WINDOW and owner[q] < me:
-                        cover[begin:end] = True
+                cover = auto.cover(s.h[a:z], rank[me])
                 if cover.any():
                     rows[0].append(me)
                     rows[1].append(name)
                     rows[2].append([x for pair in runs(cover) for x in pair])
         return pa.table([pa.array(rows[0], arrow), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.int64()))], ["id", "name", "removed"])
 
-    return docs.select("block", "id", "name", "text").groupBy("block").cogroup(routed.groupBy("to")).applyInArrow(work, f"id {kind.simpleString()}, name long, removed array<long>")
+    return candidates.select("block", "id", "name", "text").groupBy("block").cogroup(routed.groupBy("to")).applyInArrow(work, f"id {kind.simpleString()}, name long, removed array<long>")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -244,12 +251,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     anchors = entered.where("id = rep").select("id", "name", F.explode("anchors").alias("anchor"))
     recurring = anchors.groupBy("anchor").agg(F.min("name").alias("x"), F.max("name").alias("y")).where("x <> y").select("anchor")
     suspect = materialize(anchors.join(recurring, "anchor").groupBy("id", "name").agg(F.collect_set("anchor").alias("anchors")), "suspect")
-    candidates = materialize(_with_names(real, suspect).distinct().join(suspect, ["id", "name"]), "candidates", compression="zstd")
-    shared = _windows(candidates).groupBy("window").agg(F.min("id").alias("id"), F.max("id").alias("last")).where("id < last")
-    owned = shared.groupBy("id").agg(F.collect_list("window").alias("windows"))
+    candidates = _with_names(real, suspect).distinct().join(suspect, ["id", "name"])
+    size = real.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block = F.pmod(F.xxhash64("id", "name"), F.lit(1 + size // block_bytes)).cast("int")
+    candidates = candidates.withColumn("block", block).repartition("block").sortWithinPartitions("block")
+    candidates = materialize(candidates, "candidates", compression="zstd")
+    windows = materialize(_windows(candidates), "windows")
+    shared = windows.groupBy("window").agg(F.min("lo").alias("owner"), F.max("hi").alias("last")).where("owner < last").select("window", "owner")
+    shared = materialize(shared, "shared")
+    owned = shared.groupBy("owner").agg(F.collect_list("window").alias("windows")).withColumnRenamed("owner", "id")
     passages = materialize(_passages(candidates.select("id", "text").join(owned, "id")), "passages", compression="zstd")
-    size = candidates.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    spans = _streamed(candidates, passages, 1 + size // block_bytes)
+    routes = windows.join(shared, "window").where("owner < hi").select("block", "owner").distinct()
+    spans = _streamed(candidates, passages, routes)
     removed = materialize(copies.union(spans).distinct(), "removed")
     bitmap = d.sparkSession.sparkContext.broadcast(row_filter(removed, "id"))
     kind = d.schema["id"].dataType.simpleString()
