@@ -29,8 +29,8 @@ from .common import discard, materialize, table
 from .graph import components, passes, row_filter
 from .words import Words, batches, gram_hashes, mix
 
-#: Bits of the sketches that pairs are filtered by, and those within buckets.
-FOLD, MINI = 1024, 128
+#: Bits of the folded sketches that pairs are filtered by.
+FOLD = 512
 #: Members of a bucket that are compared in one block.
 CHUNK = 4096
 
@@ -122,7 +122,7 @@ def set_name(s: np.ndarray) -> int:
 
 
 def _sketch(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(id, n, sid, fold, mini, keys, shared, centers) of each document. keys are those
+    """(id, n, sid, fold, keys, shared, centers) of each document. keys are those
     that the set enters for its slice of documents: all but the ones that a
     smaller set of the slice enters, which are in shared, with that set in centers."""
 
@@ -157,12 +157,10 @@ def _sketch(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 bits = np.bincount((s & np.uint64(FOLD - 1)).astype(np.int64), minlength=FOLD) & 1
                 fold.append(np.packbits(bits.astype(np.uint8), bitorder="little").tobytes())
             cols = [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sid, pa.int64(), mask=np.array([not len(s) for s in sets])), pa.array(fold, pa.binary())]
-            wide = np.frombuffer(b"".join(fold), np.uint64).reshape(-1, FOLD // MINI, MINI // 64)
-            mini = pa.array([x.tobytes() for x in np.bitwise_xor.reduce(wide, axis=1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*cols, mini, lists(new, signed, np.int64), lists(multi, signed, np.int64), lists(multi, center, np.int64)], ["id", "n", "sid", "fold", "mini", "keys", "shared", "centers"])
+            yield pa.RecordBatch.from_arrays([*cols, lists(new, signed, np.int64), lists(multi, signed, np.int64), lists(multi, center, np.int64)], ["id", "n", "sid", "fold", "keys", "shared", "centers"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(work, f"id {kind}, n long, sid long, fold binary, mini binary, keys array<long>, shared array<long>, centers array<long>")
+    return docs.select("id", "text").mapInArrow(work, f"id {kind}, n long, sid long, fold binary, keys array<long>, shared array<long>, centers array<long>")
 
 
 def _members(sketches: DataFrame) -> DataFrame:
@@ -196,12 +194,12 @@ def _members(sketches: DataFrame) -> DataFrame:
 
 def _cross(placed: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of members of one bucket in different components that pass the
-    filter by sizes and small sketches. Buckets of more than CHUNK members are
+    filters by size and Hamming distance. Buckets of more than CHUNK members are
     dealt out in blocks; members of the bucket's largest component are not
     compared with each other there."""
     mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).where("x <> y").select("key", "c")
-    rows = placed.join(mixed, "key").join(nodes.select("sid", "n", "mini"), "sid")
-    cols = ["key", "root", "sid", "n", "mini"]
+    rows = placed.join(mixed, "key").join(nodes.select("sid", "n", "fold"), "sid")
+    cols = ["key", "root", "sid", "n", "fold"]
     small = rows.where(F.col("c") <= CHUNK).select(*cols, F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"))
     # Large buckets: the largest component (side 1) against the others (side 2), and the others among themselves.
     cells = placed.join(mixed.where(F.col("c") > CHUNK), "key").groupBy("key", "root", "c").count()
@@ -219,7 +217,7 @@ def _cross(placed: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
 
     def pairs(table: pa.Table):
         k, lo, hi, root, sid, n, side = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "root", "sid", "n", "side"))
-        mini = np.frombuffer(b"".join(table.column("mini").to_pylist()), np.uint64).reshape(-1, MINI // 64)
+        fold = np.frombuffer(b"".join(table.column("fold").to_pylist()), np.uint64).reshape(-1, FOLD // 64)
         new = np.ones(len(k), bool)
         new[1:] = (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
         first = np.flatnonzero(new)
@@ -234,7 +232,7 @@ def _cross(placed: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
             i, j = at, at + d
             ok = (root[i] != root[j]) & ((side[i] == 0) | (side[i] != side[j])) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
             i, j = i[ok], j[ok]
-            ok = np.bitwise_count(mini[i] ^ mini[j]).sum(1) * (den + num) <= (n[i] + n[j]) * (den - num)
+            ok = np.bitwise_count(fold[i] ^ fold[j]).sum(1) * (den + num) <= (n[i] + n[j]) * (den - num)
             found.append(np.stack([np.minimum(sid[i[ok]], sid[j[ok]]), np.maximum(sid[i[ok]], sid[j[ok]])], 1))
         out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
@@ -259,8 +257,8 @@ def _cross(placed: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
     return blocks.mapInArrow(work, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of sets that reach the similarity."""
+def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that pass the filters by size and Hamming distance."""
     node = lambda x: nodes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("fold").alias(f"f{x}"))
     near = pairs.join(node("a"), "a").join(node("b"), "b")
     near = near.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
@@ -273,7 +271,12 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num:
             keep = pa.array(d * (den + num) <= total * (den - num))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
 
-    near = materialize(near.select("a", "b", "na", "nb", "fa", "fb").mapInArrow(hamming, "a long, b long"), "near")
+    return near.select("a", "b", "na", "nb", "fa", "fb").mapInArrow(hamming, "a long, b long")
+
+
+def _verified(near: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of sets that reach the similarity."""
+    near = materialize(near, "near")
     wanted = near.select(F.col("a").alias("sid")).union(near.select("b")).distinct().join(nodes.select("sid", "rep"), "sid")
     bitmap = docs.sparkSession.sparkContext.broadcast(row_filter(wanted, "rep"))
 
@@ -312,13 +315,13 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     """
     d = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
     sketches = materialize(_sketch(d, k, num, den), "sketches")
-    nodes = materialize(sketches.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("fold").alias("fold"), F.max("mini").alias("mini")), "nodes")
-    members = materialize(_members(sketches).distinct(), "members")
+    nodes = materialize(sketches.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("fold").alias("fold")), "nodes")
+    members = materialize(_members(sketches), "members")
     star = members.where("sid <> center").select(F.col("sid").alias("a"), F.col("center").alias("b")).distinct()
-    links = _verified(star, nodes, d, k, num, den)
+    links = _verified(_near(star, nodes, num, den), nodes, d, k, num, den)
     roots = components(links)
     # Members of one bucket in different components.
-    placed = materialize(members.select("key", "sid").distinct().join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root")), "placed")
+    placed = materialize(members.select("key", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root")), "placed")
     cross = _cross(placed, nodes, num, den)
     more = _verified(cross, nodes, d, k, num, den)
     if more.limit(1).count():
