@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import materialize, table
@@ -231,10 +232,10 @@ def _streamed(candidates: DataFrame, passages: DataFrame, routes: DataFrame) ->
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows (id, text, removed) for each document: removed has the begins and ends
-    (word numbers, ends excluded) of the words covered by a window of 50 words that
-    also starts in a document with a smaller id. Words are split at ASCII white
-    space and compared as they stand.
+    """Rows (id, name, removed) for each document with repeats; name is a hash of its
+    words, removed has the begins and ends (word numbers, ends excluded) of the
+    words covered by a window of 50 words that also starts in a document with a
+    smaller id. Words are split at ASCII white space and compared as they stand.
 
     A null text has no words. A null id is neither smaller nor larger than any:
     such rows keep all and take nothing from others. Rows that share an id are
@@ -263,19 +264,43 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     passages = materialize(_passages(candidates.select("id", "text").join(owned, "id")), "passages", compression="zstd")
     routes = windows.join(shared, "window").where("owner < hi").select("block", "owner").distinct()
     spans = _streamed(candidates, passages, routes)
-    removed = materialize(copies.union(spans).distinct(), "removed")
-    bitmap = d.sparkSession.sparkContext.broadcast(row_filter(removed, "id"))
-    kind = d.schema["id"].dataType.simpleString()
+    return materialize(copies.union(spans).distinct(), "removed")
+
+
+def apply_spans(docs: DataFrame, removed: DataFrame, finish, schema: T.StructType, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """finish(record batch, removed lists) for all rows of docs, with the spans of repeated_spans().
+
+    Rows without any are told by a bitmap and stay where they are; only the others
+    are joined with their spans. finish gets the columns of docs in small batches
+    and returns a record batch of the schema.
+    """
+    bitmap = docs.sparkSession.sparkContext.broadcast(row_filter(removed, "id"))
+    names = docs.columns
+    keyed = docs.withColumn("_hid", F.xxhash64(id_col))
 
     def untouched(it):
         for batch in it:
-            yield batch.filter(pa.array(~passes(bitmap.value, batch.column("hid").to_numpy()))).select(["id", "text"])
+            b = batch.filter(pa.array(~passes(bitmap.value, batch.column("_hid").to_numpy()))).select(names)
+            for part in batches([b], 1 << 20, text_col) if b.num_rows else ():
+                yield finish(part, [[]] * part.num_rows)
+
+    def named(it):
+        for batch in it:
+            b = batch.filter(pa.array(passes(bitmap.value, batch.column("_hid").to_numpy()))).select(names)
+            for part in batches([b], 1 << 20, text_col) if b.num_rows else ():
+                s = Scanned(part.column(text_col))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([s.name(i) for i in range(part.num_rows)], pa.int64())], [*names, "_name"])
+
+    def touched(it):
+        for batch in it:
+            for part in batches([batch], 1 << 20, text_col) if batch.num_rows else ():
+                yield finish(part.select(names), [x or [] for x in part.column("_removed").to_pylist()])
 
-    plain = d.select("id", F.xxhash64("id").alias("hid"), "text").mapInArrow(untouched, f"id {kind}, text string")
-    touched = _with_names(d, removed).join(removed, ["id", "name"], "left")
-    none = F.array().cast("array<long>")
-    out = plain.select("id", "text", none.alias("removed")).union(touched.select("id", "text", F.coalesce("removed", none)))
-    return out.withColumnRenamed("id", id_col)
+    plain = keyed.mapInArrow(untouched, schema)
+    spans = removed.select(F.col("id").alias("_id"), F.col("name").alias("_name2"), F.col("removed").alias("_removed")).hint("merge")
+    rest = keyed.mapInArrow(named, T.StructType([*docs.schema.fields, T.StructField("_name", T.LongType())]))
+    rest = rest.join(spans, (F.col(id_col) == F.col("_id")) & (F.col("_name") == F.col("_name2")), "left").select(*names, "_removed")
+    return plain.union(rest.mapInArrow(touched, schema))
 
 
 def kept_words(text: str | None, removed: list[int]) -> list[bytes]:
@@ -302,19 +327,31 @@ def cut_text(text: str | None, removed: list[int]) -> str | None:
 
 def dedup_digests(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept_sha256) for each document."""
-    spans = repeated_spans(docs)
+    d = docs.select("doc_id", "text")
 
-    def work(it):
-        for batch in it:
-            n, gone, sha = [], [], []
-            for text, removed in zip(batch.column("text").to_pylist(), batch.column("removed").to_pylist()):
-                kept = kept_words(text, removed)
-                gone.append(sum(removed[1::2]) - sum(removed[::2]))
-                n.append(len(kept) + gone[-1])
-                sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return spans.mapInArrow(work, f"doc_id {spans.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string")
+    def finish(batch, removed):
+        n, gone, sha = [], [], []
+        for text, spans in zip(batch.column("text").to_pylist(), removed):
+            kept = kept_words(text, spans)
+            gone.append(sum(spans[1::2]) - sum(spans[::2]))
+            n.append(len(kept) + gone[-1])
+            sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    schema = T.StructType([d.schema["doc_id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
+    return apply_spans(d, repeated_spans(d), finish, schema)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs (with doc_id, text, n_chars) with the repeated words cut from the texts."""
+    names = docs.columns
+
+    def finish(batch, removed):
+        texts = [cut_text(t, x) for t, x in zip(batch.column("text").to_pylist(), removed)]
+        new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
+        return pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names)
+
+    return apply_spans(docs, repeated_spans(docs), finish, docs.schema)
 
 
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
