@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("op1_mcd", "op2_dac", "op3_parity", "op5_decontam", "op6_substring", "op7_bpe", "op8_kdtree", "op9_linedist", "op10_url_filter")
+_MODULES = ("op1_mcd", "op2_dac", "op3_parity", "op4_license", "op5_decontam", "op6_substring", "op7_bpe", "op8_kdtree", "op9_linedist", "op10_url_filter")
 
 
 def queries() -> dict:
