@@ -4,8 +4,8 @@ A set of shingles is hashed into a wide bit sketch: a shingle flips one bit, so
 the Hamming distance of two sketches never exceeds the size of the symmetric
 difference of the sets. At a similarity of at least J that difference is at most
 t = (1 - J) / (1 + J) times the sum of the sizes, so of t + 1 segments of the
-sketches one is equal, and after some equal one the next differs by one bit at
-most. Sets are joined on equal segments within bands of sizes; a segment that
+sketches one is equal, and from some equal one on, around the ring, the first l
+segments differ by l - 1 bits at most, for every l. Sets are joined on equal segments within bands of sizes; a segment that
 few shingles reach is joined together with the next one, with one bit left out
 where needed. A segment is kept as the XOR of the codes of its set bits.
 
@@ -59,9 +59,15 @@ class Bands:
         return out
 
     def segments(self, k: int) -> int:
+        while len(self.hi) <= k:
+            self._reach(self.hi[-1] + 1)
         return 1 + 2 * self.hi[k] * (self.den - self.num) // (self.den + self.num)
 
 
+#: A bucket key holds a hash, the band and the segment.
+BAND_BITS, PART_BITS = 7, 17
+
+
 def segment_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
     """Bucket keys of a sorted array of distinct shingle hashes."""
     out, code = [], mix(s ^ np.uint64(0x5851F42D4C957F2D))
@@ -73,21 +79,36 @@ def segment_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
         full = np.flatnonzero(size)
         sig[full] = np.bitwise_xor.reduceat(code, first[full])
         name = mix(mix(np.uint64(band) * np.uint64(1 << 32) + np.arange(m, dtype=np.uint64)) ^ sig) + size.astype(np.uint64)
-        if m == 1:
-            out.append(mix(name))
-            continue
-        few = size <= 1
-        out.append(mix(name[~few]))
+        place = np.uint64(band << PART_BITS) | (np.arange(m, dtype=np.uint64) & np.uint64((1 << PART_BITS) - 1))
+
+        def key(h, at):
+            return (mix(h) << np.uint64(BAND_BITS + PART_BITS)) | at  # noqa: B023
+
+        few = size <= 1 if m > 1 else np.zeros(m, bool)
+        out.append(key(name[~few], place[~few]))
         i = np.flatnonzero(few)
         j = (i + 1) % m
-        out.append(mix(name[i] ^ mix(sig[j] + size[j].astype(np.uint64) + np.uint64(1))))
+        out.append(key(name[i] ^ mix(sig[j] + size[j].astype(np.uint64) + np.uint64(1)), place[i]))
         rep = np.repeat(np.arange(len(i)), size[j])
         if len(rep):
             at = np.concatenate([np.arange(first[x], first[x + 1]) for x in j])
-            out.append(mix(name[i[rep]] ^ mix((sig[j[rep]] ^ code[at]) + size[j[rep]].astype(np.uint64))))
+            out.append(key(name[i[rep]] ^ mix((sig[j[rep]] ^ code[at]) + size[j[rep]].astype(np.uint64)), place[i[rep]]))
     return np.unique(np.concatenate(out))
 
 
+def on_ring(different: np.ndarray, segments: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """For pairs of one bucket: may the first l segments from theirs on differ by
+    l - 1 bits at most, for every l? different holds the XOR of the folded
+    sketches, whose bits follow the order of the segments. Only bits that lie
+    wholly within those segments are counted."""
+    bits = np.unpackbits(different.view(np.uint8).reshape(len(different), -1), axis=1, bitorder="little")
+    begin = -(-part * FOLD // segments)
+    k = np.arange(FOLD)
+    upto = np.cumsum(np.take_along_axis(bits, (begin[:, None] + k) % FOLD, 1), axis=1, dtype=np.int32)
+    whole = -(-(begin[:, None] + k + 1) * segments[:, None] // FOLD) - part[:, None]
+    return (upto < np.maximum(whole, 1)).all(1) | (segments >= 1 << PART_BITS)
+
+
 def shingle_sets(column, k: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the k-word shingles of each text; a shorter text is one shingle."""
     w = Words(column, "space_lower")
@@ -154,7 +175,7 @@ def _sketch(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             signed = fk.view(np.int64)
             fold = []
             for s in sets:
-                bits = np.bincount((s & np.uint64(FOLD - 1)).astype(np.int64), minlength=FOLD) & 1
+                bits = np.bincount((s >> np.uint64(64 - FOLD.bit_length() + 1)).astype(np.int64), minlength=FOLD) & 1
                 fold.append(np.packbits(bits.astype(np.uint8), bitorder="little").tobytes())
             cols = [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sid, pa.int64(), mask=np.array([not len(s) for s in sets])), pa.array(fold, pa.binary())]
             yield pa.RecordBatch.from_arrays([*cols, lists(new, signed, np.int64), lists(multi, signed, np.int64), lists(multi, center, np.int64)], ["id", "n", "sid", "fold", "keys", "shared", "centers"])
@@ -194,7 +215,7 @@ def _members(sketches: DataFrame) -> DataFrame:
 
 def _cross(placed: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of members of one bucket in different components that pass the
-    filters by size and Hamming distance. Buckets of more than CHUNK members are
+    filters by size, Hamming distance and ring. Buckets of more than CHUNK members are
     dealt out in blocks; members of the bucket's largest component are not
     compared with each other there."""
     mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).where("x <> y").select("key", "c")
@@ -215,6 +236,8 @@ def _cross(placed: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
     among = among.select(*cols, (-1 - F.least("i", "j")).alias("lo"), F.greatest("i", "j").alias("hi"), F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side"))
     blocks = small.union(main).union(facing).union(among).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
+    bands = Bands(num, den)
+
     def pairs(table: pa.Table):
         k, lo, hi, root, sid, n, side = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "root", "sid", "n", "side"))
         fold = np.frombuffer(b"".join(table.column("fold").to_pylist()), np.uint64).reshape(-1, FOLD // 64)
@@ -223,6 +246,8 @@ def _cross(placed: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
         first = np.flatnonzero(new)
         size = np.diff(first, append=len(k))
         ends = np.repeat(first + size, size)
+        band, part = k >> PART_BITS & ((1 << BAND_BITS) - 1), k & ((1 << PART_BITS) - 1)
+        segments = np.array([bands.segments(b) for b in range(int(band.max(initial=0)) + 1)])
         at, d, found = np.arange(len(k)), 0, []
         while True:
             d += 1
@@ -233,7 +258,11 @@ def _cross(placed: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
             ok = (root[i] != root[j]) & ((side[i] == 0) | (side[i] != side[j])) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
             i, j = i[ok], j[ok]
             ok = np.bitwise_count(fold[i] ^ fold[j]).sum(1) * (den + num) <= (n[i] + n[j]) * (den - num)
-            found.append(np.stack([np.minimum(sid[i[ok]], sid[j[ok]]), np.maximum(sid[i[ok]], sid[j[ok]])], 1))
+            i, j = i[ok], j[ok]
+            for lo_ in range(0, len(i), 20_000):
+                x, y = i[lo_ : lo_ + 20_000], j[lo_ : lo_ + 20_000]
+                ok = on_ring(fold[x] ^ fold[y], segments[band[x]], part[x])
+                found.append(np.stack([np.minimum(sid[x[ok]], sid[y[ok]]), np.maximum(sid[x[ok]], sid[y[ok]])], 1))
         out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
