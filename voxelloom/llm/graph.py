@@ -60,3 +60,24 @@ def passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which xxhash64 values may be wanted."""
     h = hashes & ((1 << FILTER_BITS) - 1)
     return (bitmap[h >> 5] >> (h & 31).astype(np.uint32) & 1).astype(bool)
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id isn't in ids (one column). Rows that the bitmap
+    clears stay where they are; only the others are joined. Null ids stay."""
+    import pyarrow as pa
+
+    ids = ids.select(F.col(ids.columns[0]).alias("_id"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(row_filter(ids, "_id"))
+    names = docs.columns
+    keyed = docs.withColumn("_hid", F.xxhash64(id_col))
+
+    def split(wanted: bool):
+        def work(it):
+            for batch in it:
+                keep = passes(bitmap.value, batch.column("_hid").to_numpy())
+                yield batch.filter(pa.array(keep if wanted else ~keep)).select(names)
+
+        return keyed.mapInArrow(work, docs.schema)
+
+    return split(False).union(split(True).join(ids, F.col(id_col) == F.col("_id"), "left_anti"))

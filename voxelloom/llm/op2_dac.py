@@ -222,7 +222,7 @@ def dac_segments(docs: DataFrame, tokenizer_file: str, end_id: int = 2, id_col:
             ids = pa.concat_arrays([i for _, _, i in held])
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([int(ends[-1])], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([payload], pa.binary())], ["part", "seq", "n_tokens", "doc_ids", "payload"])
 
-        for batch in batches(it):
+        for batch in batches(it, 4 << 20):
             ids, ends = encoder.encode(batch.column("text"))
             held.append((np.insert(ids, ends, np.uint32(end_id)), np.diff(ends, prepend=0) + 1, batch.column("id")))
             size += len(ids)

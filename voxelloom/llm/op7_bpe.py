@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table, worker_cache
+from .words import batches
 
 #: Unicode white space, as a character class.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -75,24 +76,36 @@ def bpe_round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str =
     return out.withColumnRenamed("id", id_col)
 
 
+def bpe_tokens(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids, ids_sha256, decoded_sha256), see bpe_digests()."""
+    return _digests(docs, rank_file, pattern, True)
+
+
 def bpe_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """As bpe_round_trip(), with digests in place of ids and bytes: doc_id,
     n_tokens, ids_sha256 (of little-endian unsigned 32-bit ids), decoded_sha256."""
+    return _digests(docs, rank_file, pattern, False)
+
+
+def _digests(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool) -> DataFrame:
 
     def work(it):
         enc = load_encoding(rank_file, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in it:
-            n, a, b = [], [], []
+        for batch in batches(it, 1 << 20):
+            n, a, b, all_ids = [], [], [], []
             for t in batch.column("text").to_pylist():
                 ids = encode(enc, t)
                 n.append(len(ids))
+                if with_ids:
+                    all_ids.append(np.array(ids, np.int32))
                 a.append(sha(np.array(ids, "<u4").tobytes()))
                 b.append(sha(enc.decode_bytes(ids)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(all_ids, pa.list_(pa.int32()))] * with_ids], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     d = docs.select("doc_id", "text")
-    return d.mapInArrow(work, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return d.mapInArrow(work, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

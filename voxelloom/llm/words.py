@@ -136,7 +136,18 @@ def gram_valid(words: Words, k: int) -> np.ndarray:
     return np.arange(len(words)) + k <= ends
 
 
-def batches(it, rows_bytes: int = 4 << 20, column: str = "text"):
+def give_back() -> None:
+    """Returns freed memory to the system; a worker that waits for its next task would keep it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+def batches(it, rows_bytes: int = 2 << 20, column: str = "text"):
     """Cuts record batches into slices of about rows_bytes of text (one row at least)."""
     for batch in it:
         col = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -145,3 +156,4 @@ def batches(it, rows_bytes: int = 4 << 20, column: str = "text"):
         for a, z in zip(edges, edges[1:]):
             if z > a:
                 yield batch.slice(a, z - a)
+    give_back()
