@@ -64,10 +64,6 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
-def _lower(words: Column) -> Column:
-    return F.transform(words, lambda w: F.lower(w))
-
-
 def licence_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=BASE_PHRASES, templates=TEMPLATES, rare: int = RARE) -> DataFrame:
     """Rows (id, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
@@ -82,16 +78,20 @@ def licence_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     vocabulary = sorted({w for _, t, _ in templates for w in t.split()} - COMMON)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.array_remove(F.split(text, f"{_GAP}+", -1), "").alias("w"))
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    d = d.select("id", "t", "w", F.array_intersect(_lower(F.col("w")), known).alias("hits"), *[_count(F.col("t"), _phrase(p)).alias(f"b{i}") for i, (p, _) in enumerate(phrases)])
+    # Lower-casing never makes or unmakes a separator; what it maps to ASCII besides A-Z only adds candidates.
+    d = docs.select(F.col(id_col).alias("id"), text.alias("t"), F.array_remove(F.split(F.lower(text), f"{_GAP}+", -1), "").alias("w"))
+    needed = sorted({w for p, _ in phrases for w in p.split()} | set(vocabulary))
+    d = d.select("id", "t", "w", F.array_intersect("w", F.array(*[F.lit(w) for w in needed])).alias("seen"))
+    holds = lambda p: F.size(F.array_intersect("seen", F.array(*[F.lit(w) for w in sorted(set(p.split()))]))) == len(set(p.split()))
+    places = [F.when(holds(p), _count(F.col("t"), _phrase(p))).otherwise(F.lit(0).cast("long")).alias(f"b{i}") for i, (p, _) in enumerate(phrases)]
+    d = d.select("id", "t", "w", F.array_intersect("seen", F.array(*[F.lit(w) for w in vocabulary])).alias("hits"), *places)
     n_base = sum((F.col(f"b{i}") for i in range(1, len(phrases))), F.col("b0"))
     any_phrase = "|".join(_phrase(p) for p, _ in phrases)
     before = lambda much: _count(F.regexp_extract("t", f"(?s)^({much})(?:{any_phrase})", 1), f"{_WORD}+")
     base = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(F.col(f"b{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(phrases)]), lambda x: x.isNotNull())))
     seen = d.select(
         F.monotonically_increasing_id().alias("row"), "id", F.size("w").cast("long").alias("n_words"), n_base.alias("n_base"), F.when(n_base > 0, before(".*?")).alias("first_word"), F.when(n_base > 0, before(".*")).alias("last_word"),
-        base.alias("base"), "hits", F.when(F.size("hits") > 0, _lower(F.col("w"))).alias("words"),
+        base.alias("base"), "hits", F.when(F.size("hits") > 0, F.col("w")).alias("words"),
     )
     seen = materialize(seen, "seen", compression="zstd")
     cand = seen.where(F.size("hits") > 0)
