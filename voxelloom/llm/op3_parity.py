@@ -31,8 +31,8 @@ from .words import Words, batches, gram_hashes, mix
 
 #: Bits of the folded sketches that pairs are filtered by.
 FOLD = 512
-#: Members of a bucket that are compared in one block.
-CHUNK = 4096
+#: Members of a bucket that are compared in one block; those of a small bucket; parts of others.
+CHUNK, SMALL, PARTS = 4096, 64, 8
 
 
 class Bands:
@@ -218,31 +218,40 @@ def _cross(placed: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
     filters by size, Hamming distance and ring. Buckets of more than CHUNK members are
     dealt out in blocks; members of the bucket's largest component are not
     compared with each other there."""
-    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).where("x <> y").select("key", "c")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).where("x <> y").select("key", "c", "x")
     rows = placed.join(mixed, "key").join(nodes.select("sid", "n", "fold"), "sid")
     cols = ["key", "root", "sid", "n", "fold"]
-    small = rows.where(F.col("c") <= CHUNK).select(*cols, F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    own = lambda n: F.pmod(F.xxhash64("sid"), n).cast("int")
+
+    def halves(df: DataFrame, n, group: str) -> DataFrame:
+        """Members dealt out to n parts, and every two parts to a block."""
+        d = df.select(*cols, F.col(group).alias("block"), own(n).alias("i"), every(n).alias("j"))
+        side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2)
+        return d.select(*cols, "block", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), side.alias("side"))
+
+    small = rows.where(F.col("c") <= SMALL).select(*cols, F.col("key").alias("block"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"))
+    # Buckets of one group of near copies mostly have the same smallest component: their blocks meet, and a pair is found once.
+    middle = halves(rows.where((F.col("c") > SMALL) & (F.col("c") <= CHUNK)), F.lit(PARTS), "x")
     # Large buckets: the largest component (side 1) against the others (side 2), and the others among themselves.
     cells = placed.join(mixed.where(F.col("c") > CHUNK), "key").groupBy("key", "root", "c").count()
     plan = cells.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.max("c").alias("all"))
     plan = plan.select("key", F.col("top.root").alias("main"), F.ceil(F.col("top.count") / CHUNK).cast("int").alias("p"), F.ceil((F.col("all") - F.col("top.count")) / CHUNK).cast("int").alias("q"))
-    big = rows.join(plan, "key").withColumn("h", F.xxhash64("sid"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n: F.pmod("h", F.col(n)).cast("int")
-    main = big.where("root = main").select(*cols, own("p").alias("lo"), every("q").alias("hi"), F.lit(1).alias("side"))
+    big = rows.join(plan, "key")
+    main = big.where("root = main").select(*cols, F.col("key").alias("block"), (-1 - own(F.col("p"))).alias("lo"), every(F.col("q")).alias("hi"), F.lit(1).alias("side"))
     rest = big.where("root <> main")
-    facing = rest.select(*cols, every("p").alias("lo"), own("q").alias("hi"), F.lit(2).alias("side"))
-    among = rest.select(*cols, own("q").alias("i"), every("q").alias("j"))
-    among = among.select(*cols, (-1 - F.least("i", "j")).alias("lo"), F.greatest("i", "j").alias("hi"), F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side"))
-    blocks = small.union(main).union(facing).union(among).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-
+    facing = rest.select(*cols, F.col("key").alias("block"), every(F.col("p")).alias("i"), own(F.col("q")).alias("hi"), F.lit(2).alias("side"))
+    facing = facing.select(*cols, "block", (-1 - F.col("i")).alias("lo"), "hi", "side")
+    blocks = small.union(middle).union(main).union(facing).union(halves(rest, F.col("q"), "key"))
+    blocks = blocks.repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi", "key")
     bands = Bands(num, den)
 
     def pairs(table: pa.Table):
         k, lo, hi, root, sid, n, side = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "root", "sid", "n", "side"))
         fold = np.frombuffer(b"".join(table.column("fold").to_pylist()), np.uint64).reshape(-1, FOLD // 64)
         new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        block = table.column("block").to_numpy()
+        new[1:] = (block[1:] != block[:-1]) | (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
         first = np.flatnonzero(new)
         size = np.diff(first, append=len(k))
         ends = np.repeat(first + size, size)
@@ -263,25 +272,38 @@ def _cross(placed: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
                 x, y = i[lo_ : lo_ + 20_000], j[lo_ : lo_ + 20_000]
                 ok = on_ring(fold[x] ^ fold[y], segments[band[x]], part[x])
                 found.append(np.stack([np.minimum(sid[x[ok]], sid[y[ok]]), np.maximum(sid[x[ok]], sid[y[ok]])], 1))
-        out = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
     def work(it):
         held: list[pa.RecordBatch] = []
-        for batch in it:  # the last block of a batch may go on in the next one
+        last, seen = None, np.zeros((0, 2), np.int64)
+
+        def once(table: pa.Table) -> pa.RecordBatch:
+            """The pairs of some rows, but for those that their first block has given before."""
+            nonlocal last, seen
+            ends = [tuple(table.column(c)[i].as_py() for c in ("block", "lo", "hi")) for i in (0, table.num_rows - 1)]
+            out = pairs(table)
+            if ends[0] == last and len(seen) and len(out):
+                old = set(map(tuple, seen.tolist()))
+                out = out[[x not in old for x in map(tuple, out.tolist())]]
+            seen = np.concatenate([seen, out]) if ends[0] == last == ends[1] else out
+            last = ends[1]
+            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+        for batch in it:  # the last bucket of a batch may go on in the next one
             if batch.num_rows:
                 held.append(batch)
                 table = pa.Table.from_batches(held).combine_chunks()
                 same = np.ones(table.num_rows, bool)
-                for c in ("key", "lo", "hi"):
+                for c in ("block", "lo", "hi", "key"):
                     x = table.column(c).to_numpy()
                     same &= x == x[-1]
                 cut = table.num_rows - int(same.sum())
                 if cut:
-                    yield pairs(table.slice(0, cut))
+                    yield once(table.slice(0, cut))
                 held = table.slice(cut).to_batches()
         if held:
-            yield pairs(pa.Table.from_batches(held).combine_chunks())
+            yield once(pa.Table.from_batches(held).combine_chunks())
 
     return blocks.mapInArrow(work, "a long, b long").distinct()
 
