@@ -32,7 +32,7 @@ from .words import Words, batches, gram_hashes, mix
 #: Bits of the folded sketches that pairs are filtered by.
 FOLD = 512
 #: Members of a bucket that are compared in one block; those of a small bucket; parts of others.
-CHUNK, SMALL, PARTS = 4096, 64, 8
+CHUNK, SMALL, PARTS = 4096, 256, 3
 
 
 class Bands:
@@ -64,6 +64,8 @@ class Bands:
         return 1 + 2 * self.hi[k] * (self.den - self.num) // (self.den + self.num)
 
 
+#: Segments of so few shingles are joined together with the next one.
+LONELY = 0
 #: A bucket key holds a hash, the band and the segment.
 BAND_BITS, PART_BITS = 7, 17
 
@@ -84,7 +86,7 @@ def segment_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
         def key(h, at):
             return (mix(h) << np.uint64(BAND_BITS + PART_BITS)) | at  # noqa: B023
 
-        few = size <= 1 if m > 1 else np.zeros(m, bool)
+        few = size <= LONELY if m > 1 else np.zeros(m, bool)
         out.append(key(name[~few], place[~few]))
         i = np.flatnonzero(few)
         j = (i + 1) % m
@@ -135,6 +137,34 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def wide_bits(n: int) -> int:
+    """Bits of a sketch that can tell sets of n shingles apart: more than n, in powers of two."""
+    return FOLD if n <= FOLD * 3 // 4 else 1 << (n * 4 // 3).bit_length()
+
+
+def folded(s: np.ndarray, bits: int) -> bytes:
+    """The parity of the hashes in each of so many equal ranges (a power of two)."""
+    at = (s >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def hamming(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Distances of pairs of sketches; the wider one of two is folded to the other's bits."""
+    out = np.zeros(len(x), np.int64)
+    sizes = np.array([[len(a), len(b)] for a, b in zip(x, y)], np.int64).reshape(-1, 2)
+    for pair in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == pair).all(1))
+        both = []
+        for side in (x, y):
+            m = np.frombuffer(b"".join(side[i] for i in at), np.uint8).reshape(len(at), -1)
+            while m.shape[1] > pair.min():
+                b = np.unpackbits(m, axis=1, bitorder="little").reshape(len(at), -1, 2)
+                m = np.packbits(b[:, :, 0] ^ b[:, :, 1], axis=1, bitorder="little")
+            both.append(np.ascontiguousarray(m).view(np.uint64))
+        out[at] = np.bitwise_count(both[0] ^ both[1]).sum(1)
+    return out
+
+
 def set_name(s: np.ndarray) -> int:
     c = mix(s)
     with np.errstate(over="ignore"):
@@ -143,7 +173,7 @@ def set_name(s: np.ndarray) -> int:
 
 
 def _sketch(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(id, n, sid, fold, keys, shared, centers) of each document. keys are those
+    """(id, n, sid, fold, wide, keys, shared, centers) of each document. keys are those
     that the set enters for its slice of documents: all but the ones that a
     smaller set of the slice enters, which are in shared, with that set in centers."""
 
@@ -173,20 +203,21 @@ def _sketch(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 return pa.ListArray.from_arrays(pa.array(ptr), pa.array(values[mask][by].astype(kind)))
 
             signed = fk.view(np.int64)
-            fold = []
+            fold, wide = [], []
             for s in sets:
-                bits = np.bincount((s >> np.uint64(64 - FOLD.bit_length() + 1)).astype(np.int64), minlength=FOLD) & 1
-                fold.append(np.packbits(bits.astype(np.uint8), bitorder="little").tobytes())
-            cols = [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sid, pa.int64(), mask=np.array([not len(s) for s in sets])), pa.array(fold, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*cols, lists(new, signed, np.int64), lists(multi, signed, np.int64), lists(multi, center, np.int64)], ["id", "n", "sid", "fold", "keys", "shared", "centers"])
+                wide.append(folded(s, wide_bits(len(s))) if wide_bits(len(s)) > FOLD else None)
+                fold.append(folded(s, FOLD))
+            cols = [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sid, pa.int64(), mask=np.array([not len(s) for s in sets])), pa.array(fold, pa.binary()), pa.array(wide, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cols, lists(new, signed, np.int64), lists(multi, signed, np.int64), lists(multi, center, np.int64)], ["id", "n", "sid", "fold", "wide", "keys", "shared", "centers"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(work, f"id {kind}, n long, sid long, fold binary, keys array<long>, shared array<long>, centers array<long>")
+    return docs.select("id", "text").mapInArrow(work, f"id {kind}, n long, sid long, fold binary, wide binary, keys array<long>, shared array<long>, centers array<long>")
 
 
 def _members(sketches: DataFrame) -> DataFrame:
-    """(key, sid, center) of every set in a bucket of two sets or more. A bucket
-    gets at most one row from each slice, so a frequent key is no large group."""
+    """(key, sid, center, many) of every set in a bucket of two sets or more; many
+    unless there are just these two. A bucket gets at most one row from each slice,
+    so a frequent key is no large group."""
 
     def runs(it):
         key = center = None
@@ -202,14 +233,20 @@ def _members(sketches: DataFrame) -> DataFrame:
                 c = c.copy()
                 c[:end] = center
             other = s != c
+            first = np.flatnonzero(new)
+            size = np.diff(first, append=len(k))
+            heavy = np.add.reduceat(batch.column("heavy").to_numpy(zero_copy_only=False).astype(np.int64), first)
+            many = np.repeat((size > 2) | (heavy > 0), size)
+            many[: size[0]] = many[len(k) - size[-1] :] = True  # these may go on in another batch
             key, center = k[-1], c[-1]
             both, at = np.unique(k[other], return_index=True)
-            out = [np.concatenate([k[other], both]), np.concatenate([s[other], c[other][at]]), np.concatenate([c[other], c[other][at]])]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "sid", "center"])
+            out = [np.concatenate([k[other], both]), np.concatenate([s[other], c[other][at]]), np.concatenate([c[other], c[other][at]]), np.concatenate([many[other], many[other][at]])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "sid", "center", "many"])
 
-    entered = sketches.select(F.explode("keys").alias("key"), "sid").repartition("key").sortWithinPartitions("key", "sid")
-    across = entered.mapInArrow(runs, "key long, sid long, center long")
-    within = sketches.select("sid", F.explode(F.arrays_zip("shared", "centers")).alias("x")).select("x.shared", "sid", "x.centers")
+    heavy = F.array_contains("shared", F.col("key"))
+    entered = sketches.select(F.explode("keys").alias("key"), "sid", "shared").select("key", "sid", heavy.alias("heavy")).repartition("key").sortWithinPartitions("key", "sid")
+    across = entered.mapInArrow(runs, "key long, sid long, center long, many boolean")
+    within = sketches.select("sid", F.explode(F.arrays_zip("shared", "centers")).alias("x")).select("x.shared", "sid", "x.centers", F.lit(True))
     return across.union(within)
 
 
@@ -268,8 +305,8 @@ def _cross(placed: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
             i, j = i[ok], j[ok]
             ok = np.bitwise_count(fold[i] ^ fold[j]).sum(1) * (den + num) <= (n[i] + n[j]) * (den - num)
             i, j = i[ok], j[ok]
-            for lo_ in range(0, len(i), 20_000):
-                x, y = i[lo_ : lo_ + 20_000], j[lo_ : lo_ + 20_000]
+            for lo_ in range(0, len(i), 2_000):
+                x, y = i[lo_ : lo_ + 2_000], j[lo_ : lo_ + 2_000]
                 ok = on_ring(fold[x] ^ fold[y], segments[band[x]], part[x])
                 found.append(np.stack([np.minimum(sid[x[ok]], sid[y[ok]]), np.maximum(sid[x[ok]], sid[y[ok]])], 1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
@@ -310,19 +347,18 @@ def _cross(placed: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
 
 def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that pass the filters by size and Hamming distance."""
-    node = lambda x: nodes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("fold").alias(f"f{x}"))
+    node = lambda x: nodes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.coalesce("wide", "fold").alias(f"f{x}"))
     near = pairs.join(node("a"), "a").join(node("b"), "b")
     near = near.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
 
-    def hamming(it):
+    def close(it):
         for batch in it:
-            f = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, FOLD // 64) for c in ("fa", "fb")]
-            d = np.bitwise_count(f[0] ^ f[1]).sum(1)
+            d = hamming(batch.column("fa").to_pylist(), batch.column("fb").to_pylist())
             total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
             keep = pa.array(d * (den + num) <= total * (den - num))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
 
-    return near.select("a", "b", "na", "nb", "fa", "fb").mapInArrow(hamming, "a long, b long")
+    return near.select("a", "b", "na", "nb", "fa", "fb").mapInArrow(close, "a long, b long")
 
 
 def _verified(near: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -366,21 +402,23 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     """
     d = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
     sketches = materialize(_sketch(d, k, num, den), "sketches")
-    nodes = materialize(sketches.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("fold").alias("fold")), "nodes")
+    nodes = materialize(sketches.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("fold").alias("fold"), F.max("wide").alias("wide")), "nodes")
     members = materialize(_members(sketches), "members")
+    slim = materialize(sketches.select("id", "n", "sid"), "documents")
+    discard(sketches)
     star = members.where("sid <> center").select(F.col("sid").alias("a"), F.col("center").alias("b")).distinct()
     links = _verified(_near(star, nodes, num, den), nodes, d, k, num, den)
     roots = components(links)
     # Members of one bucket in different components.
-    placed = materialize(members.select("key", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root")), "placed")
+    placed = materialize(members.where("many").select("key", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root")), "placed")
     cross = _cross(placed, nodes, num, den)
-    more = _verified(cross, nodes, d, k, num, den)
+    more = _verified(_near(cross, nodes, num, den), nodes, d, k, num, den)
     if more.limit(1).count():
         roots = components(links.union(more))
     named = nodes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = materialize(named.join(least, "root").select("sid", "component_id"), "components")
-    out = sketches.select("id", "n", "sid").join(named, "sid", "left")
+    out = slim.join(named, "sid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
