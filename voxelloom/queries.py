@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -293,13 +294,13 @@ def _(s, sf):
 
 @query(
     "agg3_guarded_carve",
-    """, wall AS (SELECT ix, iy, iz FROM occ WHERE a_occ/(a_occ+a_free) > 0.68::double), cut AS (SELECT seq, min(step) AS w FROM walk SEMI JOIN wall USING (ix, iy, iz) GROUP BY seq)
+    """, wall AS (SELECT ix, iy, iz FROM occ WHERE a_occ/(a_occ+a_free) > 0.68::double AND NOT (ix = 0 AND iy = 0 AND iz = 0)), cut AS (SELECT seq, min(step) AS w FROM walk SEMI JOIN wall USING (ix, iy, iz) GROUP BY seq)
 SELECT ix, iy, iz, sum(0.5::double*quality) AS inc FROM walk LEFT JOIN cut USING (seq) WHERE w IS NULL OR step < w GROUP BY ix, iy, iz""",
     "inc", "occ",
 )
 def _(s, sf):
     r = rays(s, sf)
-    return ry.guarded_carve(r, ry.occupancy(r, MAP), MAP, 0.68)
+    return ry.guarded_carve(r, ry.occupancy(r, MAP).where("NOT (ix = 0 AND iy = 0 AND iz = 0)"), MAP, 0.68)
 
 
 _S = "STRUCT(o DOUBLE, c0 INT, n0 DOUBLE, c1 INT, n1 DOUBLE, m INT, e INT, v INT, d INT, c INT, i DOUBLE)"
@@ -512,11 +513,11 @@ def _(s, sf):
     return consensus.merge_tsdf(t, t.select((F.col("ix") + 1).alias("ix"), "iy", "iz", "tsdf_d", lit(3.0).alias("tsdf_w")))
 
 
-_EV = "(SELECT event_id, user_id, event_type, value, epoch_us(ts)/1e6::double AS t FROM events)"
+_EV = "(SELECT event_id, user_id, event_type, value, (epoch_us(ts) - 1704067200000000)/1e6::double AS t FROM events)"
 
 
 def _events(s, sf):
-    return s.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type", "value", (F.unix_micros("ts") / 1e6).alias("t"))
+    return s.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "event_type", "value", (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") / 1e6).alias("t"))
 
 
 @query("join7_as_of_pose", f"SELECT a.event_id, b.event_id AS pose FROM (SELECT * FROM {_EV} WHERE event_type = 'view') a ASOF LEFT JOIN (SELECT * FROM {_EV} WHERE event_type = 'click') b ON a.t >= b.t")
@@ -552,12 +553,12 @@ def _(s, sf):
     "join10_q2_spread_labels",
     """, ball AS (SELECT a.i AS dx, b.i AS dy, c.i AS dz, 0.5::double*sqrt((a.i*a.i+b.i*b.i+c.i*c.i)::double) AS d FROM range(-2,3) a(i), range(-2,3) b(i), range(-2,3) c(i) WHERE 0.5::double*sqrt((a.i*a.i+b.i*b.i+c.i*c.i)::double) < 1.0::double),
 n AS (SELECT CAST(hits.ix+dx AS INT) AS ix, CAST(hits.iy+dy AS INT) AS iy, CAST(hits.iz+dz AS INT) AS iz, cls, quality, d FROM hits, ball)
-SELECT ix, iy, iz, cls, sum(a_occ/(a_occ+a_free)*quality*((2+cos(2*pi()*d))*(1-d)/3+sin(2*pi()*d)/(2*pi()))) AS w, count(*) AS n FROM n JOIN occ USING (ix, iy, iz) WHERE a_occ/(a_occ+a_free) >= 0.5::double GROUP BY ix, iy, iz, cls""",
+SELECT ix, iy, iz, cls, sum(a_occ/(a_occ+a_free)*quality*((2+cos(2*pi()*d))*(1-d)/3+sin(2*pi()*d)/(2*pi()))) AS w, count(*) AS n FROM n JOIN occ USING (ix, iy, iz) WHERE a_occ/(a_occ+a_free) >= 0.5123::double GROUP BY ix, iy, iz, cls""",
     "w", "occ",
 )
 def _(s, sf):
     r = rays(s, sf)
-    near = ry.spread_labels(ry.hit_cells(r, MAP), ry.occupancy(r, MAP), MAP, 1.0)
+    near = ry.spread_labels(ry.hit_cells(r, MAP), ry.occupancy(r, MAP), replace(MAP, min_p_occ=0.5123), 1.0)
     return near.groupBy(*KEY, "cls").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
 
 
@@ -594,7 +595,7 @@ def _(s, sf):
     return obs(s, sf).groupBy(*KEY).agg((lit(1.0) + F.sum(F.col("quality") * F.pow(lit(MAP.decay), 30 - F.col("frame_id")))).alias("a_occ"))
 
 
-@query("win3_velocity", f"SELECT event_id, CASE WHEN dt > 1e-3 AND dt < 1 THEN dv/dt END AS vx FROM (SELECT event_id, (t - lag(t) OVER w)/1e5::double AS dt, value - lag(value) OVER w AS dv FROM {_EV} WINDOW w AS (PARTITION BY user_id ORDER BY t))", "vx")
+@query("win3_velocity", f"SELECT event_id, CASE WHEN dt > 1e-3 AND dt < 1 THEN dv/dt END AS vx FROM (SELECT event_id, t/1e5::double - lag(t/1e5::double) OVER w AS dt, value - lag(value) OVER w AS dv FROM {_EV} WINDOW w AS (PARTITION BY user_id ORDER BY t))", "vx")
 def _(s, sf):
     p = _events(s, sf).select("user_id", "event_id", (F.col("t") / 1e5).alias("t"), F.col("value").alias("tx"), lit(0.0).alias("ty"), lit(0.0).alias("tz"))
     return ingest.velocity(p, ["user_id"]).select("event_id", "vx")
