@@ -125,3 +125,17 @@ def merge_slots(a: Column, b: Column, prior_other: float, alpha: float = ALPHA)
         x = F.get(ranked, k)
         fields += [F.coalesce(x["cls"], lit(EMPTY)).alias(f"cls{k}"), F.coalesce(F.greatest(lit(alpha), -x["o"]), lit(float(alpha))).alias(f"cnt{k}")]
     return F.struct(*fields)
+
+
+def fold_decay(events: Column, rate: float, until: Column, eps: float = 1e-3) -> Column:
+    """A counter above 1 that fades by `rate` each frame before the frame's increments,
+    and is forgotten once it is within eps of 1. events: struct(frame_id, inc), one a
+    frame. The state after `until`, decayed up to it; null if forgotten."""
+
+    def faded(s, frame):
+        left = s["x"] * F.pow(lit(rate), (frame - s["f"]).cast("double"))
+        return F.when(left < eps, 0.0).otherwise(left)
+
+    init = F.struct(lit(0.0).alias("x"), lit(0).alias("f"))
+    step = lambda s, e: F.struct((faded(s, e["frame_id"]) + e["inc"]).alias("x"), e["frame_id"].alias("f"))
+    return let(F.aggregate(F.array_sort(events), init, step), lambda s: let(faded(s, until), lambda x: F.when(x > 0, 1 + x)))

@@ -152,3 +152,13 @@ def spread_labels(hits: DataFrame, beta: DataFrame, params: MapParams, length: f
     occ = beta.select(*KEY, p_occ().alias("p")).where(F.col("p") >= params.min_p_occ)
     w = lit(params.kappa) * F.col("p") * F.col("quality") * kernel("d", length)
     return near.join(occ, KEY).select(*KEY, "cls", w.alias("w"), "seq", "dz", "dy", "dx").where("w > 0")
+
+
+def with_profiles(rays: DataFrame, profiles: list, params: MapParams) -> DataFrame:
+    """Adds the weights of each ray's sensor (column `sensor`); unknown sensors and
+    missing weights take the map's. profiles is a short list of SensorProfile."""
+    value = {"w_occ": params.w_occ, "w_free": params.w_free, "kappa": params.kappa, "min_p_occ": params.min_p_occ}
+    rows = [(p.name, *(getattr(p, k) for k in value)) for p in profiles]
+    table = F.broadcast(rays.sparkSession.createDataFrame(rows, "sensor string, " + ", ".join(f"{k} double" for k in value)))
+    out = rays.join(table, "sensor", "left")
+    return out.withColumns({k: F.coalesce(k, lit(float(v))) for k, v in value.items()})

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import folds, scalar as sc
-from .operators import consensus, geometry, ingest, maps, rays as ry
-from .params import EMPTY, K_TOP, LIDAR, MapParams
+from .operators import consensus, geometry, ingest, legacy, maps, rays as ry
+from .params import CAMERA, EMPTY, K_TOP, LIDAR, MapParams
 from .sources import points, wire
 from .streaming import gates
 from .views import MAP, beta, beta_map, cloud, obs, rays, sphere, with_views
@@ -796,6 +796,62 @@ def _(s, sf):
     return geometry.surface_points(sphere(s), 0.5, 0.05).select(*KEY, "x", "tsdf_d", "tsdf_w")
 
 
+_DK = "STRUCT(x DOUBLE, f INT, fr INT, i DOUBLE)"
+_FADE = lambda f: f"CASE WHEN a.x * pow(0.5::double, {f} - a.f) < 0.001::double THEN 0 ELSE a.x * pow(0.5::double, {f} - a.f) END"
+
+
+@query("win2_str3_transient_fold", f", e AS (SELECT ix, iy, iz, frame_id, sum(quality) AS inc FROM obs GROUP BY ALL), s AS (SELECT ix, iy, iz, list_reduce(list(CAST({{x: 0.0::double, f: 0, fr: frame_id, i: inc}} AS {_DK}) ORDER BY frame_id), lambda a, x: CAST({{x: {_FADE('x.fr')} + x.i, f: x.fr, fr: 0, i: 0.0::double}} AS {_DK}), CAST({{x: 0.0::double, f: 0, fr: 0, i: 0.0::double}} AS {_DK})) AS a FROM e GROUP BY ALL) SELECT ix, iy, iz, 1 + a.x * pow(0.5::double, 31 - a.f) AS a_occ FROM s WHERE a.x * pow(0.5::double, 31 - a.f) >= 0.001::double", "a_occ", "obs")
+def _(s, sf):
+    e = obs(s, sf).groupBy(*KEY, "frame_id").agg(F.sum("quality").alias("inc"))
+    g = e.groupBy(*KEY).agg(folds.fold_decay(F.collect_list(F.struct("frame_id", "inc")), 0.5, lit(31)).alias("a_occ"))
+    return g.where("a_occ IS NOT NULL")
+
+
+@query("q1c_misses", "SELECT ix, iy, iz, sum(0.5::double*quality) AS inc FROM walk WHERE kind = 'miss' GROUP BY ALL", "inc", "walk")
+def _(s, sf):
+    return ry.immediate_carve(rays(s, sf).where("kind = 'miss'"), MAP)
+
+
+@query("q1d_endpoint_only", "SELECT ix, iy, iz, 1 + sum(quality) AS a_occ FROM hits GROUP BY ALL", "a_occ", "hits")
+def _(s, sf):
+    return legacy.endpoint_only(rays(s, sf), MAP)
+
+
+@query(
+    "q1d_fused_cells",
+    f"""{with_views('hits', 'walk')},
+{_BAND.format(back='1.0::double')},
+o AS (SELECT ix, iy, iz, 1 + sum(o) AS a_occ, 1 + sum(f) AS a_free FROM (SELECT ix, iy, iz, quality AS o, 0.0::double AS f FROM hits WHERE NOT is_dynamic UNION ALL SELECT ix, iy, iz, 0.0::double, 0.5::double*quality FROM walk) GROUP BY ALL),
+t AS (SELECT ix, iy, iz, avg(sdf) AS tsdf_d, count(*)::double AS tsdf_w FROM (SELECT ix, iy, iz, depth - (ix*0.5::double*ex + iy*0.5::double*ey + iz*0.5::double*ez)/depth AS sdf FROM vis WHERE NOT is_dynamic) WHERE abs(sdf) <= 1 GROUP BY ALL)
+SELECT ix, iy, iz, coalesce(a_occ, 1) AS a_occ, coalesce(a_free, 1) AS a_free, coalesce(tsdf_d, 0) AS tsdf_d, coalesce(tsdf_w, 0) AS tsdf_w FROM o FULL JOIN t USING (ix, iy, iz)""",
+    "a_occ a_free tsdf_d tsdf_w",
+)
+def _(s, sf):
+    return legacy.fused_cells(rays(s, sf), MAP)
+
+
+@query("q1d_fn36_legacy_saturation", "SELECT source, ix, iy, iz, greatest(1.0::double, a_occ*CASE WHEN greatest(a_occ, a_free) > 8 THEN 8/greatest(a_occ, a_free) ELSE 1 END) AS occ FROM beta", "occ", "beta")
+def _(s, sf):
+    return beta(s, sf).select("source", *KEY, legacy.saturate_max(F.col("a_occ"), F.col("a_free"), 8.0)[0].alias("occ"))
+
+
+@query("q1d_legacy_slots", f"SELECT ix, iy, iz, s.o AS a_unk, s.c0 AS cls0, s.n0 AS cnt0 FROM (SELECT ix, iy, iz, list_reduce(list({_ELEM('cls', 'quality')} ORDER BY seq), lambda a, x: {_slot_step('x.i').replace('0.01::double', '0.0::double')}, {_EMPTY.replace('0.01::double', '0.0::double').replace(repr(PRIOR) + '::double', '0.0::double')}) AS s FROM obs GROUP BY ALL)", "a_unk cnt0", "obs")
+def _(s, sf):
+    d = obs(s, sf).groupBy(*KEY).agg(legacy.legacy_slots(F.collect_list(F.struct("seq", "cls", F.col("quality").alias("inc")))).alias("d"))
+    return d.select(*KEY, F.col("d.other").alias("a_unk"), F.col("d.cls0").alias("cls0"), F.col("d.cnt0").alias("cnt0"))
+
+
+@query("q2_sensor_profiles", "SELECT ix, iy, iz, sum(CASE WHEN source = 1 THEN 0 ELSE quality END) AS occ, sum(CASE WHEN source = 1 THEN 0.55::double ELSE 0.5::double END) AS gates FROM obs GROUP BY ALL", "occ gates", "obs")
+def _(s, sf):
+    o = obs(s, sf).withColumn("sensor", F.when(F.col("source") == 1, CAMERA.name).when(F.col("source") == 0, LIDAR.name).otherwise("other"))
+    return ry.with_profiles(o, [LIDAR, CAMERA], MAP.sanitised()).withColumn("w_occ", F.when(F.col("sensor") == CAMERA.name, F.col("w_occ")).otherwise(1.0)).groupBy(*KEY).agg(F.sum(F.col("w_occ") * F.col("quality")).alias("occ"), F.sum("min_p_occ").alias("gates"))
+
+
+@query("ext5_map_gain", f"SELECT source, count(*) AS cells, avg({_EIG}) AS mean_eig, sum({_EIG}) AS total_eig FROM beta GROUP BY source", "mean_eig total_eig", "beta")
+def _(s, sf):
+    return beta(s, sf).withColumn("e", sc.information_gain("a_occ", "a_free")).groupBy("source").agg(F.count("*").alias("cells"), F.avg("e").alias("mean_eig"), F.sum("e").alias("total_eig"))
+
+
 # Sources and sinks -----------------------------------------------------------
 
 
