@@ -100,6 +100,7 @@ def first_pose(deltas: DataFrame, pose: list[str], order: str) -> DataFrame:
 def pinned_prior(frames: DataFrame) -> DataFrame:
     """frames (source, msg_seq, num_classes, alpha) with accepted: those of the first
     frame's class count and alpha (to 1e-6). The first frame has the smallest msg_seq, then source."""
-    first = frames.agg(F.min_by(F.struct("num_classes", "alpha"), F.struct("msg_seq", "source")).alias("p"))
-    ok = (F.col("num_classes") == F.col("p.num_classes")) & (F.abs(F.col("alpha") - F.col("p.alpha")) <= 1e-6)
-    return frames.crossJoin(F.broadcast(first)).withColumn("accepted", ok).drop("p")  # one row
+    first = frames.agg(F.min_by(F.struct("num_classes", "alpha"), F.struct("msg_seq", "source")).alias("p")).first()["p"]
+    if first is None:
+        return frames.withColumn("accepted", lit(True))
+    return frames.withColumn("accepted", (F.col("num_classes") == first["num_classes"]) & (F.abs(F.col("alpha") - first["alpha"]) <= 1e-6))

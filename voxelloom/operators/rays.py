@@ -134,21 +134,25 @@ def endpoint_sdf(rays: DataFrame, params: MapParams) -> DataFrame:
     return cells.select("frame_id", "seq", *KEY, sdf.alias("sdf")).where(F.abs("sdf") <= p.trunc)
 
 
-def ball(spark, length: float, res: float) -> DataFrame:
-    """(dx, dy, dz, d): the offsets of cells within a length; some (2 length / res)**3 rows."""
+def with_offsets(df: DataFrame, length: float, res: float) -> DataFrame:
+    """Each row with each offset (dx, dy, dz) of cells within a length, and its distance d."""
     r = max(1, math.floor(length / res))
-    side = lambda n: F.explode(F.sequence(lit(-r), lit(r))).alias(n)
-    b = spark.range(1).select(side("dz")).select("dz", side("dy")).select("*", side("dx"))
+    side = F.explode(F.sequence(lit(-r), lit(r)))
+    b = df.withColumn("dz", side).withColumn("dy", side).withColumn("dx", side)
     d = lit(res) * F.sqrt((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")).cast("double"))
-    return b.withColumn("d", d).where(F.col("d") < length).select("dx", "dy", "dz", "d")
+    return b.withColumn("d", d).where(F.col("d") < length)
+
+
+def ball(spark, length: float, res: float) -> DataFrame:
+    """(dx, dy, dz, d): the offsets of cells within a length."""
+    return with_offsets(spark.range(1), length, res).select("dx", "dy", "dz", "d")
 
 
 def spread_labels(hits: DataFrame, beta: DataFrame, params: MapParams, length: float) -> DataFrame:
     """(ix, iy, iz, cls, w, seq): the evidence that a label gives to the occupied
     cells around it, by the kernel of their distance. hits have cells, a class and
     a quality; cells of the map below the gate get none."""
-    offsets = F.broadcast(ball(hits.sparkSession, length, params.resolution))
-    near = hits.where("cls IS NOT NULL").crossJoin(offsets).select("seq", "cls", "quality", "d", "dz", "dy", "dx", *[(F.col(f"i{a}") + F.col(f"d{a}")).alias(f"i{a}") for a in "xyz"])
+    near = with_offsets(hits.where("cls IS NOT NULL"), length, params.resolution).select("seq", "cls", "quality", "d", "dz", "dy", "dx", *[(F.col(f"i{a}") + F.col(f"d{a}")).alias(f"i{a}") for a in "xyz"])
     occ = beta.select(*KEY, p_occ().alias("p")).where(F.col("p") >= params.min_p_occ)
     w = lit(params.kappa) * F.col("p") * F.col("quality") * kernel("d", length)
     return near.join(occ, KEY).select(*KEY, "cls", w.alias("w"), "seq", "dz", "dy", "dx").where("w > 0")
