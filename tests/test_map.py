@@ -216,3 +216,38 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {r.ix: (r.a_occ, r.a_free) for r in state.beta.read().collect()}
     n = {k: sum(1 for r in rows if r[1] == k) for k in range(3)}
     assert got == {k: (1 + 0.5 * v, 1 + 0.25 * v) for k, v in n.items()}
+
+
+def test_published_deltas_equal_the_gate(spark, tmp_path):
+    rng = random.Random(6)
+    state, rows, out = {}, [], incremental.DeltaPublisher(spark, str(tmp_path), P)
+    schema = "ix int, iy int, iz int, a_occ double, a_free double"
+    sent = {}
+    for f in range(6):
+        touched = rng.sample(range(5), 3)
+        for k in touched:
+            o, fr = state.get(k, (1.0, 1.0))
+            state[k] = (o + rng.random() * 0.3, fr + 0.05)
+            rows.append((k, 0, 0, f, *state[k]))
+        batch = spark.createDataFrame([(k, 0, 0, *state[k]) for k in touched], schema)
+        out(batch, f)
+        out(batch, f)  # delivered again
+        sent[f] = {r.ix for r in out.deltas.read().collect()}
+    g = gates.change_gate(spark.createDataFrame(rows, "ix int, iy int, iz int, frame_id int, a_occ double, a_free double"), ["ix", "iy", "iz"], "frame_id").where("emit").collect()
+    assert {(f, k) for f, ks in sent.items() for k in ks} == {(r.frame_id, r.ix) for r in g}
+    out(batch, 6, consumer=False)
+    assert out.deltas.read().count() == len(sent[5])
+    out(batch, 7, snapshot=True)
+    assert out.deltas.read().count() == 3
+
+
+def test_moving_things_fade(spark, tmp_path):
+    t = incremental.TransientStream(spark, str(tmp_path), MapParams(decay=0.8))
+    schema = "ix int, iy int, iz int, quality double"
+    for f, q in enumerate((2.0, None, None, 1.0, 0.5, None)):
+        t(spark.createDataFrame([(0, 0, 0, q)] if q else [], schema), f)
+    assert t.beta.read().first().a_occ == pytest.approx(2.695360, abs=1e-6)
+    fast = incremental.TransientStream(spark, str(tmp_path / "fast"), MapParams(decay=0.001))
+    fast(spark.createDataFrame([(0, 0, 0, 0.5)], schema), 0)
+    fast(spark.createDataFrame([], schema), 1)
+    assert fast.beta.read().count() == 0

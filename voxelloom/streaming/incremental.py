@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import centre, is_prior_beta
 from ..operators.consensus import latest, refold_beta
 from ..operators.rays import KEY
 from ..params import MapParams
+from .gates import beta_changed
 
 
 class Table:
@@ -71,3 +73,45 @@ class FusedView:
         again = refold_beta(self.sources.read(), cells)
         kept = self.fused.read(below=number).join(cells, KEY, "left_anti")
         self.fused.write(kept.unionByName(again), number)
+
+
+class DeltaPublisher:
+    """Sends the touched cells of a map on: cells at the prior or outside a height
+    band are left out, and so are those that differ little from what was sent last.
+    A snapshot sends all and counts as sent; without a consumer nothing is sent, and
+    what was touched meanwhile comes with the next snapshot."""
+
+    def __init__(self, spark: SparkSession, path: str, params: MapParams, band: tuple[float, float] | None = None):
+        row = "ix int, iy int, iz int, a_occ double, a_free double"
+        self.params, self.band = params, band if band and band[0] < band[1] else None
+        self.sent, self.deltas = Table(spark, f"{path}/sent", row), Table(spark, f"{path}/deltas", row)
+
+    def __call__(self, states: DataFrame, number: int, snapshot: bool = False, consumer: bool = True) -> None:
+        if not consumer:
+            return
+        now = states.select(*KEY, "a_occ", "a_free").where(~is_prior_beta())
+        if self.band:
+            now = now.where(centre("iz", self.params.resolution).between(*self.band))
+        last = self.sent.read(below=number)
+        before = last.select(*KEY, F.col("a_occ").alias("o"), F.col("a_free").alias("f"))
+        changed = F.col("o").isNull() | beta_changed(F.col("o"), F.col("f"), F.col("a_occ"), F.col("a_free")) | F.lit(snapshot)
+        self.deltas.write(now.join(before, KEY, "left").where(changed).select(*KEY, "a_occ", "a_free"), number)
+        new = self.deltas.read(below=number + 1)
+        self.sent.write(last.join(new.select(*KEY), KEY, "left_anti").unionByName(new), number)
+
+
+class TransientStream:
+    """Cells of things that move: each batch is a frame; what is there fades towards the
+    prior first and is forgotten close to it, then the frame's hits are added."""
+
+    def __init__(self, spark: SparkSession, path: str, params: MapParams, eps: float = 1e-3):
+        self.params, self.eps = params, eps
+        self.beta = Table(spark, f"{path}/transient", "ix int, iy int, iz int, a_occ double, a_free double")
+
+    def __call__(self, hits: DataFrame, number: int) -> None:
+        fade = lambda c: (1 + (F.col(c) - 1) * self.params.decay).alias(c)
+        old = self.beta.read(below=number).select(*KEY, fade("a_occ"), fade("a_free"))
+        old = old.where((F.abs(F.col("a_occ") - 1) >= self.eps) | (F.abs(F.col("a_free") - 1) >= self.eps))
+        new = hits.groupBy(*KEY).agg(F.sum(F.lit(self.params.w_occ) * F.col("quality")).alias("occ"))
+        m = old.join(new, KEY, "full_outer")
+        self.beta.write(m.select(*KEY, (F.coalesce("a_occ", F.lit(1.0)) + F.coalesce("occ", F.lit(0.0))).alias("a_occ"), F.coalesce("a_free", F.lit(1.0)).alias("a_free")), number)
