@@ -3,10 +3,12 @@ benchmark passages, byte-level BPE. Each stage takes what the one before it kept
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelloom.llm.common import materialize, table
+from voxelloom.llm.common import discard, materialize, recorded, table
 from voxelloom.llm.graph import without_ids
 from voxelloom.llm.op1_mcd import quality_verdicts
 from voxelloom.llm.op3_parity import jaccard_components
@@ -14,12 +16,29 @@ from voxelloom.llm.op5_decontam import build_index, contamination
 from voxelloom.llm.op6_substring import without_repeats
 from voxelloom.llm.op7_bpe import bpe_tokens
 
+#: Scratch tables of the last stage that was called. A stage's rows are written
+#: before the next one is called, so these are then deleted.
+_scratch: list[DataFrame] = []
+
+
+def stage(f):
+    @functools.wraps(f)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _scratch:
+            discard(_scratch.pop())
+        with recorded(_scratch):
+            return f(spark, docs, sf_dir)
+
+    return call
+
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_verdicts(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id
     (shingles of five words, similarity 0.8). Rows that repeat id and text are
@@ -34,12 +53,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return without_ids(kept, repeated).union(again)
 
 
+@stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 50 words or more that a document of a smaller
     id has; those of which nothing is left go."""
     return without_repeats(docs).where(F.length("text") > 0)
 
 
+@stage
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without ten consecutive words of a benchmark item."""
     index = materialize(build_index(docs), "index", compression="zstd")
@@ -47,6 +68,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return without_ids(docs, materialize(hit, "contaminated"))
 
 
+@stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with their digest and that of the bytes they decode to."""
     import public_tokenizers as P
@@ -62,6 +84,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for name, part in STAGES[:-1]:
+        docs = materialize(part(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

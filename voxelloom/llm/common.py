@@ -34,9 +34,29 @@ def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._voxelloom_path = path
+    for tables in _Recording.open:
+        tables.append(out)
     return out
 
 
+def recorded(tables: list):
+    """A context in which tables of materialize() are put on the list."""
+    return _Recording(tables)
+
+
+class _Recording:
+    open: list = []
+
+    def __init__(self, tables: list):
+        self.tables = tables
+
+    def __enter__(self):
+        _Recording.open.append(self.tables)
+
+    def __exit__(self, *_):
+        _Recording.open.remove(self.tables)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table of materialize() that nothing will read again."""
     spark = df.sparkSession

@@ -46,19 +46,21 @@ FILTER_BITS = 26
 
 
 def row_filter(wanted: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of 2**FILTER_BITS bits (8 MB, whatever the input) with the hash of
-    every wanted value set; it only spares a shuffle, a join decides."""
+    """A bitmap with the hash of every wanted value set, 64 bits for each set one but
+    at most 2**FILTER_BITS (8 MB); it only spares a shuffle, a join decides."""
     h = f"(xxhash64({column}) & {(1 << FILTER_BITS) - 1})"
     w = wanted.selectExpr(f"CAST({h} >> 5 AS INT) AS w", f"shiftleft(1L, CAST({h} & 31 AS INT)) AS b")
     rows = w.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    out[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.uint32)
+    words, bits = rows["w"].to_numpy(np.int64), rows["b"].to_numpy().astype(np.uint32)
+    need = max(16, int(64 * np.bitwise_count(bits).sum()).bit_length())
+    out = np.zeros(1 << (min(FILTER_BITS, need) - 5), np.uint32)
+    np.bitwise_or.at(out, words & (len(out) - 1), bits)
     return out
 
 
 def passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which xxhash64 values may be wanted."""
-    h = hashes & ((1 << FILTER_BITS) - 1)
+    h = hashes & (len(bitmap) * 32 - 1)
     return (bitmap[h >> 5] >> (h & 31).astype(np.uint32) & 1).astype(bool)
 
 

@@ -418,6 +418,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     named = nodes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = materialize(named.join(least, "root").select("sid", "component_id"), "components")
+    for used in (members, placed, nodes):
+        discard(used)
     out = slim.join(named, "sid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 

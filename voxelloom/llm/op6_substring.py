@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import materialize, table
+from .common import discard, materialize, table
 from .graph import passes, row_filter
 from .words import Words, batches, gram_hashes
 
@@ -264,7 +264,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     passages = materialize(_passages(candidates.select("id", "text").join(owned, "id")), "passages", compression="zstd")
     routes = windows.join(shared, "window").where("owner < hi").select("block", "owner").distinct()
     spans = _streamed(candidates, passages, routes)
-    return materialize(copies.union(spans).distinct(), "removed")
+    removed = materialize(copies.union(spans).distinct(), "removed")
+    for used in (scanned, entered, suspect, candidates, windows, shared, passages):
+        discard(used)
+    return removed
 
 
 def apply_spans(docs: DataFrame, removed: DataFrame, finish, schema: T.StructType, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
