@@ -127,3 +127,13 @@ def grazing(pixels: DataFrame) -> DataFrame:
     p = [F.col(f"p{a}") for a in "xyz"]
     dot = n[0] * p[0] + n[1] * p[1] + n[2] * p[2]
     return d.withColumn("cos_angle", F.when(length(n) > 0, F.abs(dot) / (length(n) * length(p)))).drop(*[f"{x}{a}" for x in "hg" for a in "xyz"])
+
+
+def resize(pixels: DataFrame, old: tuple[int, int], new: tuple[int, int]) -> DataFrame:
+    """An image (su, sv, ..) of old width and height in the new size, each pixel (u, v)
+    the nearest old one at or before it. Every old pixel is sent to the new ones
+    that show it, so no grid of the new size is joined."""
+    (w, h), (nw, nh) = old, new
+    span = lambda c, a, b: F.sequence(F.ceil(F.col(c) * b / a).cast("int"), F.ceil((F.col(c) + 1) * b / a).cast("int") - 1)
+    wide = pixels.where((F.col("su") < w) & (F.col("sv") < h) & (F.ceil(F.col("su") * nw / w) < F.ceil((F.col("su") + 1) * nw / w)) & (F.ceil(F.col("sv") * nh / h) < F.ceil((F.col("sv") + 1) * nh / h)))
+    return wide.withColumn("u", F.explode(span("su", w, nw))).withColumn("v", F.explode(span("sv", h, nh)))

@@ -914,3 +914,23 @@ def _(s, sf):
 @query("snk11_tsdf_rows", "SELECT ix, iy, iz, tsdf_d, tsdf_w FROM sphere WHERE tsdf_w > 0", "tsdf_d tsdf_w", "sphere")
 def _(s, sf):
     return sphere(s).where("tsdf_w > 0")
+
+
+@query("snk1_nested_snapshot", f"{_SRC} SELECT b.ix, b.iy, b.iz, a_occ, CAST((CASE WHEN cls0 <> 65535 AND cnt0 > 0.01::double THEN 1 ELSE 0 END) + (CASE WHEN cls1 <> 65535 AND cnt1 > 0.01::double THEN 1 ELSE 0 END) AS INT) AS slots, greatest(CASE WHEN cls0 <> 65535 THEN cnt0 - 0.01::double ELSE 0 END, CASE WHEN cls1 <> 65535 THEN cnt1 - 0.01::double ELSE 0 END, 0.0::double) AS best FROM (SELECT * FROM beta WHERE source = 0) b LEFT JOIN (SELECT * FROM src WHERE source = 0) s USING (ix, iy, iz)", "a_occ best", "beta obs")
+def _(s, sf):
+    c = source_classes(s, sf).where("source = 0").drop("source")
+    p = maps.project(maps.with_classes(beta_map(s, sf), c, MAP), MAP, "mapper")
+    return p.select(*KEY, "a_occ", F.size("slots").alias("slots"), F.coalesce(F.array_max(F.transform("slots", lambda x: x["cnt"])), lit(0.0)).alias("best"))
+
+
+@query("snk7_labelled_surface", f"{_SRC}, l AS (SELECT ix, iy, iz, {_DOM} AS label FROM src WHERE source = 0) SELECT p.ix, p.iy, p.iz, coalesce(label, 65535) AS label FROM sphere p LEFT JOIN l ON l.ix = floor((p.ix+0.5::double)*0.25::double/0.5::double) AND l.iy = floor((p.iy+0.5::double)*0.25::double/0.5::double) AND l.iz = floor((p.iz+0.5::double)*0.25::double/0.5::double)", "", "obs sphere")
+def _(s, sf):
+    p = geometry.surface_points(sphere(s), 0.5, 0.25).select(F.col("ix").alias("px"), F.col("iy").alias("py"), F.col("iz").alias("pz"), "x", "y", "z")
+    got = maps.labels_at(p, source_classes(s, sf).where("source = 0"), MAP)
+    return got.select(F.col("px").alias("ix"), F.col("py").alias("iy"), F.col("pz").alias("iz"), "label")
+
+
+@query("src16_resize", "SELECT CAST(u AS INT) AS u, CAST(v AS INT) AS v, event_type FROM range(0, 100) a(u), range(0, 50) b(v) JOIN (SELECT event_id % 160 AS su, event_id // 160 AS sv, event_type FROM events) e ON su = u*160//100 AND sv = v*20//50")
+def _(s, sf):
+    e = s.read.parquet(f"{sf}/events.parquet").select((F.col("event_id") % 160).alias("su"), F.expr("event_id div 160").alias("sv"), "event_type")
+    return ingest.resize(e, (160, 20), (100, 50)).select("u", "v", "event_type")
