@@ -162,9 +162,11 @@ def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF, keep: tuple[str, .
     salt = F.pmod(F.xxhash64(*[f"x{i}" for i in range(P)], "n_words", "word_chars"), F.lit(SALTS)).cast("int")
     stats = materialize(stats.withColumn("salt", salt), "statistics", compression="zstd")
     x = [f"x{i}" for i in range(P)]
-    clean = stats.where("NOT base_failed")
-    fine = estimates(clean.select("g_lang", "g_source", "salt", *x), ["g_lang", "g_source"])
-    wide = estimates(clean.select("g_lang", "salt", *x), ["g_lang"])
+    # Level 0: language and source; level 1: language alone. One run estimates both.
+    level = F.explode(F.array(F.struct(F.lit(0).alias("level"), F.col("g_source").alias("s")), F.struct(F.lit(1).alias("level"), F.lit("").alias("s"))))
+    clean = stats.where("NOT base_failed").select("g_lang", "salt", *x, level.alias("v")).select("v.level", "g_lang", F.col("v.s").alias("g_source"), "salt", *x)
+    both = estimates(clean, ["level", "g_lang", "g_source"])
+    fine, wide = both.where("level = 0"), both.where("level = 1")
     fields = [*[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)]]
     groups = stats.select("g_lang", "g_source").distinct()
     pick = groups.join(fine.where(F.col("n") >= MIN_GROUP).select("g_lang", "g_source", F.struct(*fields).alias("fine")), ["g_lang", "g_source"], "left")
