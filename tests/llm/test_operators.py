@@ -200,6 +200,14 @@ def test_licences(spark, docs, plain):
     assert op4_license.licence_labels(docs).count() == docs.count() and op4_license.licence_labels(empty(spark)).count() == 0
 
 
+def test_licences_at_every_place(spark):
+    gpl2, gpl3 = (next(t for label, t, _ in op4_license.TEMPLATES if label == x and t.startswith("this program")) for x in ("gpl-2", "gpl-3"))
+    partial = gpl3.replace("version 3", "version")
+    d = spark.createDataFrame([(1, f"{gpl2} and then {gpl3}"), (2, f"{gpl3} and then {gpl2}"), (3, f"{partial} {partial} {gpl3}"), (4, partial)], "doc_id long, text string")
+    got = {r.doc_id: r for r in op4_license.licence_labels(d).collect()}
+    assert [got[i].labels for i in (1, 2, 3, 4)] == ["gpl-2,gpl-3", "gpl-2,gpl-3", "gpl-3", ""] and [got[i].score for i in (1, 2, 3, 4)] == [1, 1, 1, 0]
+
+
 def contamination_by_brute_force(rows, items, size=10):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
     windows = collections.defaultdict(set)

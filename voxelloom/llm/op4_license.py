@@ -3,9 +3,9 @@
 Licence templates are indexed by (word, template, position). Of each document
 the licence words with the highest inverse document frequency, taken over the
 whole corpus, are looked up; every posting votes for the place where its
-template would begin, and votes for one place add up. The best place of each
-template is aligned with the document word by word, and the template's
-mandatory phrases must stand there. Base phrases are found by patterns.
+template would begin, and votes for one place add up. Every place with enough
+votes is aligned with the document word by word, and the template's mandatory
+phrases must stand there. Base phrases are found by patterns.
 
 DataFrame functions only. What is broadcast is the template index (some hundred
 rows) and the frequencies of its words.
@@ -71,9 +71,8 @@ def licence_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts the places of the base phrases, first_word and last_word are the first
     and last of them in words from 0 (null without any). labels adds those of the
     aligned templates. score is the highest share of equal words of an accepted
-    alignment, 1 with a base phrase, else 0. A null text has no words. Of two
-    places with as many votes the first one is aligned. Rows that share an id keep
-    a row each; other columns are ignored.
+    alignment, 1 with a base phrase, else 0. A null text has no words. Rows that
+    share an id keep a row each; other columns are ignored.
     """
     spark = docs.sparkSession
     vocabulary = sorted({w for _, t, _ in templates for w in t.split()} - COMMON)
@@ -104,9 +103,9 @@ def licence_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at = at.select("row", F.explode(F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("top", w), F.struct(w.alias("word"), i.alias("pos")))), lambda x: x.isNotNull())).alias("x")).select("row", "x.word", "x.pos")
     index = spark.createDataFrame([(w, k, j) for k, (_, t, _) in enumerate(templates) for j, w in enumerate(t.split()) if w not in COMMON], "word string, template int, place int")
     votes = at.join(index, "word").groupBy("row", "template", (F.col("pos") - F.col("place")).alias("begin")).agg(F.count("*").alias("votes"))
-    best = votes.where(F.col("votes") >= VOTES).groupBy("row", "template").agg(F.max(F.struct("votes", (-F.col("begin")).alias("back"))).alias("x")).select("row", "template", (-F.col("x.back")).alias("begin"))
+    able = votes.where(F.col("votes") >= VOTES).select("row", "template", "begin")
     notices = spark.createDataFrame([(k, label, t.split(), [f" {p} " for p in must]) for k, (label, t, must) in enumerate(templates)], "template int, label string, notice array<string>, must array<string>")
-    there = best.join(cand.select("row", "words"), "row").join(notices, "template")
+    there = able.join(cand.select("row", "words"), "row").join(notices, "template")
     size = F.size("notice")
     equal = F.size(F.filter(F.sequence(F.lit(0), size - 1), lambda j: F.when((F.col("begin") + j) >= 0, F.get("words", F.col("begin") + j)) == F.get("notice", j)))
     near = F.concat(F.lit(" "), F.array_join(F.slice("words", F.greatest(F.col("begin"), F.lit(0)) + 1, size + 4), " "), F.lit(" "))
