@@ -208,6 +208,35 @@ def test_licences_at_every_place(spark):
     assert [got[i].labels for i in (1, 2, 3, 4)] == ["gpl-2,gpl-3", "gpl-2,gpl-3", "gpl-3", ""] and [got[i].score for i in (1, 2, 3, 4)] == [1, 1, 1, 0]
 
 
+def test_licences_of_common_words(spark):
+    bsd, gpl3 = (next(t for label, t, _ in op4_license.TEMPLATES if label == x) for x in ("bsd", "gpl-3"))
+    rows = [(0, f"{bsd} or {gpl3}"), *((i, f"{gpl3} and a general word") for i in range(1, 30))]
+    got = {r.doc_id: r.labels for r in op4_license.licence_labels(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: "bsd,gpl-3", **{i: "gpl-3" for i in range(1, 30)}}
+
+
+def test_licences_equal_alignment_everywhere(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        w = []
+        for _ in range(3):
+            notice = rng.choice(op4_license.TEMPLATES)[1].split()
+            w += [x if rng.random() > 0.1 else rng.choice(["x", "license", "public"]) for x in notice] + rng.choice([["and"], ["public", "license"], []])
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.labels for r in op4_license.licence_labels(spark.createDataFrame(rows, "doc_id long, text string"), rare=1).collect()}
+    for i, t in rows:
+        w, labels = t.split(), {label for p, label in op4_license.BASE_PHRASES if f" {p} " in f" {t} "}
+        for label, notice, must in op4_license.TEMPLATES:
+            notice = notice.split()
+            for b in range(-len(notice), len(w)):
+                same = [x for j, x in enumerate(notice) if 0 <= b + j < len(w) and w[b + j] == x]
+                near = f" {' '.join(w[max(b, 0) : max(b, 0) + len(notice) + 4])} "
+                if len(same) / len(notice) >= op4_license.AGREE and sum(x not in op4_license.COMMON for x in same) >= op4_license.VOTES and all(f" {m} " in near for m in must):
+                    labels.add(label)
+        assert got[i] == ",".join(sorted(labels))
+
+
 def contamination_by_brute_force(rows, items, size=10):
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
     windows = collections.defaultdict(set)

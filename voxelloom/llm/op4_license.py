@@ -1,9 +1,10 @@
 """Licence scans with a positional rare-token index.
 
-Licence templates are indexed by (word, template, position). Of each document
-the licence words with the highest inverse document frequency, taken over the
-whole corpus, are looked up; every posting votes for the place where its
-template would begin, and votes for one place add up. Every place with enough
+Licence templates are indexed by (word, template, position). Of each template
+the positions of the words with the highest inverse document frequency, taken
+over the whole corpus, are looked up in all documents, as many as no accepted
+place can miss; every posting votes for the place where its template would
+begin, and votes for one place add up. Every place with enough
 votes is aligned with the document word by word, and the template's mandatory
 phrases must stand there. Base phrases are found by patterns.
 
@@ -13,7 +14,7 @@ rows) and the frequencies of its words.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -50,7 +51,7 @@ COMMON = frozenset("a and any are as at by can copy file files following for for
 #: Characters outside words, and in words.
 _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-#: Rarest licence words of a document that are looked up; votes, and share of equal words, that a place needs.
+#: Rarest positions of a template that are looked up, at least; votes, and share of equal words, that a place needs.
 RARE, VOTES, AGREE = 8, 2, 0.7
 
 
@@ -64,6 +65,12 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
+def _looked_up(notice: list[str], rare: int) -> int:
+    """Positions of a notice that suffice: of these, an accepted place misses all but VOTES at most."""
+    missed = max(k for k in range(len(notice) + 1) if (len(notice) - k) / len(notice) >= AGREE)
+    return max(rare, missed + VOTES)
+
+
 def licence_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=BASE_PHRASES, templates=TEMPLATES, rare: int = RARE) -> DataFrame:
     """Rows (id, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
@@ -97,12 +104,14 @@ def licence_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_docs = seen.count()
     frequency = cand.select(F.explode("hits").alias("word")).groupBy("word").count()
     idf = frequency.select("word", F.round(F.log((F.lit(n_docs) + 1) / (F.col("count") + F.lit(0.5))) * 1000).cast("long").alias("idf"))
-    ranked = cand.select("row", F.explode("hits").alias("word")).join(idf, "word").groupBy("row").agg(F.array_sort(F.collect_list(F.struct((-F.col("idf")).alias("rank"), "word"))).alias("r"))
-    top = ranked.select("row", F.transform(F.slice("r", 1, rare), lambda x: x["word"]).alias("top"))
-    at = cand.select("row", "words").join(top, "row")
-    at = at.select("row", F.explode(F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("top", w), F.struct(w.alias("word"), i.alias("pos")))), lambda x: x.isNotNull())).alias("x")).select("row", "x.word", "x.pos")
-    index = spark.createDataFrame([(w, k, j) for k, (_, t, _) in enumerate(templates) for j, w in enumerate(t.split()) if w not in COMMON], "word string, template int, place int")
-    votes = at.join(index, "word").groupBy("row", "template", (F.col("pos") - F.col("place")).alias("begin")).agg(F.count("*").alias("votes"))
+    index = [(w, k, j, _looked_up(t.split(), rare)) for k, (_, t, _) in enumerate(templates) for j, w in enumerate(t.split()) if w not in COMMON]
+    index = spark.createDataFrame(index, "word string, template int, place int, places int")
+    # A word that no document holds is the rarest.
+    order = Window.partitionBy("template").orderBy(F.col("idf").desc_nulls_first(), "place")
+    index = materialize(index.join(idf, "word", "left").withColumn("nth", F.row_number().over(order)).where("nth <= places").select("word", "template", "place"), "index")
+    top = F.array(*[F.lit(r["word"]) for r in index.select("word").distinct().orderBy("word").collect()])
+    at = cand.select("row", F.explode(F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(top, w), F.struct(w.alias("word"), i.alias("pos")))), lambda x: x.isNotNull())).alias("x")).select("row", "x.word", "x.pos")
+    votes = at.join(F.broadcast(index), "word").groupBy("row", "template", (F.col("pos") - F.col("place")).alias("begin")).agg(F.count("*").alias("votes"))
     able = votes.where(F.col("votes") >= VOTES).select("row", "template", "begin")
     notices = spark.createDataFrame([(k, label, t.split(), [f" {p} " for p in must]) for k, (label, t, must) in enumerate(templates)], "template int, label string, notice array<string>, must array<string>")
     there = able.join(cand.select("row", "words"), "row").join(notices, "template")
