@@ -359,6 +359,16 @@ def test_main_text(spark):
     assert op9_linedist.page_texts(p.where("false")).count() == 0
 
 
+def test_main_text_is_whole():
+    a, b = "first words " * 20, "last words " * 20
+    main = op9_linedist.main_text
+    for tag in ("article", "main"):
+        page = f"<body><p>menu</p><{tag}><h1>Top</h1><div class=share>tweet</div><section>Short</section><nav>go</nav><p>{a}</p><ul><li>Salt</li><li>Pepper</li></ul><table><tr><td>1</td></tr></table><p><a href=x>all of it linked</a></p><p>{b}</p><div class=ad>buy</div><p>End</p></{tag}><footer>f</footer></body>"
+        assert main(page) == f"Top Short {a}Salt Pepper 1 all of it linked {b}End"
+    assert main(f"<div>{a}</div><div class=ad>buy</div><p>Short</p><aside>no</aside><p>{b}</p><nav>n</nav><p>tail</p>") == f"{a}Short {b.strip()}"
+    assert main("<article><p><a href=x>linked</a></p></article>") == "linked" and main("<nav><article>n</article></nav>") == ""
+
+
 def test_url_rules(spark):
     urls = ["http://A.org/x", "https://www.example.org/es/1?q", "https://example.org/en/12", "http://org", "http://notorg/", "http://x.com/fr/", "http://x.com/de/y#z", "http://my-casino.net/", "no scheme", None, "", "http://com/de/", "http://a.net/b.org/", "http://é.org/ü?x", "http://a.net/" + "x" * 3000]
     p = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")

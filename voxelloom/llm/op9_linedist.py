@@ -4,9 +4,10 @@ Markup is stripped so that each block element stands on a line of its own.
 Lines inside elements that are boilerplate by name (nav, footer, an `ad` class)
 or that consist of links lose their weight but keep their place. The text
 lengths of a few consecutive lines are summed in a sliding window; where the
-sums surge above zero a region begins, where they dive to zero it ends. Regions
-whose highest sum reaches the threshold are kept whole, and the highest one in
-any case.
+sums surge above zero a region begins, where they dive to zero it ends. The main
+text goes from the first to the last region whose highest sum reaches the
+threshold, or is the page's highest; what stands in an article or main element
+belongs to it in any case. Of all this only boilerplate by name is left out.
 """
 
 from __future__ import annotations
@@ -31,9 +32,8 @@ MARKS = frozenset(
     "widget footer header masthead topbar toolbar comment comments disqus respond replies cookie cookies consent notice notices newsletter subscribe subscription "
     "popup modal overlay share sharing social related recommended pagination pager copyright legal login signup search contentinfo complementary".split()
 )
-#: Elements that end a line, and those that set a region apart.
+#: Elements that end a line.
 BLOCKS = frozenset("p br h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr td th table caption blockquote pre hr div section article main header footer nav aside form fieldset figure figcaption address details summary body html option center".split())
-REGIONS = frozenset("section article main header footer nav aside form body ul ol table menu".split())
 #: Elements that never have content.
 VOID = frozenset("br hr img input meta link area base col embed source track wbr param".split())
 
@@ -51,10 +51,11 @@ def marked(attributes: str) -> bool:
     return any(x in MARKS for x in re.split(r"[\s_-]+", names)) or bool(_HIDDEN.search(attributes))
 
 
-def text_lines(page: str) -> list[tuple[str, int]]:
-    """(text, weight) of each line; weight is the text's length without linked
-    text, 0 in boilerplate. Empty lines of no weight stand between regions."""
-    lines: list[tuple[str, int]] = []
+def text_lines(page: str) -> list[tuple[str, int, bool, bool]]:
+    """(text, weight, own, inside) of each line; weight is the text's length, 0 in
+    boilerplate and if most of it is linked. own: not in boilerplate; inside: in
+    an article or main element. Empty lines of no weight stand around boilerplate."""
+    lines: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
     linked = 0
     skip: list[str] = []  # open elements since boilerplate began
@@ -65,9 +66,9 @@ def text_lines(page: str) -> list[tuple[str, int]]:
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
             weight = 0 if skip else len(text)
-            lines.append((text, 0 if linked * 2 > len(text) else weight))
+            lines.append((text, 0 if linked * 2 > len(text) else weight, not skip, content > 0))
         if gap:
-            lines.extend([("", 0)] * WINDOW)
+            lines.extend([("", 0, False, False)] * WINDOW)
         parts.clear()
         linked = 0
 
@@ -95,7 +96,7 @@ def text_lines(page: str) -> list[tuple[str, int]]:
         if tag == "a":
             anchor = not closing
         if tag in BLOCKS:
-            end_line(tag in REGIONS)
+            end_line(False)
         if tag in ("article", "main"):
             content = max(0, content + (-1 if closing else 1))
         if tag in VOID:
@@ -107,7 +108,7 @@ def text_lines(page: str) -> list[tuple[str, int]]:
             elif tag == skip[0]:
                 skip.pop()
                 if not skip:
-                    lines.extend([("", 0)] * WINDOW)
+                    lines.extend([("", 0, False, False)] * WINDOW)
         elif not closing and (tag in BOILERPLATE or (tag == "header" and not content) or (tag not in ("body", "html", "article", "main") and marked(m[3]))):
             end_line(True)
             skip.append(tag)
@@ -119,22 +120,20 @@ def text_lines(page: str) -> list[tuple[str, int]]:
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text: blocks in page order, joined by one space. Null or empty
     pages and pages of boilerplate alone give an empty text; of several regions
-    with the same highest sum, each is kept."""
+    with the same highest sum, each counts."""
     lines = text_lines(page or "")
     if not lines:
         return ""
-    weight = np.array([w for _, w in lines])
+    weight = np.array([w for _, w, _, _ in lines])
     sums = np.convolve(weight, np.ones(window, int))  # sums[i]: lines i - window + 1 to i
     least = min(surge, int(sums.max()))
-    if least <= 0:
-        return ""
-    up = np.flatnonzero(np.diff(np.concatenate([[0], (sums > 0).astype(int), [0]])) == 1)
-    down = np.flatnonzero(np.diff(np.concatenate([[0], (sums > 0).astype(int), [0]])) == -1)
-    out = []
-    for a, z in zip(up, down):
-        if sums[a:z].max() >= least:
-            out += [t for t, w in lines[a : min(z, len(lines))] if w > 0]
-    return " ".join(out)
+    begin = end = 0
+    if least > 0:
+        up = np.flatnonzero(np.diff(np.concatenate([[0], (sums > 0).astype(int), [0]])) == 1)
+        down = np.flatnonzero(np.diff(np.concatenate([[0], (sums > 0).astype(int), [0]])) == -1)
+        kept = [(a, z) for a, z in zip(up, down) if sums[a:z].max() >= least]
+        begin, end = kept[0][0], kept[-1][1]
+    return " ".join(t for i, (t, _, own, inside) in enumerate(lines) if own and (inside or begin <= i < end))
 
 
 def page_texts(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:
