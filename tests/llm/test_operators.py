@@ -95,6 +95,18 @@ def test_robust_distance_equals_numpy(spark):
         assert got[r.doc_id].d2 == pytest.approx(d2, rel=1e-4, abs=1e-4)
 
 
+def test_shares_alone_are_rejected(spark):
+    rng = random.Random(3)
+    line = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    rows = [(i, "\n".join(line(10) for _ in range(20)), "en", "a") for i in range(300)]
+    rows += [(300, "\n".join(line(19) + "\nsame" for _ in range(10)), "en", "a"), (301, "\n".join(line(10) for _ in range(12)) + "\n" + (again := line(40)) + "\n" + again, "en", "a")]
+    once = line(10)
+    rows += [(302, "\n".join([line(10) for _ in range(18)] + [once, once]), "en", "a")]
+    got = {r.doc_id: r for r in quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[300].n_dup_lines == 9 and got[300].n_repeat_words == 0 and got[301].n_repeat_words == 80 and got[301].n_dup_lines == 1
+    assert not any(got[i].base_failed for i in got) and [i for i in got if not got[i].kept] == [300, 301]
+
+
 def test_dac(spark, docs, plain):
     file = P.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer

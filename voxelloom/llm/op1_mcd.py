@@ -26,8 +26,9 @@ SCALE, P = 10_000, 6
 #: Share of the rows that the estimates rest on, and the factor that makes their
 #: covariance consistent for normal data: 0.75 / P(chi2 with 8 degrees <= the 0.75 quantile of chi2 with 6).
 SHARE, CONSISTENCY = 0.75, 1.362
-#: Added to the variances: deviations this small are no evidence.
-FLOOR = (0.25, 0.0025, 0.0064, 0.04, 0.04, 0.0025)
+#: Added to the variances: deviations this small are no evidence. Shares of duplicate lines
+#: and repeated words are bounded; in a group without any, one above 0.39 is rejected by itself.
+FLOOR = (0.25, 0.0025, 0.0064, 0.01, 0.01, 0.0025)
 STEPS, SALTS, MIN_GROUP = 3, 16, 50
 #: Squared distance beyond which a document is rejected: the 0.999999 quantile of chi2 with 6 degrees.
 CUTOFF = 38.26
