@@ -107,6 +107,16 @@ def test_shares_alone_are_rejected(spark):
     assert not any(got[i].base_failed for i in got) and [i for i in got if not got[i].kept] == [300, 301]
 
 
+def test_rare_languages_are_estimated(spark):
+    rng = random.Random(5)
+    line = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(10))
+    text = lambda: "\n".join(line() for _ in range(20))
+    junk = "WHAT? | # | NOW!! | " * 6 + " ".join(str(k) for k in range(60))
+    rows = [(i, text(), "en", "a") for i in range(100)] + [(100 + i, text(), "is", "b") for i in range(10)] + [(200, junk, "is", "b")]
+    got = {r.doc_id: r for r in quality_verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[200].base_failed and [i for i in got if not got[i].kept] == [200] and all(r.d2 is not None for r in got.values())
+
+
 def test_dac(spark, docs, plain):
     file = P.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer

@@ -151,8 +151,8 @@ def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF, keep: tuple[str, .
     distance from its group) and kept.
 
     Groups are languages and sources; one of fewer than MIN_GROUP rows takes the
-    estimate of its language, and a language of fewer leaves d2 null and rejects
-    nothing beyond base_failed. Null languages and sources count as empty ones.
+    estimate of its language, and a language of fewer that of all languages. If all
+    rows are fewer, d2 is null and nothing is rejected beyond base_failed. Null languages and sources count as empty ones.
     The estimates rest on the rows that the base rules pass.
     """
     cols = tuple(dict.fromkeys(keep))
@@ -163,16 +163,18 @@ def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF, keep: tuple[str, .
     salt = F.pmod(F.xxhash64(*[f"x{i}" for i in range(P)], "n_words", "word_chars"), F.lit(SALTS)).cast("int")
     stats = materialize(stats.withColumn("salt", salt), "statistics", compression="zstd")
     x = [f"x{i}" for i in range(P)]
-    # Level 0: language and source; level 1: language alone. One run estimates both.
-    level = F.explode(F.array(F.struct(F.lit(0).alias("level"), F.col("g_source").alias("s")), F.struct(F.lit(1).alias("level"), F.lit("").alias("s"))))
-    clean = stats.where("NOT base_failed").select("g_lang", "salt", *x, level.alias("v")).select("v.level", "g_lang", F.col("v.s").alias("g_source"), "salt", *x)
-    both = estimates(clean, ["level", "g_lang", "g_source"])
-    fine, wide = both.where("level = 0"), both.where("level = 1")
+    # Level 0: language and source; level 1: language alone; level 2: all rows. One run estimates them.
+    at = lambda n, a, b: F.struct(F.lit(n).alias("level"), a.alias("l"), b.alias("s"))
+    level = F.explode(F.array(at(0, F.col("g_lang"), F.col("g_source")), at(1, F.col("g_lang"), F.lit("")), at(2, F.lit(""), F.lit(""))))
+    clean = stats.where("NOT base_failed").select("salt", *x, level.alias("v")).select("v.level", F.col("v.l").alias("g_lang"), F.col("v.s").alias("g_source"), "salt", *x)
+    known = estimates(clean, ["level", "g_lang", "g_source"])
+    fine, wide, whole = (known.where(f"level = {n}") for n in range(3))
     fields = [*[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)]]
     groups = stats.select("g_lang", "g_source").distinct()
     pick = groups.join(fine.where(F.col("n") >= MIN_GROUP).select("g_lang", "g_source", F.struct(*fields).alias("fine")), ["g_lang", "g_source"], "left")
     pick = pick.join(wide.where(F.col("n") >= MIN_GROUP).select("g_lang", F.struct(*fields).alias("wide")), "g_lang", "left")
-    pick = materialize(pick.select("g_lang", "g_source", F.coalesce("fine", "wide").alias("e")).select("g_lang", "g_source", *[F.col(f"e.{f}").alias(f) for f in fields]), "estimates")
+    pick = pick.join(whole.where(F.col("n") >= MIN_GROUP).select(F.struct(*fields).alias("whole")), F.lit(True), "left")
+    pick = materialize(pick.select("g_lang", "g_source", F.coalesce("fine", "wide", "whole").alias("e")).select("g_lang", "g_source", *[F.col(f"e.{f}").alias(f) for f in fields]), "estimates")
     out = with_distance(_salted(stats, pick, ["g_lang", "g_source"]))
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cutoff, F.lit(True)))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2"]
