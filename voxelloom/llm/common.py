@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -34,36 +35,51 @@ def materialize(df: DataFrame, tag: str, **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._voxelloom_path = path
-    for tables in _Recording.open:
-        tables.append(out)
+    if scratch.open:
+        scratch.open[-1].tables.append(out)
     return out
 
 
-def recorded(tables: list):
-    """A context in which tables of materialize() are put on the list."""
-    return _Recording(tables)
+class scratch:
+    """A context that deletes the tables which materialize() makes in it, when it ends,
+    but for those kept; they are left to the context around it. Contexts nest, and a
+    table belongs to the innermost one."""
 
+    open: list[scratch] = []
 
-class _Recording:
-    open: list = []
+    def __enter__(self) -> scratch:
+        self.tables: list[DataFrame] = []
+        self.kept: list[DataFrame] = []
+        scratch.open.append(self)
+        return self
 
-    def __init__(self, tables: list):
-        self.tables = tables
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.append(df)
+        return df
 
-    def __enter__(self):
-        _Recording.open.append(self.tables)
-
-    def __exit__(self, *_):
-        _Recording.open.remove(self.tables)
+    def __exit__(self, *_) -> None:
+        scratch.open.remove(self)
+        for df in self.tables:
+            if not any(df is x for x in self.kept):
+                discard(df)
+            elif scratch.open:
+                scratch.open[-1].tables.append(df)
 
 
 def discard(df: DataFrame) -> None:
     """Deletes a table of materialize() that nothing will read again."""
     spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._voxelloom_path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._voxelloom_path).getParent()
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Collects the driver's garbage: executors delete shuffle files and broadcast
+    blocks when the driver no longer holds the plans they belong to."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def worker_cache() -> dict:
     """A dictionary of this Python process, shared by the tasks it runs."""
     name = "_voxelloom_worker_cache"

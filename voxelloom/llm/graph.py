@@ -16,7 +16,6 @@ def components(edges: DataFrame) -> DataFrame:
     they are flat, edges are rewritten to roots, and so on until none is left.
     Every step is a join or an aggregation; tables are written between steps.
     """
-    spark = edges.sparkSession
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = materialize(e, "edges")
     labels = materialize(e.select(F.col("u").alias("node")).union(e.select("v")).distinct().select("node", F.col("node").alias("root")), "labels")
@@ -39,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
         discard(e)
         discard(p)
         e = f
-    return spark.read.schema(labels.schema).parquet(labels._voxelloom_path)
+    return labels
 
 
 FILTER_BITS = 26
@@ -64,22 +63,35 @@ def passes(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[h >> 5] >> (h & 31).astype(np.uint32) & 1).astype(bool)
 
 
+def unused(names: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with underscores before it until no column has it (upper case or not)."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w = "_" + w
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs whose id isn't in ids (one column). Rows that the bitmap
-    clears stay where they are; only the others are joined. Null ids stay."""
+    clears stay where they are; only the others are joined. Null ids stay. Other
+    columns may have any names."""
     import pyarrow as pa
 
-    ids = ids.select(F.col(ids.columns[0]).alias("_id"))
-    bitmap = docs.sparkSession.sparkContext.broadcast(row_filter(ids, "_id"))
     names = docs.columns
-    keyed = docs.withColumn("_hid", F.xxhash64(id_col))
+    gone, hid = unused(names, "gone_id", "hash_id")
+    ids = ids.select(F.col(ids.columns[0]).alias(gone))
+    bitmap = docs.sparkSession.sparkContext.broadcast(row_filter(ids, gone))
+    keyed = docs.withColumn(hid, F.xxhash64(id_col))
 
     def split(wanted: bool):
         def work(it):
             for batch in it:
-                keep = passes(bitmap.value, batch.column("_hid").to_numpy())
+                keep = passes(bitmap.value, batch.column(hid).to_numpy())
                 yield batch.filter(pa.array(keep if wanted else ~keep)).select(names)
 
         return keyed.mapInArrow(work, docs.schema)
 
-    return split(False).union(split(True).join(ids, F.col(id_col) == F.col("_id"), "left_anti"))
+    return split(False).union(split(True).join(ids, F.col(id_col) == F.col(gone), "left_anti"))

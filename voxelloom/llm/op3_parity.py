@@ -4,35 +4,42 @@ A set of shingles is hashed into a wide bit sketch: a shingle flips one bit, so
 the Hamming distance of two sketches never exceeds the size of the symmetric
 difference of the sets. At a similarity of at least J that difference is at most
 t = (1 - J) / (1 + J) times the sum of the sizes, so of t + 1 segments of the
-sketches one is equal, and from some equal one on, around the ring, the first l
-segments differ by l - 1 bits at most, for every l. Sets are joined on equal segments within bands of sizes; a segment that
-few shingles reach is joined together with the next one, with one bit left out
-where needed. A segment is kept as the XOR of the codes of its set bits.
-
-Pairs are not formed within a bucket: every member is first compared with the
-bucket's smallest one. When those links have been joined to components, members
-of one bucket in different components are compared, so no link between two
-components is lost. Pairs pass a Hamming filter on folded sketches before the
-shingle sets are compared.
-
-Identical sets share a 64-bit name and are one node of the graph.
+sketches one is equal. Sets are joined on equal segments within bands of sizes; a
+segment that no shingle reaches is joined together with the next one, with one bit
+left out where needed. A segment is kept as the XOR of the codes of its set bits.
+
+No pairs are written. A set that shares a bucket takes the smallest member of its
+buckets as a label, and the sets of one label meet in a cell. Afterwards each bucket
+that still holds several components puts its members into the cell of its smallest
+component, a set once for each such component and not for each bucket. In a cell,
+sets of different components are compared by their sketches; those with a partner
+that may be alike meet again with their texts, are compared by wider sketches and
+then by their shingles, and only links that join two components leave the cell, at
+most one a set. A cell with too many members or shingles is dealt out in parts, and
+every two parts meet, but for parts of one component. So no link between two
+components is lost.
+
+Identical sets are one node of the graph. Nodes are named by 64 bits, and told
+apart by 64 more; links compare shingles by 128 bits.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, table
+from .common import discard, materialize, release, scratch, table
 from .graph import components, passes, row_filter
 from .words import Words, batches, gram_hashes, mix
 
-#: Bits of the folded sketches that pairs are filtered by.
+#: Bits of the narrowest sketches.
 FOLD = 512
-#: Members of a bucket that are compared in one block; those of a small bucket; parts of others.
-CHUNK, SMALL, PARTS = 4096, 256, 3
+#: Members of a cell, and shingles of all of them.
+CHUNK, CELL_SHINGLES = 4096, 1 << 20
 
 
 class Bands:
@@ -64,8 +71,6 @@ class Bands:
         return 1 + 2 * self.hi[k] * (self.den - self.num) // (self.den + self.num)
 
 
-#: Segments of so few shingles are joined together with the next one.
-LONELY = 0
 #: A bucket key holds a hash, the band and the segment.
 BAND_BITS, PART_BITS = 7, 17
 
@@ -86,7 +91,7 @@ def segment_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
         def key(h, at):
             return (mix(h) << np.uint64(BAND_BITS + PART_BITS)) | at  # noqa: B023
 
-        few = size <= LONELY if m > 1 else np.zeros(m, bool)
+        few = size == 0 if m > 1 else np.zeros(m, bool)
         out.append(key(name[~few], place[~few]))
         i = np.flatnonzero(few)
         j = (i + 1) % m
@@ -98,82 +103,131 @@ def segment_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def on_ring(different: np.ndarray, segments: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """For pairs of one bucket: may the first l segments from theirs on differ by
-    l - 1 bits at most, for every l? different holds the XOR of the folded
-    sketches, whose bits follow the order of the segments. Only bits that lie
-    wholly within those segments are counted."""
-    bits = np.unpackbits(different.view(np.uint8).reshape(len(different), -1), axis=1, bitorder="little")
-    begin = -(-part * FOLD // segments)
-    k = np.arange(FOLD)
-    upto = np.cumsum(np.take_along_axis(bits, (begin[:, None] + k) % FOLD, 1), axis=1, dtype=np.int32)
-    whole = -(-(begin[:, None] + k + 1) * segments[:, None] // FOLD) - part[:, None]
-    return (upto < np.maximum(whole, 1)).all(1) | (segments >= 1 << PART_BITS)
-
-
-def shingle_sets(column, k: int) -> list[np.ndarray]:
-    """Sorted distinct hashes of the k-word shingles of each text; a shorter text is one shingle."""
+def shingle_sets(column, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the sorted distinct hashes of its k-word shingles, and their
+    hashes in the other lane; a shorter text is one shingle."""
     w = Words(column, "space_lower")
-    h = w.hashes()
-    g = gram_hashes(h, k)
+    h = [w.hashes(lane) for lane in (0, 1)]
+    g = [gram_hashes(x, k) for x in h]
+    none = np.zeros(0, np.uint64)
     out = []
     for a, z in zip(w.ptr[:-1].tolist(), w.ptr[1:].tolist()):
         if z - a >= k:
-            out.append(np.unique(g[a : z - k + 1]))
+            s, at = np.unique(g[0][a : z - k + 1], return_index=True)
+            out.append((s, g[1][a + at]))
         else:
-            out.append(gram_hashes(h[a:z], z - a) if z > a else np.zeros(0, np.uint64))
+            out.append((gram_hashes(h[0][a:z], z - a), gram_hashes(h[1][a:z], z - a)) if z > a else (none, none))
     return out
 
 
-def packed(s: np.ndarray) -> bytes:
-    """The upper six bytes of each hash: two shingles of two sets of a thousand
-    then clash once in some hundred million pairs of sets."""
-    return s.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+def set_name(s: tuple[np.ndarray, np.ndarray]) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers."""
+    raw = hashlib.blake2b(s[0].tobytes() + s[1].tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
+def alike(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], num: int, den: int) -> bool:
+    """den * intersection >= num * union, of two sets that aren't empty."""
+    at = np.minimum(np.searchsorted(x[0], y[0]), len(x[0]) - 1)
+    both = int(((x[0][at] == y[0]) & (x[1][at] == y[1])).sum())
+    return both * den >= num * (len(x[0]) + len(y[0]) - both)
 
 
-def wide_bits(n: int) -> int:
-    """Bits of a sketch that can tell sets of n shingles apart: more than n, in powers of two."""
-    return FOLD if n <= FOLD * 3 // 4 else 1 << (n * 4 // 3).bit_length()
+def sketch_bits(n: int) -> int:
+    """Bits of the sketch of a set of n shingles: at least 2 n, a power of two."""
+    return max(FOLD, 1 << max(0, 2 * n - 1).bit_length())
 
 
-def folded(s: np.ndarray, bits: int) -> bytes:
-    """The parity of the hashes in each of so many equal ranges (a power of two)."""
+def parity(s: np.ndarray, bits: int) -> np.ndarray:
+    """The sketch: the parity of the hashes in each of so many equal ranges (a power of two), as bytes."""
     at = (s >> np.uint64(65 - bits.bit_length())).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
-
-
-def hamming(x: list[bytes], y: list[bytes]) -> np.ndarray:
-    """Distances of pairs of sketches; the wider one of two is folded to the other's bits."""
-    out = np.zeros(len(x), np.int64)
-    sizes = np.array([[len(a), len(b)] for a, b in zip(x, y)], np.int64).reshape(-1, 2)
-    for pair in np.unique(sizes, axis=0):
-        at = np.flatnonzero((sizes == pair).all(1))
-        both = []
-        for side in (x, y):
-            m = np.frombuffer(b"".join(side[i] for i in at), np.uint8).reshape(len(at), -1)
-            while m.shape[1] > pair.min():
-                b = np.unpackbits(m, axis=1, bitorder="little").reshape(len(at), -1, 2)
-                m = np.packbits(b[:, :, 0] ^ b[:, :, 1], axis=1, bitorder="little")
-            both.append(np.ascontiguousarray(m).view(np.uint64))
-        out[at] = np.bitwise_count(both[0] ^ both[1]).sum(1)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little")
+
+
+def halved(sketches: np.ndarray) -> np.ndarray:
+    """Sketches (rows of bytes) of half the bits."""
+    b = np.unpackbits(sketches, axis=1, bitorder="little").reshape(len(sketches), -1, 2)
+    return np.packbits(b[:, :, 0] ^ b[:, :, 1], axis=1, bitorder="little")
+
+
+class Sketches:
+    """Sketches of sets in ascending order of their sizes, at each of their widths."""
+
+    def __init__(self, raw: list[bytes]):
+        self.width = np.array([len(x) for x in raw], np.int64)
+        self.at: dict[int, tuple[int, np.ndarray]] = {}
+        wider = np.zeros((0, 0), np.uint8)
+        first = len(raw)
+        for w in sorted(set(self.width.tolist()), reverse=True):
+            while len(wider) and wider.shape[1] > w:
+                wider = halved(wider)
+            begin = int(np.searchsorted(self.width, w))
+            own = np.frombuffer(b"".join(raw[begin:first]), np.uint8).reshape(-1, w)
+            wider = np.concatenate([own, wider.reshape(-1, w)])
+            self.at[w] = (begin, np.ascontiguousarray(wider).view(np.uint64))
+            first = begin
+
+    def distance(self, i: int, j: np.ndarray) -> np.ndarray:
+        """Hamming distances of set i and sets j > i, at the width of i."""
+        begin, m = self.at[int(self.width[i])]
+        return np.bitwise_count(m[i - begin] ^ m[j - begin]).sum(1, dtype=np.int64)
+
+
+class Cell:
+    """Sets in ascending order of their sizes, and which of them may be compared:
+    those of different roots, and not of the same side unless it is 0."""
+
+    def __init__(self, n: np.ndarray, label: np.ndarray, side: np.ndarray, num: int, den: int):
+        self.n, self.label, self.side, self.num, self.den = n, label, side, num, den
+        self.upto = np.searchsorted(n, n * den // num, side="right")
+
+    def partners(self, i: int, sketches: Sketches) -> np.ndarray:
+        """Sets j > i that sketches do not rule out."""
+        j = np.arange(i + 1, self.upto[i])
+        j = j[(self.label[j] != self.label[i]) & ((self.side[j] == 0) | (self.side[j] != self.side[i]))]
+        return self.close(i, j, sketches) if len(j) else j
+
+    def close(self, i: int, j: np.ndarray, sketches: Sketches) -> np.ndarray:
+        return j[sketches.distance(i, j) * (self.den + self.num) <= (self.n[i] + self.n[j]) * (self.den - self.num)]
+
+
+def in_question(n: np.ndarray, root: np.ndarray, side: np.ndarray, sketches: list[bytes], num: int, den: int) -> np.ndarray:
+    """Which sets of a cell have a partner that sketches do not rule out."""
+    order = np.argsort(n, kind="stable")
+    cell = Cell(n[order], root[order], side[order], num, den)
+    by_width = Sketches([sketches[i] for i in order])
+    out = np.zeros(len(n), bool)
+    for i in range(len(n) - 1):
+        j = cell.partners(i, by_width)
+        if len(j):
+            out[order[i]] = out[order[j]] = True
     return out
 
 
-def set_name(s: np.ndarray) -> int:
-    c = mix(s)
-    with np.errstate(over="ignore"):
-        x = np.bitwise_xor.reduce(c) ^ (c.sum(dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(len(s)))
-    return int(mix(np.array([x], np.uint64)).view(np.int64)[0])
+def linked(column, root: np.ndarray, side: np.ndarray, k: int, num: int, den: int) -> list[tuple[int, int]]:
+    """(root, smaller root) of components that links within a cell join. Rows of one
+    root are not compared, nor rows of one side other than 0."""
+    sets = shingle_sets(column, k)
+    n = np.array([len(s) for s, _ in sets], np.int64)
+    order = np.argsort(n, kind="stable")
+    sets = [sets[i] for i in order]
+    names, label = np.unique(root[order], return_inverse=True)
+    cell = Cell(n[order], label, side[order], num, den)
+    # At this width few shingles share a bit, so few pairs that are not alike are left.
+    most = max(FOLD, (64 << 23) // max(1, len(sets)))  # 64 MB in all
+    wide = Sketches([parity(s, min(8 * sketch_bits(len(s)), 1 << most.bit_length() - 1)).tobytes() for s, _ in sets])
+    before = label.copy()
+    for i in range(len(sets) - 1):
+        for x in cell.partners(i, wide).tolist():
+            if label[x] != label[i] and alike(sets[i], sets[x], num, den):
+                old, new = sorted((label[x], label[i]), reverse=True)
+                label[label == old] = new
+    pairs = np.unique(np.stack([before, label], 1), axis=0)
+    return [(int(names[a]), int(names[b])) for a, b in pairs.tolist() if a != b]
 
 
 def _sketch(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(id, n, sid, fold, wide, keys, shared, centers) of each document. keys are those
+    """(id, n, sid, name, check, sketch, keys, shared, centers) of each document. keys are those
     that the set enters for its slice of documents: all but the ones that a
     smaller set of the slice enters, which are in shared, with that set in centers."""
 
@@ -181,11 +235,12 @@ def _sketch(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         bands = Bands(num, den)
         for batch in batches(it):
             sets = shingle_sets(batch.column("text"), k)
-            sid = np.array([set_name(s) if len(s) else 0 for s in sets], np.int64)
-            first: dict[int, int] = {}
+            names = [set_name(s) if len(s[0]) else (0, 0) for s in sets]
+            sid = np.array([x for x, _ in names], np.int64)
+            first: dict[tuple[int, int], int] = {}
             keys: list[np.ndarray] = []
-            for i, s in enumerate(sets):
-                fresh = len(s) and first.setdefault(int(sid[i]), i) == i
+            for i, (s, _) in enumerate(sets):
+                fresh = len(s) and first.setdefault(names[i], i) == i
                 keys.append(segment_keys(s, bands) if fresh else np.zeros(0, np.uint64))
             size = np.array([len(x) for x in keys])
             flat, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), size)
@@ -197,27 +252,37 @@ def _sketch(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             multi = ~new
             multi[:-1] |= ~new[1:]
 
-            def lists(mask, values, kind):
+            def lists(mask, values):
                 by = np.argsort(fo[mask], kind="stable")
                 ptr = np.concatenate([[0], np.cumsum(np.bincount(fo[mask], minlength=len(keys)))]).astype(np.int32)
-                return pa.ListArray.from_arrays(pa.array(ptr), pa.array(values[mask][by].astype(kind)))
+                return pa.ListArray.from_arrays(pa.array(ptr), pa.array(values[mask][by].astype(np.int64)))
 
             signed = fk.view(np.int64)
-            fold, wide = [], []
-            for s in sets:
-                wide.append(folded(s, wide_bits(len(s))) if wide_bits(len(s)) > FOLD else None)
-                fold.append(folded(s, FOLD))
-            cols = [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sid, pa.int64(), mask=np.array([not len(s) for s in sets])), pa.array(fold, pa.binary()), pa.array(wide, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*cols, lists(new, signed, np.int64), lists(multi, signed, np.int64), lists(multi, center, np.int64)], ["id", "n", "sid", "fold", "wide", "keys", "shared", "centers"])
+            alone = np.array([not len(s) for s, _ in sets])
+            cols = [batch.column("id"), pa.array([len(s) for s, _ in sets], pa.int64()), pa.array(sid, pa.int64(), mask=alone), pa.array(sid), pa.array([c for _, c in names], pa.int64()), pa.array([parity(s, sketch_bits(len(s))).tobytes() for s, _ in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*cols, lists(new, signed), lists(multi, signed), lists(multi, center)], ["id", "n", "sid", "name", "check", "sketch", "keys", "shared", "centers"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(work, f"id {kind}, n long, sid long, fold binary, wide binary, keys array<long>, shared array<long>, centers array<long>")
+    return docs.select("id", "text").mapInArrow(work, f"id {kind}, n long, sid long, name long, check long, sketch binary, keys array<long>, shared array<long>, centers array<long>")
+
+
+def _nodes(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sketches, nodes): a node (sid, name, check, rep, n, sketch) for each different set.
+    sid is its name, but for sets whose names clash."""
+    while True:
+        nodes = sketches.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("rep"), F.max("name").alias("name"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+        nodes = materialize(nodes, "nodes")
+        clash = nodes.where("lo <> hi").select("sid", "lo")
+        if not clash.limit(1).count():
+            return sketches, nodes.drop("hi").withColumnRenamed("lo", "check")
+        other = F.when(F.col("check") > F.col("lo"), F.xxhash64("sid", "check")).otherwise(F.col("sid"))
+        sketches = materialize(sketches.join(clash, "sid", "left").withColumn("sid", other).drop("lo"), "sketches")
 
 
 def _members(sketches: DataFrame) -> DataFrame:
-    """(key, sid, center, many) of every set in a bucket of two sets or more; many
-    unless there are just these two. A bucket gets at most one row from each slice,
-    so a frequent key is no large group."""
+    """(key, sid, center) of every set in a bucket of two sets or more; center is a small
+    one of them. A bucket gets at most one row from each slice, so a frequent key is
+    no large group."""
 
     def runs(it):
         key = center = None
@@ -233,161 +298,129 @@ def _members(sketches: DataFrame) -> DataFrame:
                 c = c.copy()
                 c[:end] = center
             other = s != c
-            first = np.flatnonzero(new)
-            size = np.diff(first, append=len(k))
-            heavy = np.add.reduceat(batch.column("heavy").to_numpy(zero_copy_only=False).astype(np.int64), first)
-            many = np.repeat((size > 2) | (heavy > 0), size)
-            many[: size[0]] = many[len(k) - size[-1] :] = True  # these may go on in another batch
             key, center = k[-1], c[-1]
             both, at = np.unique(k[other], return_index=True)
-            out = [np.concatenate([k[other], both]), np.concatenate([s[other], c[other][at]]), np.concatenate([c[other], c[other][at]]), np.concatenate([many[other], many[other][at]])]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "sid", "center", "many"])
-
-    heavy = F.array_contains("shared", F.col("key"))
-    entered = sketches.select(F.explode("keys").alias("key"), "sid", "shared").select("key", "sid", heavy.alias("heavy")).repartition("key").sortWithinPartitions("key", "sid")
-    across = entered.mapInArrow(runs, "key long, sid long, center long, many boolean")
-    within = sketches.select("sid", F.explode(F.arrays_zip("shared", "centers")).alias("x")).select("x.shared", "sid", "x.centers", F.lit(True))
-    return across.union(within)
-
-
-def _cross(placed: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of members of one bucket in different components that pass the
-    filters by size, Hamming distance and ring. Buckets of more than CHUNK members are
-    dealt out in blocks; members of the bucket's largest component are not
-    compared with each other there."""
-    mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("c")).where("x <> y").select("key", "c", "x")
-    rows = placed.join(mixed, "key").join(nodes.select("sid", "n", "fold"), "sid")
-    cols = ["key", "root", "sid", "n", "fold"]
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    own = lambda n: F.pmod(F.xxhash64("sid"), n).cast("int")
-
-    def halves(df: DataFrame, n, group: str) -> DataFrame:
-        """Members dealt out to n parts, and every two parts to a block."""
-        d = df.select(*cols, F.col(group).alias("block"), own(n).alias("i"), every(n).alias("j"))
-        side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2)
-        return d.select(*cols, "block", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), side.alias("side"))
-
-    small = rows.where(F.col("c") <= SMALL).select(*cols, F.col("key").alias("block"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"))
-    # Buckets of one group of near copies mostly have the same smallest component: their blocks meet, and a pair is found once.
-    middle = halves(rows.where((F.col("c") > SMALL) & (F.col("c") <= CHUNK)), F.lit(PARTS), "x")
-    # Large buckets: the largest component (side 1) against the others (side 2), and the others among themselves.
-    cells = placed.join(mixed.where(F.col("c") > CHUNK), "key").groupBy("key", "root", "c").count()
-    plan = cells.groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.max("c").alias("all"))
-    plan = plan.select("key", F.col("top.root").alias("main"), F.ceil(F.col("top.count") / CHUNK).cast("int").alias("p"), F.ceil((F.col("all") - F.col("top.count")) / CHUNK).cast("int").alias("q"))
-    big = rows.join(plan, "key")
-    main = big.where("root = main").select(*cols, F.col("key").alias("block"), (-1 - own(F.col("p"))).alias("lo"), every(F.col("q")).alias("hi"), F.lit(1).alias("side"))
-    rest = big.where("root <> main")
-    facing = rest.select(*cols, F.col("key").alias("block"), every(F.col("p")).alias("i"), own(F.col("q")).alias("hi"), F.lit(2).alias("side"))
-    facing = facing.select(*cols, "block", (-1 - F.col("i")).alias("lo"), "hi", "side")
-    blocks = small.union(middle).union(main).union(facing).union(halves(rest, F.col("q"), "key"))
-    blocks = blocks.repartition("block", "lo", "hi").sortWithinPartitions("block", "lo", "hi", "key")
-    bands = Bands(num, den)
-
-    def pairs(table: pa.Table):
-        k, lo, hi, root, sid, n, side = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "root", "sid", "n", "side"))
-        fold = np.frombuffer(b"".join(table.column("fold").to_pylist()), np.uint64).reshape(-1, FOLD // 64)
-        new = np.ones(len(k), bool)
-        block = table.column("block").to_numpy()
-        new[1:] = (block[1:] != block[:-1]) | (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-        first = np.flatnonzero(new)
-        size = np.diff(first, append=len(k))
-        ends = np.repeat(first + size, size)
-        band, part = k >> PART_BITS & ((1 << BAND_BITS) - 1), k & ((1 << PART_BITS) - 1)
-        segments = np.array([bands.segments(b) for b in range(int(band.max(initial=0)) + 1)])
-        at, d, found = np.arange(len(k)), 0, []
-        while True:
-            d += 1
-            at = at[at + d < ends[at]]
-            if not len(at):
-                break
-            i, j = at, at + d
-            ok = (root[i] != root[j]) & ((side[i] == 0) | (side[i] != side[j])) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
-            i, j = i[ok], j[ok]
-            ok = np.bitwise_count(fold[i] ^ fold[j]).sum(1) * (den + num) <= (n[i] + n[j]) * (den - num)
-            i, j = i[ok], j[ok]
-            for lo_ in range(0, len(i), 2_000):
-                x, y = i[lo_ : lo_ + 2_000], j[lo_ : lo_ + 2_000]
-                ok = on_ring(fold[x] ^ fold[y], segments[band[x]], part[x])
-                found.append(np.stack([np.minimum(sid[x[ok]], sid[y[ok]]), np.maximum(sid[x[ok]], sid[y[ok]])], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-
-    def work(it):
+            out = [np.concatenate([k[other], both]), np.concatenate([s[other], c[other][at]]), np.concatenate([c[other], c[other][at]])]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "sid", "center"])
+
+    entered = sketches.select(F.explode("keys").alias("key"), "sid").repartition("key").sortWithinPartitions("key", "sid")
+    within = sketches.select("sid", F.explode(F.arrays_zip("shared", "centers")).alias("x")).select("x.shared", "sid", "x.centers")
+    return entered.mapInArrow(runs, "key long, sid long, center long").union(within)
+
+
+def _parts(c: Column, size: Column) -> Column:
+    return F.greatest(F.ceil(c / CHUNK), F.ceil(size / CELL_SHINGLES), F.lit(1)).cast("int")
+
+
+def _own(n: Column | str) -> Column:
+    return F.pmod(F.xxhash64("sid"), F.col(n) if isinstance(n, str) else n).cast("int")
+
+
+_CELL = ("sid", "root", "label", "lo", "hi", "side")
+
+
+def _by_label(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Cells of the sets that share the smallest of the members of their buckets."""
+    label = members.groupBy("sid").agg(F.least(F.min("center"), F.col("sid")).alias("label"))
+    rows = label.join(nodes.select("sid", "n"), "sid")
+    counts = rows.groupBy("label").agg(F.count("*").alias("c"), F.sum("n").alias("b")).where("c > 1").select("label", _parts(F.col("c"), F.col("b")).alias("p"))
+    rows = rows.join(counts, "label").withColumn("lo", _own("p"))
+    return rows.select("sid", F.col("sid").alias("root"), "label", "lo", F.col("lo").alias("hi"), F.lit(0).alias("side"))
+
+
+def _by_component(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Cells of the sets in buckets that hold several components, by the smallest of them."""
+    placed = members.select("key", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
+    placed = materialize(placed, "placed")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("label"), F.max("root").alias("last")).where("label <> last").select("key", "label")
+    rows = placed.join(mixed, "key").select("sid", "root", "label").distinct().join(nodes.select("sid", "n"), "sid")
+    rows = materialize(rows, "rows")
+    discard(placed)
+    each = rows.groupBy("label", "root").agg(F.count("*").alias("c"), F.sum("n").alias("b"))
+    plan = each.groupBy("label").agg(F.max(F.struct("c", "b", "root")).alias("top"), F.sum("c").alias("c"), F.sum("b").alias("b"))
+    # p: parts of the largest component, q: of all others; 0 and 1 where one cell holds all.
+    whole = _parts(F.col("c"), F.col("b")) == 1
+    p = F.when(whole, 0).otherwise(_parts(F.col("top.c"), F.col("top.b")))
+    q = F.when(whole, 1).otherwise(_parts(F.col("c") - F.col("top.c"), F.col("b") - F.col("top.b")))
+    plan = plan.select("label", F.col("top.root").alias("main"), p.alias("p"), q.alias("q"))
+    rows = rows.join(plan, "label")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = ["sid", "root", "label"]
+    one = rows.where("p = 0").select(*at, F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"))
+    main = rows.where("p > 0 AND root = main").select(*at, (-1 - _own("p")).alias("lo"), every("q").alias("hi"), F.lit(1).alias("side"))
+    rest = rows.where("p > 0 AND root <> main")
+    facing = rest.select(*at, _own("q").alias("hi"), every("p").alias("i")).select(*at, (-1 - F.col("i")).alias("lo"), "hi", F.lit(2).alias("side"))
+    half = rest.select(*at, _own("q").alias("i"), every("q").alias("j"))
+    side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2)
+    half = half.select(*at, F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), side.alias("side"))
+    return one.union(main).union(facing).union(half)
+
+
+def _by_cell(work, keys: tuple[str, ...]):
+    """For mapInArrow over rows sorted by the keys: work(table of a cell) gives a table."""
+
+    def run(it):
         held: list[pa.RecordBatch] = []
-        last, seen = None, np.zeros((0, 2), np.int64)
-
-        def once(table: pa.Table) -> pa.RecordBatch:
-            """The pairs of some rows, but for those that their first block has given before."""
-            nonlocal last, seen
-            ends = [tuple(table.column(c)[i].as_py() for c in ("block", "lo", "hi")) for i in (0, table.num_rows - 1)]
-            out = pairs(table)
-            if ends[0] == last and len(seen) and len(out):
-                old = set(map(tuple, seen.tolist()))
-                out = out[[x not in old for x in map(tuple, out.tolist())]]
-            seen = np.concatenate([seen, out]) if ends[0] == last == ends[1] else out
-            last = ends[1]
-            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
-
-        for batch in it:  # the last bucket of a batch may go on in the next one
-            if batch.num_rows:
-                held.append(batch)
-                table = pa.Table.from_batches(held).combine_chunks()
-                same = np.ones(table.num_rows, bool)
-                for c in ("block", "lo", "hi", "key"):
-                    x = table.column(c).to_numpy()
-                    same &= x == x[-1]
-                cut = table.num_rows - int(same.sum())
-                if cut:
-                    yield once(table.slice(0, cut))
-                held = table.slice(cut).to_batches()
-        if held:
-            yield once(pa.Table.from_batches(held).combine_chunks())
-
-    return blocks.mapInArrow(work, "a long, b long").distinct()
-
-
-def _near(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that pass the filters by size and Hamming distance."""
-    node = lambda x: nodes.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.coalesce("wide", "fold").alias(f"f{x}"))
-    near = pairs.join(node("a"), "a").join(node("b"), "b")
-    near = near.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
-
-    def close(it):
+        last = None
         for batch in it:
-            d = hamming(batch.column("fa").to_pylist(), batch.column("fb").to_pylist())
-            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            keep = pa.array(d * (den + num) <= total * (den - num))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(c).to_numpy() for c in keys], 1)
+            cut = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(1)) + 1).tolist(), len(at)]
+            for a, z in zip(cut, cut[1:]):
+                if held and last != tuple(at[a]):
+                    yield from work(pa.Table.from_batches(held).combine_chunks()).to_batches()
+                    held = []
+                held.append(batch.slice(a, z - a))
+                last = tuple(at[a])
+        if held:
+            yield from work(pa.Table.from_batches(held).combine_chunks()).to_batches()
 
-    return near.select("a", "b", "na", "nb", "fa", "fb").mapInArrow(close, "a long, b long")
+    return run
 
 
-def _verified(near: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of sets that reach the similarity."""
-    near = materialize(near, "near")
-    wanted = near.select(F.col("a").alias("sid")).union(near.select("b")).distinct().join(nodes.select("sid", "rep"), "sid")
+def _texts(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(name, check, text) of nodes whose rep is in wanted; others may come along."""
     bitmap = docs.sparkSession.sparkContext.broadcast(row_filter(wanted, "rep"))
 
-    def sets(it):
+    def work(it):
         for batch in it:
-            b = batch.filter(pa.array(passes(bitmap.value, batch.column("hid").to_numpy())))
+            b = batch.filter(pa.array(passes(bitmap.value, batch.column("h").to_numpy())))
             for part in batches([b]) if b.num_rows else ():
-                found = {set_name(s): packed(s) for s in shingle_sets(part.column("text"), k) if len(s)}
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["sid", "shingles"])
-
-    have = docs.select(F.xxhash64("id").alias("hid"), "text").mapInArrow(sets, "sid long, shingles binary")
-
-    def compare(it):
-        for batch in it:
-            keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                size = (len(x) + len(y)) // 6
-                both = size - len(np.unique(np.concatenate([unpacked(x), unpacked(y)])))
-                keep.append(both * den >= (size - both) * num)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    side = lambda x: have.select(F.col("sid").alias(x), F.col("shingles").alias(f"s{x}"))
-    out = materialize(near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long").distinct(), "links")
-    discard(near)
+                names: dict[tuple[int, int], int] = {}
+                for i, s in enumerate(shingle_sets(part.column("text"), k)):
+                    if len(s[0]):
+                        names.setdefault(set_name(s), i)
+                name, check = zip(*names) if names else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(check, pa.int64()), part.column("text").take(pa.array(list(names.values()), pa.int64()))], ["name", "check", "text"])
+
+    return docs.select(F.xxhash64("id").alias("h"), "text").mapInArrow(work, "name long, check long, text string")
+
+
+def _links(cells: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(a, b): components that links within the cells join, b the smallest of its cell."""
+    at = ("label", "lo", "hi")
+
+    def question(cell: pa.Table) -> pa.Table:
+        n, root, side = (cell.column(c).to_numpy() for c in ("n", "root", "side"))
+        keep = in_question(n, root, side, cell.column("sketch").to_pylist(), num, den)
+        return cell.select(list(_CELL)).filter(pa.array(keep))
+
+    rows = cells.select(*_CELL).join(nodes.select("sid", "n", "sketch"), "sid").repartition(*at).sortWithinPartitions(*at)
+    rows = rows.select(*_CELL, "n", "sketch").mapInArrow(_by_cell(question, at), "sid long, root long, label long, lo int, hi int, side int")
+    rows = materialize(rows, "cells")
+    release(cells.sparkSession)
+    found = materialize(rows.select("sid").distinct().join(nodes.select("sid", "name", "check", "rep"), "sid"), "found")
+
+    def links(cell: pa.Table) -> pa.Table:
+        # A text may come twice, from two rows of its id.
+        out = linked(cell.column("text"), *(cell.column(c).to_numpy() for c in ("root", "side")), k, num, den)
+        return pa.table([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+
+    texts = found.join(_texts(found, docs, k), ["name", "check"]).select("sid", "text")
+    rows = rows.join(texts, "sid").select(*at, "root", "side", "text").repartition(*at).sortWithinPartitions(*at)
+    out = materialize(rows.mapInArrow(_by_cell(links, at), "a long, b long").distinct(), "links")
+    release(cells.sparkSession)
     return out
 
 
@@ -401,27 +434,30 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     Rows that share an id keep a row each. Other columns are ignored.
     """
     d = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
-    sketches = materialize(_sketch(d, k, num, den), "sketches")
-    nodes = materialize(sketches.where("sid IS NOT NULL").groupBy("sid").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("fold").alias("fold"), F.max("wide").alias("wide")), "nodes")
-    members = materialize(_members(sketches), "members")
-    slim = materialize(sketches.select("id", "n", "sid"), "documents")
-    discard(sketches)
-    star = members.where("sid <> center").select(F.col("sid").alias("a"), F.col("center").alias("b")).distinct()
-    links = _verified(_near(star, nodes, num, den), nodes, d, k, num, den)
-    roots = components(links)
-    # Members of one bucket in different components.
-    placed = materialize(members.where("many").select("key", "sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("root")), "placed")
-    cross = _cross(placed, nodes, num, den)
-    more = _verified(_near(cross, nodes, num, den), nodes, d, k, num, den)
-    if more.limit(1).count():
-        roots = components(links.union(more))
-    named = nodes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = materialize(named.join(least, "root").select("sid", "component_id"), "components")
-    for used in (members, placed, nodes):
-        discard(used)
-    out = slim.join(named, "sid", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    spark = docs.sparkSession
+    with scratch() as own:
+        sketches, nodes = _nodes(materialize(_sketch(d, k, num, den), "sketches"))
+        members = materialize(_members(sketches), "members")
+        slim = materialize(sketches.select("id", "n", "sid"), "documents")
+        discard(sketches)
+        release(spark)
+        roots = components(_links(_by_label(members, nodes), nodes, d, k, num, den))
+        more = _links(_by_component(members, nodes, roots), nodes, d, k, num, den)
+        discard(members)
+        if more.limit(1).count():
+            top = components(more).withColumnRenamed("node", "root").withColumnRenamed("root", "top") if False else components(more).toDF("root", "top")
+            all_roots = nodes.select("sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("root"))
+            roots = all_roots.join(top, "root", "left").select(F.col("sid").alias("node"), F.coalesce("top", "root").alias("root"))
+        named = nodes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "rep", F.coalesce("root", "sid").alias("root"))
+        named = materialize(named, "named")
+        least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+        named = named.join(least, "root").select("sid", "component_id")
+        out = slim.join(named, "sid", "left")
+        out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+        out = materialize(out, "components")
+        own.keep(out)
+    release(spark)
+    return out
 
 
 def op3_parity(spark: SparkSession, sf_dir: str) -> DataFrame:

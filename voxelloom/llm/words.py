@@ -2,20 +2,25 @@
 
 Texts stay in the UTF-8 buffer that Arrow hands over. A word is a maximal run
 of bytes outside an ASCII separator class, so multi-byte characters are never
-cut. Words hash to 64 bits by a polynomial with a random value for each byte,
-taken from prefix sums; sequences of words hash the same way.
+cut. Words hash to 64 bits by mixing eight of their bytes after another; two
+words of one length up to eight bytes never clash. Sequences hash by mixing the
+hashes of two halves. Each hash comes in two independent lanes; what removes,
+links or hits anything compares both, 128 bits.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 from .common import worker_cache
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_PIECE = 1 << 17
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_PIECE, _LONG = 1 << 17, 512
+_LEFT = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -27,22 +32,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    kept = worker_cache().get("powers")
-    if kept is None or len(kept[0]) < n:
-        size = max(n, 1 << 20)
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-        kept = worker_cache()["powers"] = (out[0], out[1])
-    return kept
-
-
 def _tables(kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte: is it in a word, and its 64-bit value.
+    """For each byte: is it in a word, and the byte that it counts as.
 
     kind: 'space' has words [^\\x20\\x09-\\x0D]+; 'space_lower' takes A-Z as
     a-z; 'alnum_lower' has words of digits, letters and non-ASCII, A-Z as a-z.
@@ -54,10 +45,10 @@ def _tables(kind: str) -> tuple[np.ndarray, np.ndarray]:
             inside = ~((b == 0x20) | ((b >= 0x09) & (b <= 0x0D)))
         else:
             inside = (b >= 0x80) | ((b >= 48) & (b <= 57)) | ((b >= 65) & (b <= 90)) | ((b >= 97) & (b <= 122))
-        value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        as_byte = b.astype(np.uint8)
         if kind.endswith("lower"):
-            value[65:91] = value[97:123]
-        kept = worker_cache()[("tables", kind)] = (inside, value)
+            as_byte[65:91] += 32
+        kept = worker_cache()[("tables", kind)] = (inside, as_byte)
     return kept
 
 
@@ -72,17 +63,28 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return all_bytes[at[0] : at[-1]], at - at[0]
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """A hash of each byte range; ranges follow one another."""
-    out = np.empty(len(start), np.uint64)
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte range; the lanes 0 and 1 are independent."""
+    n = end - start
+    out = mix(n.astype(np.uint64) * _ODD[lane] + np.uint64(lane + 1))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # eight bytes from each place on
     for lo in range(0, len(start), _PIECE):
-        s, e = start[lo : lo + _PIECE], end[lo : lo + _PIECE]
-        a, z = s[0], e[-1]
-        p, inverse = _powers(z - a + 1)
-        c = np.zeros(z - a + 1, np.uint64)
-        np.cumsum(value[data[a:z]] * p[: z - a], out=c[1:])
-        out[lo : lo + _PIECE] = (c[e - a] - c[s - a]) * inverse[s - a] + (e - s).astype(np.uint64)
-    return mix(out)
+        s, left, h = start[lo : lo + _PIECE], n[lo : lo + _PIECE], out[lo : lo + _PIECE]
+        long_ones = np.flatnonzero(left > _LONG)
+        live = np.flatnonzero(left <= _LONG) if len(long_ones) else slice(None)
+        s, left, x = s[live], left[live], h[live]
+        x = mix((x ^ (eight[s] & _LEFT[np.minimum(left, 8)])) * _ODD[lane])
+        done, at = 8, np.flatnonzero(left > 8)
+        while len(at):
+            x[at] = mix((x[at] ^ (eight[s[at] + done] & _LEFT[np.minimum(left[at] - done, 8)])) * _ODD[lane])
+            done += 8
+            at = at[left[at] > done]
+        h[live] = x
+        for i in long_ones:
+            raw = data[start[lo + i] : end[lo + i]].tobytes()
+            h[i] = int.from_bytes(hashlib.blake2b(raw, digest_size=16).digest()[8 * lane : 8 * lane + 8], "little")
+    return out
 
 
 class Words:
@@ -90,8 +92,9 @@ class Words:
 
     def __init__(self, column, kind: str):
         self.data, self.at = utf8(column)
-        inside, self._value = _tables(kind)
+        inside, as_byte = _tables(kind)
         w = inside[self.data]
+        self.bytes = as_byte[self.data] if kind.endswith("lower") else self.data
         first = w.copy()
         first[1:] &= ~w[:-1]
         begins = self.at[:-1][self.at[:-1] < self.at[1:]]
@@ -112,22 +115,31 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(len(self.n)), self.n)
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(self.data, self.start, self.end, self._value)
+    def hashes(self, lane: int = 0) -> np.ndarray:
+        return span_hashes(self.bytes, self.start, self.end, lane)
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k words, crossing texts; len(h) - k + 1 of them."""
-    n = len(h) - k + 1
-    if n <= 0:
+    """Hashes of all runs of k words, crossing texts; len(h) - k + 1 of them. Runs
+    are halved: the hash of one mixes those of two shorter ones that cover it."""
+    if len(h) < k:
         return np.zeros(0, np.uint64)
-    p, inverse = _powers(len(h) + 1)
-    c = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * p[: len(h)], out=c[1:])
-    return mix((c[k:] - c[:n]) * inverse[:n] + np.uint64(k))
+    g, have = mix(h + _ODD[1]), 1
+    while have < k:
+        step = min(have, k - have)
+        a, b = g[: len(g) - step], g[step:]
+        g = mix(a * _ODD[0] + ((b << np.uint64(32)) | (b >> np.uint64(32))))
+        have += step
+    return g
+
+
+def sequence_name(h: tuple[np.ndarray, np.ndarray], a: int, z: int) -> tuple[int, int]:
+    """128 bits, as two signed numbers, of the words a to z, given their hashes in both lanes."""
+    raw = hashlib.blake2b(h[0][a:z].tobytes() + h[1][a:z].tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
 def gram_valid(words: Words, k: int) -> np.ndarray:
