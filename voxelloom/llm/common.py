@@ -7,6 +7,7 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,6 +74,12 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(build: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """The rows of build(), written; every other table that it writes is deleted."""
+    with scratch() as own:
+        return own.keep(materialize(build(), tag))
+
+
 def release(spark: SparkSession) -> None:
     """Collects the driver's garbage: executors delete shuffle files and broadcast
     blocks when the driver no longer holds the plans they belong to."""

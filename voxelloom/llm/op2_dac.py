@@ -8,7 +8,9 @@ so any token is read by a few lookups, without decoding its neighbours.
 
 Segments (about a million tokens of whole documents, in ascending document
 order) are rows of a Parquet table, so any Hadoop file system and its commit
-protocol serve: part, seq (their order), n_tokens, doc_ids, payload.
+protocol serve: part, seq (their order), segment (both in one number), n_tokens,
+doc_ids, payload. Each is a row group of its own, so that a reader which asks for
+some of them skips the others by their statistics.
 """
 
 from __future__ import annotations
@@ -24,12 +26,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table, worker_cache
+from .common import materialize, settled, table, worker_cache
 from .op7_bpe import SPACE
 from .words import Words, batches, span_hashes, utf8
 
 MAGIC, BLOCK = b"VDAC1", 512
 SEGMENT_TOKENS = 1 << 20
+#: Segments that tokens_at() asks Parquet for by number; more of them are found by a join.
+ASKED = 200
+#: Options of the written table: a row group for each segment.
+FORMAT = {"compression": "none", "parquet.block.row.count.limit": "1", "parquet.block.size": "1048576", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1"}
 MEMO = 1_200_000  # stretches to remember in a process, about 150 bytes each
 
 
@@ -107,19 +113,24 @@ class ChunkEncoder:
 
     Texts are cut where ASCII white space begins, which byte-level patterns never
     match across. Each distinct stretch goes to the library once while it is
-    remembered (by a 64-bit hash of its bytes); new ones go there in long rows, and
+    remembered (by 128 bits of its bytes); new ones go there in long rows, and
     the tokens' byte lengths tell where each one ends. Texts with other white
-    space, where such a cut could matter, go to the library whole.
+    space or the string of an added token, where such a cut could matter, go to the
+    library whole. Such strings become their tokens, as in the library's own call;
+    with `literal` they are ordinary text.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, literal: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = literal
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.first_bytes = np.array(sorted({0xC2, 0xE1, 0xE2, 0xE3} | {t.encode()[0] for t in added}), np.uint8)
         self.other_space = re.compile("[" + SPACE.replace("\\t-\\r ", "") + "]").search
         # A byte-level vocabulary writes each byte as one character.
         self.length = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
@@ -130,11 +141,12 @@ class ChunkEncoder:
     def _forget(self) -> None:
         self.number: dict[int, int] = {}
         self.count, self.offset, self.pool, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
+        self.check = np.zeros(0, np.uint64)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, hashes: list[int], stretches: list[bytes]) -> np.ndarray:
+    def _learn(self, hashes: list[int], checks: np.ndarray, stretches: list[bytes]) -> np.ndarray:
         white = b" \t\n\x0b\x0c\r"
         inner = [i for i, c in enumerate(stretches) if c[0] in white and c[-1] not in white]
         held, found, counts = set(inner), [], []
@@ -150,6 +162,7 @@ class ChunkEncoder:
         number[inner + rest] = np.arange(len(hashes)) + len(self.count)
         self.number.update(zip(hashes, number.tolist()))
         self.count = np.concatenate([self.count, count])
+        self.check = np.concatenate([self.check, checks[np.array(inner + rest, np.int64)]])
         self.offset = np.concatenate([self.offset, self.used + np.cumsum(count) - count])
         new = int(count.sum())
         if self.used + new > len(self.pool):
@@ -167,15 +180,23 @@ class ChunkEncoder:
         ends = np.insert(w.end, w.ptr[1:][tail], w.at[1:][tail])
         ptr = w.ptr + np.concatenate([[0], np.cumsum(tail)])
         begins = np.concatenate([[0], ends[:-1]])[: len(ends)]
-        h = span_hashes(w.data, begins, ends, w._value) if len(ends) else np.zeros(0, np.uint64)
+        h, check = (span_hashes(w.data, begins, ends, lane) for lane in (0, 1))
         if len(self.number) > MEMO:
             self._forget()
         distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-        number = np.fromiter(map(self.number.get, distinct.tolist(), itertools.repeat(-1)), np.int64, len(distinct))
+        if (check[first][back] != check).any():  # different stretches of one hash
+            parts = self._library([t or "" for t in column.to_pylist()])
+            return np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        known = lambda: np.fromiter(map(self.number.get, distinct.tolist(), itertools.repeat(-1)), np.int64, len(distinct))
+        number = known()
+        old = number >= 0
+        if (self.check[number[old]] != check[first[old]]).any():
+            self._forget()
+            number = known()
         new = np.flatnonzero(number < 0)
         if len(new):
             at = first[new]
-            number[new] = self._learn(distinct[new].tolist(), [w.data[a:z].tobytes() for a, z in zip(begins[at].tolist(), ends[at].tolist())])
+            number[new] = self._learn(distinct[new].tolist(), check[at], [w.data[a:z].tobytes() for a, z in zip(begins[at].tolist(), ends[at].tolist())])
         which = number[back]
         count = self.count[which]
         upto = np.concatenate([[0], np.cumsum(count)])
@@ -184,11 +205,11 @@ class ChunkEncoder:
 
     def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of all texts of an Arrow column, where each text ends among them); nulls are empty."""
-        data, at = utf8(column)
+        data, _ = utf8(column)
         odd: dict[int, np.ndarray] = {}
-        if np.isin(data, np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8)).any():
+        if np.isin(data, self.first_bytes).any():
             for i, text in enumerate(column.to_pylist()):
-                if text and self.other_space(text):
+                if text and (self.other_space(text) or (self.added and self.added.search(text))):
                     odd[i] = self._library([text])[0]
         if not odd:
             return self._cut(column)
@@ -199,28 +220,28 @@ class ChunkEncoder:
         return np.concatenate(out), np.cumsum([len(x) for x in out])
 
 
-def chunk_encoder(file: str) -> ChunkEncoder:
-    key = ("tokenizers", file)
+def chunk_encoder(file: str, literal: bool = False) -> ChunkEncoder:
+    key = ("tokenizers", file, literal)
     if key not in worker_cache():
-        worker_cache()[key] = ChunkEncoder(file)
+        worker_cache()[key] = ChunkEncoder(file, literal)
     return worker_cache()[key]
 
 
-def dac_segments(docs: DataFrame, tokenizer_file: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", segment_tokens: int = SEGMENT_TOKENS) -> DataFrame:
+def dac_segments(docs: DataFrame, tokenizer_file: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", segment_tokens: int = SEGMENT_TOKENS, literal: bool = False) -> DataFrame:
     """Segments of all documents in ascending order of their ids; write them with
-    option compression=none. A null text is empty and has the end id alone; null
+    the options of FORMAT. A null text is empty and has the end id alone; null
     ids come first; rows that share an id are ordered by the text's checksum.
     """
 
     def work(it):
         part, seq, held = TaskContext.get().partitionId(), 0, []
-        size, encoder = 0, chunk_encoder(tokenizer_file)
+        size, encoder = 0, chunk_encoder(tokenizer_file, literal)
 
         def flush():
             ends = np.cumsum(np.concatenate([n for _, n, _ in held]))
             payload = encode_segment(np.concatenate([x for x, _, _ in held]), ends)
             ids = pa.concat_arrays([i for _, _, i in held])
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([int(ends[-1])], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([payload], pa.binary())], ["part", "seq", "n_tokens", "doc_ids", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([part << 32 | seq], pa.int64()), pa.array([int(ends[-1])], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([payload], pa.binary())], ["part", "seq", "segment", "n_tokens", "doc_ids", "payload"])
 
         for batch in batches(it, 4 << 20):
             ids, ends = encoder.encode(batch.column("text"))
@@ -235,13 +256,17 @@ def dac_segments(docs: DataFrame, tokenizer_file: str, end_id: int = 2, id_col:
     d = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text", f"crc32(coalesce(`{text_col}`, '')) AS crc")
     kind = d.schema["id"].dataType.simpleString()
     d = d.repartitionByRange("id", "crc").sortWithinPartitions("id", "crc").select("id", "text")
-    return d.mapInArrow(work, f"part int, seq int, n_tokens long, doc_ids array<{kind}>, payload binary")
+    return d.mapInArrow(work, f"part int, seq int, segment long, n_tokens long, doc_ids array<{kind}>, payload binary")
 
 
 def segment_starts(segments: DataFrame) -> DataFrame:
-    """(part, seq, base): tokens before each segment. One row for each segment, so its single-task window is small."""
-    w = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return segments.select("part", "seq", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)).alias("base"))
+    """(part, seq, base): tokens before each segment. Parts add up theirs, so that a
+    single task orders a row for each part alone."""
+    own = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = segments.select("part", "seq", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)).alias("base"))
+    return within.join(parts, "part").select("part", "seq", (F.col("base") + F.col("first")).alias("base"))
 
 
 def read_back(segments: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -271,18 +296,25 @@ def read_back(segments: DataFrame, with_ids: bool = False) -> DataFrame:
 
 
 def write_dac(docs: DataFrame, tokenizer_file: str, path: str, **options) -> None:
-    dac_segments(docs, tokenizer_file, **options).write.option("compression", "none").parquet(path)
+    dac_segments(docs, tokenizer_file, **options).write.options(**FORMAT).parquet(path)
 
 
 def tokens_at(segments: DataFrame, wanted: DataFrame) -> DataFrame:
     """Random access: for rows (doc_id, offset) of wanted, the token there; null past the document's end.
 
-    Only the segments that hold a wanted document are read, and of them only the
-    bytes of the wanted tokens. Unknown documents give no row.
+    The ids of all segments are read to find those that hold a wanted document. Up to
+    ASKED of them, Parquet is asked for these by number and skips the other row
+    groups; more are picked by a join. Of a payload only the bytes of the wanted
+    tokens are looked at. Unknown documents give no row; a document that several
+    rows share an id with gives a row for each.
     """
     kind = wanted.schema["doc_id"].dataType.simpleString()
-    where = segments.select("part", "seq", F.posexplode("doc_ids").alias("k", "doc_id"))
-    hits = wanted.select("doc_id", "offset").join(where, "doc_id").groupBy("part", "seq").agg(F.collect_list(F.struct("doc_id", "k", "offset")).alias("asked"))
+    where = segments.select("segment", F.posexplode("doc_ids").alias("k", "doc_id"))
+    hits = wanted.select("doc_id", "offset").join(where, "doc_id").groupBy("segment").agg(F.collect_list(F.struct("doc_id", "k", "offset")).alias("asked"))
+    few = [r[0] for r in hits.select("segment").limit(ASKED + 1).collect()]
+    payloads = segments.select("segment", "payload")
+    if len(few) <= ASKED:
+        payloads = payloads.where(" OR ".join(f"segment = {x}" for x in few) or "segment < 0")
 
     def work(it):
         for batch in it:
@@ -296,11 +328,11 @@ def tokens_at(segments: DataFrame, wanted: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.column("asked").type.value_type.field(0).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["doc_id", "offset", "token"])
 
-    return segments.select("part", "seq", "payload").join(hits, ["part", "seq"]).select("payload", "asked").mapInArrow(work, f"doc_id {kind}, offset long, token long")
+    return payloads.join(hits, "segment").select("payload", "asked").mapInArrow(work, f"doc_id {kind}, offset long, token long")
 
 
 def op2_dac(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     segments = dac_segments(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"))
-    return read_back(materialize(segments, "dac", compression="none"))
+    return settled(lambda: read_back(materialize(segments, "dac", **FORMAT)), "digests")
