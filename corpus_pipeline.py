@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.llm.common import discard, materialize, release, scratch, table
 from voxelloom.llm.graph import without_ids
-from voxelloom.llm.op1_mcd import quality_verdicts
+from voxelloom.llm.op1_mcd import judged
 from voxelloom.llm.op3_parity import jaccard_components
 from voxelloom.llm.op5_decontam import build_index, contamination
 from voxelloom.llm.op6_substring import without_repeats
@@ -22,7 +22,7 @@ from voxelloom.llm.op7_bpe import bpe_tokens
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. A null text has no words and goes; repeated
     rows are judged alike; an empty table stays empty; other columns are kept as they are."""
-    return quality_verdicts(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+    return judged(docs, tuple(docs.columns)).where("verdict.kept").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
