@@ -18,12 +18,10 @@ from .common import table
 SEP = 0xFF
 #: Fixed values of the contract: rule (host, then path) and verdict.
 BASE_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: The method's own rules for urls that no base rule fits: globs for host and path; they block.
-BLOCK_GLOBS = (
-    ("*casino*", "*"), ("*-bets.*", "*"), ("*bets-*", "*"), ("*-pills.*", "*"), ("*pills-*", "*"), ("*spam-*", "*"), ("*-spam*", "*"),
-    ("*adult-*", "*"), ("*-adult*", "*"), ("*porn*", "*"), ("*ads-track*", "*"), ("*ad-track*", "*"), ("*ads.*", "*"), ("*tracker.*", "*"),
-    ("*.doubleclick.*", "*"), ("*", "*/wp-login.php*"), ("*", "*/cgi-bin/*"),
-)
+#: The method's own rules for urls that no base rule fits: globs for host and path; they block. A word must
+#: be a whole label of the host or part of one between hyphens.
+BLOCK_WORDS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam")
+BLOCK_GLOBS = tuple((f"*{a}{w}{z}*", "*") for w in BLOCK_WORDS for a in ".-" for z in ".-") + (("*.doubleclick.*", "*"), ("*", "*/wp-login.php*"), ("*", "*/cgi-bin/*"))
 
 
 def split_url(url: str | None) -> tuple[str, str]:
