@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, settled, table
 
 #: Fixed values of the contract: phrase and label.
 BASE_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -127,4 +127,4 @@ def licence_labels(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licence_labels(table(spark, sf_dir, "documents"))
+    return settled(lambda: licence_labels(table(spark, sf_dir, "documents")), "labels")
