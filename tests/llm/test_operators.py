@@ -82,17 +82,42 @@ def test_robust_distance_equals_numpy(spark):
     got = {r.doc_id: r for r in quality_verdicts(d).collect()}
     assert all(not got[200 + i].kept and not got[200 + i].base_failed for i in range(5)) and all(got[i].kept for i in range(150))
     v = m.base_statistics(d).select("doc_id", *m.vector()).collect()
-    x = np.array([[r[f"x{i}"] for i in range(m.P)] for r in v]) / m.SCALE
-    low = lambda a, s: np.sort(a)[int(np.ceil(s * len(a))) - 1]
-    mean = np.array([low(x[:, i], 0.5) for i in range(m.P)])
-    cov = np.diag([(1.4826 * low(np.abs(x[:, i] - mean[i]), 0.5)) ** 2 + m.FLOOR[i] for i in range(m.P)])
-    dist = lambda: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-    for _ in range(m.STEPS):
-        b = np.floor(np.log1p(dist()) * 256)
-        h = x[b <= low(b, m.SHARE)]
-        mean, cov = h.mean(0), np.cov(h.T, bias=True) * m.CONSISTENCY + np.diag(m.FLOOR)
-    for r, d2 in zip(v, dist()):
-        assert got[r.doc_id].d2 == pytest.approx(d2, rel=1e-4, abs=1e-4)
+    d2 = robust_distances(np.array([[r[f"x{i}"] for i in range(m.P)] for r in v]), m)
+    for r, x in zip(v, d2):
+        assert got[r.doc_id].d2 == pytest.approx(x, rel=1e-4, abs=1e-4)
+
+
+def robust_distances(x, m, starts=(0, 1, 2)):
+    """Squared distances from the reweighted minimum covariance determinant, in numpy."""
+    middle = np.median(x, 0).round()
+    x, floor = (x - middle) / m.SCALE, np.diag(m.FLOOR)
+    dist = lambda mean, cov: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+    def step(est):
+        b = np.floor(np.log1p(dist(*est)) * m.BINS)
+        values, count = np.unique(b, return_counts=True)
+        h = x[b <= values[np.flatnonzero(np.cumsum(count) - count < m.SHARE * len(b))[-1]]]
+        return h.mean(0), np.cov(h.T, bias=True) * m.CONSISTENCY + floor
+
+    d = np.sqrt((1.4826 * np.median(np.abs(x - np.median(x, 0) + 0), 0)) ** 2 + np.diag(floor))
+    z = x / d
+    norm = np.linalg.norm(z, axis=1, keepdims=True)
+    sign = np.divide(z, norm, out=np.zeros_like(z), where=norm > 0)
+    with np.errstate(all="ignore"):
+        corr = np.nan_to_num(np.corrcoef(np.tanh(z).T)) * 0.999
+    np.fill_diagonal(corr, 1)
+    zero = np.zeros(m.P)
+    first = [(zero, np.diag(d**2)), (zero, corr * np.outer(d, d)), (zero, sign.T @ sign / len(z) * m.P * np.outer(d, d) + floor)]
+    logdet = lambda est: np.linalg.slogdet(est[1])[1]
+    best = min((step(step(first[k])) for k in starts), key=logdet)
+    for _ in range(m.MOST - m.FIRST):
+        new = step(best)
+        fell = logdet(new) < logdet(best) - m.STILL
+        best = new
+        if not fell:
+            break
+    h = x[dist(*best) <= m.NEAR]
+    return dist(h.mean(0), np.cov(h.T, bias=True) * m.NEAR_CONSISTENCY + floor)
 
 
 def test_shares_alone_are_rejected(spark):
@@ -122,10 +147,9 @@ def test_dac(spark, docs, plain):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(file)
-    t.encode_special_tokens = True
     from voxelloom.llm.common import materialize
 
-    seg = materialize(op2_dac.dac_segments(plain, file, segment_tokens=2000), "t", compression="none")
+    seg = materialize(op2_dac.dac_segments(plain, file, segment_tokens=2000), "t", **op2_dac.FORMAT)
     got, start = op2_dac.read_back(seg, with_ids=True).orderBy("doc_id").collect(), 0
     for r, g in zip(plain.orderBy("doc_id").collect(), got):
         ids = t.encode(r.text or "", add_special_tokens=False).ids + [2]
@@ -172,7 +196,7 @@ def components_by_brute_force(rows, k, num, den):
 def test_jaccard_components(spark, docs, plain, texts, chunk, monkeypatch):
     if chunk < 100:
         monkeypatch.setattr(op3_parity, "CHUNK", chunk)
-        monkeypatch.setattr(op3_parity, "SMALL", 2)
+        monkeypatch.setattr(op3_parity, "CELL_SHINGLES", 500)
     rng = random.Random(5)
     rows = [(r.doc_id, r.text) for r in plain.collect()]
     base = words_of(rng, 90)
@@ -196,8 +220,10 @@ def test_sketches_bound_the_difference():
         a = np.unique(rng.integers(0, 2**63, 700).astype(np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64)]))
         d = len(np.setxor1d(a, b))
-        for x in (op3_parity.FOLD, 1024, 2048):
-            assert op3_parity.hamming([op3_parity.folded(a, x)], [op3_parity.folded(b, op3_parity.FOLD)])[0] <= d
+        for x, y in ((512, 512), (512, 2048), (2048, 4096)):
+            raw = [op3_parity.parity(a, x).tobytes(), op3_parity.parity(b, y).tobytes()]
+            assert op3_parity.Sketches(raw).distance(0, np.array([1]))[0] <= d
+            assert op3_parity.parity(b, y // 2).tobytes() == op3_parity.halved(op3_parity.parity(b, y)[None])[0].tobytes()
         both = len(a) + len(b) - len(np.union1d(a, b))
         if 100 * both >= 85 * (len(a) + len(b) - both):
             bands = op3_parity.Bands(85, 100)
@@ -283,7 +309,7 @@ def contamination_by_brute_force(rows, items, size=10):
 def test_decontamination(spark, docs, plain, texts, block):
     items = [(1, texts[9]), (2, " ".join(texts[2].split()[20:33])), (3, "a b c"), (4, None), (5, ""), (20, "WORD"), (20, "word"), (6, texts[9])]
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.doc_id: tuple(r)[1:] for r in op5_decontam.decontaminate(plain, b, block_bytes=block).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in op5_decontam.decontaminate(plain, b, block_bytes=block).drop("n_near").collect()}
     assert got == contamination_by_brute_force([(r.doc_id, r.text) for r in plain.collect()], items)
     if block > 1000:
         assert op5_decontam.decontaminate(docs, b).count() == docs.count()
@@ -291,13 +317,25 @@ def test_decontamination(spark, docs, plain, texts, block):
         assert op5_decontam.decontaminate(plain, b.where("false")).where("contaminated").count() == 0
 
 
-def test_proximity(spark):
+@pytest.mark.parametrize("block", [1 << 20, 30])
+def test_proximity(spark, block):
     from voxelloom.llm.common import materialize
 
-    d = spark.createDataFrame([(1, "one two extra three four"), (2, "one two three four"), (3, "one four")], "doc_id long, text string")
-    b = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
-    rows = {r.id: r for r in op5_decontam.contamination(materialize(op5_decontam.build_index(d), "i"), b, slop=2).collect()}
-    assert rows[2].hits == [0, 1, 2, 3] and not rows[1].hits and rows[1].near and not rows[3].near
+    rng = random.Random(8)
+    vocabulary = ["one", "two", "three", "four", "five"]
+    rows = [(1, "one two extra three four"), (2, "one two three four"), (3, "one four"), (4, None)] + [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 14)))) for i in range(5, 60)]
+    items = [(1, "one two three four"), (2, "five one two"), (3, "two two")]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.id: r for r in op5_decontam.contamination(materialize(op5_decontam.build_index(d), "i"), b, slop=2, block_bytes=block).collect()}
+    for i, t in rows:
+        w, near = (t or "").split(), set()
+        for _, x in items:
+            x = x.split()
+            for p in range(len(w)):
+                if w[p] == x[0] and all(x[j] in w[max(0, p + j - 2) : p + j + 3] for j in range(1, len(x))) and w[p : p + len(x)] != x:
+                    near.add(p)
+        assert sorted(got[i].near) == sorted(near)
+    assert sorted(got[2].hits) == [0, 1, 2, 3] and not got[1].hits and sorted(got[1].near) == [0, 1] and not got[3].near
 
 
 def repeats_by_brute_force(rows, size=50):
