@@ -39,7 +39,7 @@ from .words import Words, batches, gram_hashes, mix
 #: Bits of the narrowest sketches.
 FOLD = 512
 #: Members of a cell, and shingles of all of them.
-CHUNK, CELL_SHINGLES = 4096, 1 << 20
+CHUNK, CELL_SHINGLES = 8192, 1 << 21
 
 
 class Bands:

@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import materialize, settled, table
 from .words import Words, batches
 
-SEGMENT_BYTES, BLOCK_BYTES, WINDOW, SLOP = 8 << 20, 4 << 20, 10, 2
+SEGMENT_BYTES, BLOCK_BYTES, WINDOW, SLOP = 4 << 20, 4 << 20, 10, 2
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -46,15 +46,19 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             w = Words(batch.column("text"), "alnum_lower")
             h, check = w.hashes(0), w.hashes(1)
             order = np.argsort(h, kind="stable")
+            h, sure = h[order], check[order]
+            if ((h[1:] == h[:-1]) & (sure[1:] != sure[:-1])).any():  # words that only the check tells apart
+                again = np.lexsort((order, sure, h))
+                order, h, sure = order[again], h[again], sure[again]
             new = np.ones(len(h), bool)
-            new[1:] = h[order][1:] != h[order][:-1]
-            if (~new[1:] & (check[order][1:] != check[order][:-1])).any():  # words that only the check tells apart
-                order = np.lexsort((check, h))
-                new[1:] = (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])
+            new[1:] = (h[1:] != h[:-1]) | (sure[1:] != sure[:-1])
             first = np.flatnonzero(new)
+            raw = [w.ptr[1:].astype("<u4"), h[first], sure[first], np.diff(first, append=len(h)).astype("<u4")]
+            del h, check, sure, new
             gaps = np.diff(order, prepend=0)
             gaps[first] = order[first]
-            raw = w.ptr[1:].astype("<u4"), h[order][first], check[order][first], np.diff(first, append=len(h)).astype("<u4"), gaps.astype("<u4")
+            raw.append(gaps.astype("<u4"))
+            del order, gaps
             ids = pa.array([batch.column("id").to_pylist()], pa.list_(batch.schema.field("id").type))
             yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int64()), ids, *(pa.array([x.tobytes()], pa.binary()) for x in raw)], ["segment", "ids", *PARTS])
             segment += 1
