@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelloom.llm.common import discard, materialize, release, scratch, table
-from voxelloom.llm.graph import without_ids
+from voxelloom.llm.graph import unused, without_ids
 from voxelloom.llm.op1_mcd import judged
 from voxelloom.llm.op3_parity import jaccard_components
 from voxelloom.llm.op5_decontam import build_index, contamination
@@ -21,8 +21,18 @@ from voxelloom.llm.op7_bpe import bpe_tokens
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. A null text has no words and goes; repeated
-    rows are judged alike; an empty table stays empty; other columns are kept as they are."""
-    return judged(docs, tuple(docs.columns)).where("verdict.kept").select("row.*")
+    rows are judged alike; an empty table stays empty; other columns are kept as they are.
+    Rejected rows are told by 128 bits of what they are judged by and their id."""
+    names = docs.columns
+    a, b, x, y = unused(names, "rejected_a", "rejected_b", "key_a", "key_b")
+    of = [F.col(c).cast("string") for c in ("doc_id", "text", "lang", "source")]
+    null = F.concat(*[c.isNull().cast("string") for c in of])
+    keyed = docs.withColumns({x: F.xxhash64(null, *of), y: F.xxhash64(F.lit(1), null, *of)})
+    with scratch() as own:
+        verdicts = judged(keyed, (x, y))
+        rejected = verdicts.where("NOT verdict.kept").select(F.col("row")[x].alias(a), F.col("row")[y].alias(b)).distinct()
+        rejected = own.keep(materialize(rejected, "rejected"))
+    return keyed.join(rejected, (F.col(x) == F.col(a)) & (F.col(y) == F.col(b)), "left_anti").select(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
