@@ -76,7 +76,7 @@ def vector() -> list[Column]:
     n = F.greatest("n_words", F.lit(1))
     root = lambda a, b: F.sqrt(F.col(a) / b)
     x = [F.log1p("n_words"), F.log1p(F.col("word_chars") / n), root("n_symbols", n), root("n_dup_lines", F.greatest("n_lines", F.lit(1))), root("n_repeat_words", n), root("n_loud", F.greatest("word_chars", F.lit(1)))]
-    return [F.round(c * SCALE).cast("long").alias(f"x{i}") for i, c in enumerate(x)]
+    return [F.floor(c * SCALE + 0.5).alias(f"x{i}") for i, c in enumerate(x)]
 
 
 def _salted(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
@@ -138,11 +138,11 @@ def _starts(rows: DataFrame, scale: DataFrame) -> DataFrame:
     d = _salted(rows, scale, ["gid"]).select("gid", *[c.alias(f"z{i}") for i, c in enumerate(z)])
     norm = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, P)), F.col("z0") * F.col("z0")))
     d = d.select("gid", *[F.tanh(f"z{i}").alias(f"a{i}") for i in range(P)], *[F.when(norm > 0, F.col(f"z{i}") / norm).otherwise(0.0).alias(f"b{i}") for i in range(P)])
-    whole = lambda c: F.sum(F.round(c * 1_000_000).cast("long"))
+    whole = lambda c: F.sum((c * 1_000_000).cast("long"))
     sums = d.groupBy("gid").agg(F.count("*").alias("n"), *[whole(F.col(f"a{i}")).alias(f"a{i}") for i in range(P)], *[whole(F.col(f"{k}{i}") * F.col(f"{k}{j}")).alias(f"{k}{i}{j}") for k in "ab" for i, j in _PAIRS])
     sums = sums.join(scale, "gid")
     c = lambda i, j: F.col(f"a{i}{j}") / F.col("n") / 1e6 - F.col(f"a{i}") / F.col("n") / 1e6 * F.col(f"a{j}") / F.col("n") / 1e6
-    out = None
+    starts = []
     for k in range(3):
         cov = []
         for i, j in _PAIRS:
@@ -154,9 +154,9 @@ def _starts(rows: DataFrame, scale: DataFrame) -> DataFrame:
             else:
                 s = both * F.col(f"b{i}{j}") / F.col("n") / 1e6 * P + (FLOOR[i] if i == j else 0.0)
             cov.append(s.alias(f"s{i}{j}"))
-        one = sums.select("gid", F.lit(k).alias("start"), *[F.lit(0.0).alias(f"m{i}") for i in range(P)], *cov)
-        out = one if out is None else out.union(one)
-    return _factor(out)
+        starts.append(F.struct(F.lit(k).alias("start"), *cov))
+    out = sums.select("gid", F.explode(F.array(*starts)).alias("s")).select("gid", "s.*")
+    return _factor(out.select("gid", "start", *[F.lit(0.0).alias(f"m{i}") for i in range(P)], *[f"s{i}{j}" for i, j in _PAIRS]))
 
 
 def estimates(rows: DataFrame) -> DataFrame:
