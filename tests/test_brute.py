@@ -89,7 +89,7 @@ def test_deskew_turns_with_the_gyro(spark):
 
 def test_grazing_of_a_plane(spark):
     rows = [(0, u, v, (u - 2) * 0.1, (v - 2) * 0.1, 2.0) for u in range(5) for v in range(5)]
-    g = ingest.grazing(spark.createDataFrame(rows, "frame_id int, u int, v int, px double, py double, pz double"))
+    g = ingest.grazing(spark.createDataFrame(rows, "frame_id int, u int, v int, px double, py double, pz double"), 1, 0.3)
     by = {(r.u, r.v): r.cos_angle for r in g.collect()}
     assert by[2, 2] == pytest.approx(1.0) and by[0, 2] is None and by[3, 2] == pytest.approx(2 / math.hypot(2, 0.1))
 

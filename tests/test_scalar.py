@@ -50,8 +50,8 @@ def test_dominant(spark):
 
 
 def test_names(spark):
-    r = one(spark, *[sc.collapse_name(F.lit(x)) for x in ("Street_Lamp", "palm tree", "nothing")])
-    assert list(r) == [1, 2, 0]
+    r = one(spark, *[sc.collapse_name(F.lit(x)) for x in ("Street_Light", "streetlight", "palm tree", "skyscraper", "guard_rail", "Ground Animal", "nothing")])
+    assert list(r) == [6, 6, 5, 4, 12, 0, 0]
 
 
 def test_labels_and_depth(spark):

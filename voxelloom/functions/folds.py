@@ -55,6 +55,27 @@ def fold_slots(events: Column, prior_other: float, alpha: float = ALPHA) -> Colu
     return F.aggregate(F.array_sort(events), empty_slots(prior_other, alpha), lambda s, e: slot_add(s, e["cls"], e["inc"], alpha))
 
 
+def fold_branches(events: Column, prior_other: float, alpha: float = ALPHA) -> Column:
+    """What became of the evidence of each frame: an array of struct(frame_id, n_match,
+    n_empty, n_evict, n_drop), one for each frame with events struct(frame_id, .., cls, inc)."""
+    names = ("n_match", "n_empty", "n_evict", "n_drop")
+    entry = lambda f, d: F.struct(f.alias("frame_id"), *[d[n].alias(n) for n in names])
+    none = F.array().cast("array<struct<frame_id:int,n_match:int,n_empty:int,n_evict:int,n_drop:int>>")
+    init = F.struct(empty_slots(prior_other, alpha).alias("d"), none.alias("out"))
+
+    def step(s, e):
+        def put(d):
+            last = F.try_element_at(s["out"], lit(-1))
+            same = F.coalesce(last["frame_id"] == e["frame_id"], lit(False))
+            kept = F.when(same, F.slice(s["out"], lit(1), F.greatest(F.size(s["out"]) - 1, lit(0)))).otherwise(s["out"])
+            return F.struct(d.alias("d"), F.concat(kept, F.array(entry(e["frame_id"], d))).alias("out"))
+
+        return let(slot_add(s["d"], e["cls"], e["inc"], alpha), put)
+
+    counted = F.aggregate(F.array_sort(events), init, step)["out"]
+    return let(counted, lambda c: F.transform(c, lambda x, i: F.struct(x["frame_id"].alias("frame_id"), *[(x[n] - F.when(i > 0, F.get(c, i - 1)[n]).otherwise(0)).alias(n) for n in names])))
+
+
 def fold_naive(events: Column, prior_other: float, alpha: float = ALPHA) -> Column:
     """The last class wins: every filled slot's evidence goes to OTHER first."""
 
@@ -70,18 +91,18 @@ def fold_naive(events: Column, prior_other: float, alpha: float = ALPHA) -> Colu
     return F.aggregate(F.array_sort(events), empty_slots(prior_other, alpha), step)
 
 
-def fold_cell(events: Column, w_occ: float, kappa: float, cap: float, min_p: float, prior_other: float, alpha: float = ALPHA) -> Column:
+def fold_parts(events: Column, cap: float, prior_other: float, alpha: float = ALPHA) -> Column:
     """The whole update of a cell under saturation. Events are struct(frame_id, phase,
-    seq, cls, q, w): phase 1 a hit with class and quality, phase 2 a frame's carve of
-    weight w. Counters are scaled to the cap after each step; a hit's class
-    evidence is weighted by the occupancy after the hit."""
-    names = ["other", *[f"{f}{k}" for k in range(K_TOP) for f in ("cls", "cnt")], "n_match", "n_empty", "n_evict", "n_drop"]
+    seq, q, o, w, parts, kappa, min_p): phase 1 a hit of quality q that adds o, with its
+    classes as parts (cls, share), phase 2 a frame's carve of weight w. Counters are
+    scaled to the cap after each step; a hit's class evidence is kappa * p * q, with
+    the occupancy p after the hit, where p reaches min_p."""
+    names = ["n_match", "n_empty", "n_evict", "n_drop"]
     start = empty_slots(prior_other, alpha)
     init = F.struct(lit(1.0).alias("a_occ"), lit(1.0).alias("a_free"), start.alias("d"))
 
     def capped_beta(s, e):
-        hit = e["phase"] == 1
-        raw = F.struct((s["a_occ"] + F.when(hit, w_occ * e["q"]).otherwise(0.0)).alias("o"), (s["a_free"] + F.when(hit, 0.0).otherwise(e["w"])).alias("f"))
+        raw = F.struct((s["a_occ"] + e["o"]).alias("o"), (s["a_free"] + e["w"]).alias("f"))
         scale = lambda b: F.when(b["o"] + b["f"] > cap, cap / (b["o"] + b["f"])).otherwise(1.0) if cap > 0 else lit(1.0)
         return let(raw, lambda b: F.struct((b["o"] * scale(b)).alias("o"), (b["f"] * scale(b)).alias("f")))
 
@@ -94,21 +115,34 @@ def fold_cell(events: Column, w_occ: float, kappa: float, cap: float, min_p: flo
         for k in range(K_TOP):
             n = d[f"cnt{k}"] * ds
             fields += [d[f"cls{k}"].alias(f"cls{k}"), F.when(d[f"cls{k}"] != EMPTY, F.greatest(n, lit(alpha))).otherwise(n).alias(f"cnt{k}")]
-        return F.struct(*fields, *[d[n].alias(n) for n in names[-4:]])
+        return F.struct(*fields, *[d[n].alias(n) for n in names])
 
     def step(s, e):
         def with_beta(b):
             p = b["o"] / (b["o"] + b["f"])
-            inc = kappa * p * e["q"]
-            seen = (e["phase"] == 1) & (p >= min_p) & (inc > 0)
-            d = F.when(seen, slot_add(s["d"], e["cls"], inc, alpha)).otherwise(s["d"])
-            return F.struct(b["o"].alias("a_occ"), b["f"].alias("a_free"), let(d, capped_dir).alias("d"))
+            inc = e["kappa"] * p * e["q"]
+            seen = (e["phase"] == 1) & (p >= e["min_p"]) & (inc > 0)
+            parts = F.filter(e["parts"], lambda x: (x["cls"] == EMPTY) | (x["share"] > 0))
+            d = F.when(seen, F.aggregate(parts, s["d"], lambda d, x: slot_add(d, x["cls"], inc * x["share"], alpha))).otherwise(s["d"])
+            return F.struct(b["o"].alias("a_occ"), b["f"].alias("a_free"), let(d, lambda d: F.when(seen, capped_dir(d)).otherwise(d)).alias("d"))
 
         return let(capped_beta(s, e), with_beta)
 
     return F.aggregate(F.array_sort(events), init, step)
 
 
+def fold_cell(events: Column, w_occ: float, kappa: float, cap: float, min_p: float, prior_other: float, alpha: float = ALPHA) -> Column:
+    """fold_parts() of events struct(frame_id, phase, seq, cls, q, w) with one class each."""
+    whole = F.transform(
+        events,
+        lambda e: F.struct(
+            e["frame_id"].alias("frame_id"), e["phase"].alias("phase"), e["seq"].alias("seq"), e["q"].alias("q"), F.when(e["phase"] == 1, w_occ * e["q"]).otherwise(0.0).alias("o"), F.when(e["phase"] == 1, 0.0).otherwise(e["w"]).alias("w"),
+            F.array(F.struct(e["cls"].alias("cls"), lit(1.0).alias("share"))).alias("parts"), lit(float(kappa)).alias("kappa"), lit(float(min_p)).alias("min_p"),
+        ),
+    )
+    return fold_parts(whole, cap, prior_other, alpha)
+
+
 def merge_slots(a: Column, b: Column, prior_other: float, alpha: float = ALPHA) -> Column:
     """The consensus of two class states: OTHER adds up less one prior; slots of one
     class add up less one prior; the largest K stay and the rest goes to OTHER."""

@@ -357,29 +357,57 @@ def kernel(d, length: float) -> Column:
     return F.when(t < 1, k).otherwise(0.0)
 
 
+# Totals and keys
+
+
+def class_mass(other, counts: list) -> Column:
+    """All class evidence of a cell, its priors with it."""
+    return sum((_c(c) for c in counts), _c(other))
+
+
+def packed_key(ix, iy, iz) -> Column:
+    """Three cell numbers in one, 21 bits each; neighbours of the origin on either side stay apart."""
+    part = lambda c: _c(c).cast("long").bitwiseAND(lit(0x1FFFFF))
+    return part(ix).bitwiseOR(F.shiftleft(part(iy), 21)).bitwiseOR(F.shiftleft(part(iz), 42))
+
+
 # Colours and names
 
-#: Colours of the first classes.
-PALETTE = ((128, 128, 128), (230, 25, 75), (60, 180, 75), (255, 225, 25), (0, 130, 200), (245, 130, 48), (145, 30, 180), (70, 240, 240), (240, 50, 230), (210, 245, 60))
+#: Red, green and blue of the first classes.
+PALETTE = ((0.5, 0.5, 0.5), (0, 1, 0), (0.5, 0.3, 0.1), (0.3, 0.3, 0.3), (0.1, 0.5, 0.1), (1, 0, 0), (0, 0, 1), (1, 1, 0), (1, 0, 1), (0, 1, 1))
 
 
 def colour(cls) -> Column:
-    """A packed colour of a class: the fixed ones, then hues by the golden angle; 0 from 256 on."""
+    """A packed colour of a class: the fixed ones, then full hues by the golden angle; 0 from 256 on."""
     c = _c(cls)
-    fixed = F.get(F.array(*[lit((r << 16) | (g << 8) | b) for r, g, b in PALETTE]), F.least(F.greatest(c, lit(0)), lit(len(PALETTE) - 1)))
+    byte = lambda v: int(v * 255 + 1e-9)
+    fixed = F.get(F.array(*[lit((byte(r) << 16) | (byte(g) << 8) | byte(b)) for r, g, b in PALETTE]), F.least(F.greatest(c, lit(0)), lit(len(PALETTE) - 1)))
     h = F.pmod(c * 137.508, lit(360.0)) / 60
     x = 1 - F.abs(F.pmod(h, lit(2.0)) - 1)
-    s, v = 0.7, 0.95
-    sector = F.floor(h).cast("int")
-    pick = lambda ks: F.when(sector == 0, ks[0]).when(sector == 1, ks[1]).when(sector == 2, ks[2]).when(sector == 3, ks[3]).when(sector == 4, ks[4]).otherwise(ks[5])
     one, zero = lit(1.0), lit(0.0)
+    sector = F.floor(h).cast("int")
+    pick = lambda ks: F.element_at(F.array(*ks), sector + 1)
     rgb = [pick([one, x, zero, zero, x, one]), pick([x, one, one, x, zero, zero]), pick([zero, zero, x, one, one, x])]
-    r, g, b = (F.floor((v - v * s + v * s * k) * 255).cast("int") for k in rgb)
+    r, g, b = (F.floor(k * 255).cast("int") for k in rgb)
     return F.when((c < 0) | (c > 255), 0).when(c < len(PALETTE), fixed).otherwise(pack_rgb(r, g, b))
 
 
-#: Groups of class names: the first keyword in a name decides.
-NAME_GROUPS = ((1, ("pole", "post", "lamp")), (2, ("tree", "plant", "grass", "leaf", "forest")), (3, ("road", "street", "path", "floor")), (4, ("wall", "house", "building", "fence")), (5, ("car", "truck", "bus", "bicycle")), (6, ("person", "rider", "human")), (7, ("sky",)))
+#: Groups of class names and the words that tell them; the first group with a word decides.
+NAME_GROUPS = (
+    (8, ("person",)),
+    (9, ("rider", "bicyclist", "motorcyclist")),
+    (7, ("traffic-sign", "traffic sign", "traffic-light", "traffic light", "sign-frame", "signboard")),
+    (2, ("sidewalk", "curb", "pedestrian")),
+    (1, ("road", "lane", "crosswalk", "bike-lane", "bike lane", "parking", "service-lane", "service lane", "rail-track", "rail track", "path", "runway")),
+    (4, ("building", "bridge", "tunnel", "house", "skyscraper")),
+    (6, ("pole", "street-light", "street light", "streetlight", "banner", "billboard")),
+    (5, ("vegetation", "tree", "plant", "palm", "flower")),
+    (12, ("fence", "guard-rail", "guard rail", "railing")),
+    (13, ("wall", "barrier")),
+    (10, ("car", "truck", "bus", "caravan", "trailer", "van", "on-rails", "on rails", "motorcycle", "bicycle", "boat", "vehicle", "wheeled-slow", "minibike")),
+    (11, ("sky",)),
+    (3, ("terrain", "sand", "snow", "mountain", "grass", "earth", "field", "hill", "land", "dirt", "rock")),
+)
 
 
 def collapse_name(name, groups=NAME_GROUPS) -> Column:

@@ -5,21 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import back_project, lit, quat_exp, quat_mul, quat_normalise, slerp, transform
+from ..functions.scalar import back_project, grazing_weight, lit, quat_exp, quat_mul, quat_normalise, slerp, transform
 
 
-def as_of(left: DataFrame, right: DataFrame, ts: str, by: list[str], values: list[str], exact: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, ts: str, by: list[str], values: list[str], exact: bool = False, bucket: float | None = None) -> DataFrame:
     """Each left row with the values of right's row of its time, or of the last one
     before unless exact. One sort of the union of both, no join of ranges. Times of
-    right are unique within `by`."""
+    right are unique within `by`.
+
+    With a bucket (seconds) the union is sorted within buckets of time, and what
+    right last held before each bucket is carried into it: few or no columns in
+    `by` then don't make one task sort everything. Carried are one row for each
+    bucket and group."""
     if exact:
         return left.join(right.select(*by, ts, *values), [*by, ts], "left")
     cols = [c for c in left.columns if c not in (*by, ts)]
     empty = lambda df, names: [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in names]
     v = F.struct(*values).alias("_v")
-    u = right.select(*by, ts, lit(0).alias("_k"), *empty(left, cols), v).unionByName(left.select(*by, ts, lit(1).alias("_k"), *cols, F.lit(None).cast(right.select(v).schema["_v"].dataType).alias("_v")))
-    w = Window.partitionBy(*by).orderBy(ts, "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return u.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_k = 1").select(*left.columns, "_v.*")
+    kind = right.select(v).schema["_v"].dataType
+    u = right.select(*by, ts, lit(0).alias("_k"), *empty(left, cols), v).unionByName(left.select(*by, ts, lit(1).alias("_k"), *cols, F.lit(None).cast(kind).alias("_v")))
+    if bucket is None:
+        w = Window.partitionBy(*by).orderBy(ts, "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return u.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_k = 1").select(*left.columns, "_v.*")
+    u = u.withColumn("_b", F.floor(F.col(ts) / bucket))
+    w = Window.partitionBy(*by, "_b").orderBy(ts, "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = u.groupBy(*by, "_b").agg(F.max_by("_v", F.when(F.col("_k") == 0, F.col(ts))).alias("_end"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*by, "_b", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    out = u.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_k = 1").join(carried, [*by, "_b"])
+    return out.withColumn("_v", F.coalesce("_v", "_carried")).select(*left.columns, "_v.*")
 
 
 def nearest_within(a: DataFrame, b: DataFrame, ts: str, slop: float, key_a: str, key_b: str) -> DataFrame:
@@ -33,10 +47,20 @@ def nearest_within(a: DataFrame, b: DataFrame, ts: str, slop: float, key_a: str,
     return m.groupBy(key_a).agg(F.min(F.struct(gap.alias("gap"), key_b)).alias("m")).select(key_a, F.col(f"m.{key_b}").alias(key_b), F.col("m.gap").alias("gap"))
 
 
-def pair_by_frame(depth: DataFrame, seg: DataFrame, nanos: str) -> DataFrame:
-    """Depth and segmentation of one frame: equal low 16 bits of the nanoseconds."""
-    f = F.col(nanos).bitwiseAND(lit(0xFFFF)).alias("frame")
-    return depth.select(f, *[F.col(c).alias(f"depth_{c}") for c in depth.columns]).join(seg.select(f, *[F.col(c).alias(f"seg_{c}") for c in seg.columns]), "frame")
+def pair_by_frame(depth: DataFrame, seg: DataFrame, nanos: str, arrival: str) -> DataFrame:
+    """Depth and segmentation of one frame: equal low 16 bits of the nanoseconds. What
+    arrives is paired with the other kind's waiting one of its frame, and both are
+    done; a newer one of the same kind takes the waiting one's place."""
+    frame = F.col(nanos).bitwiseAND(lit(0xFFFF)).alias("frame")
+    x, y = (df.select(frame, F.col(arrival).alias("at"), lit(k).alias("kind"), F.struct(*df.columns).alias("row")) for df, k in ((depth, 0), (seg, 1)))
+    both = x.select("frame", "at", "kind", F.col("row").alias("d"), lit(None).cast(y.schema["row"].dataType).alias("g")).union(y.select("frame", "at", "kind", lit(None).cast(x.schema["row"].dataType), "row"))
+    w = Window.partitionBy("frame").orderBy("at", "kind")
+    # Where a kind follows itself a run of alternating kinds begins; of a run, the odd ones pair with the next.
+    both = both.withColumn("run", F.sum(F.coalesce((F.col("kind") == F.lag("kind").over(w)).cast("int"), lit(0))).over(w))
+    r = Window.partitionBy("frame", "run").orderBy("at", "kind")
+    both = both.withColumn("n", F.row_number().over(r)).withColumns({"next_d": F.lead("d").over(r), "next_g": F.lead("g").over(r)})
+    pairs = both.where("n % 2 = 1").select("frame", F.coalesce("d", "next_d").alias("d"), F.coalesce("g", "next_g").alias("g")).where("d IS NOT NULL AND g IS NOT NULL")
+    return pairs.select("frame", *[F.col(f"d.{c}").alias(f"depth_{c}") for c in depth.columns], *[F.col(f"g.{c}").alias(f"seg_{c}") for c in seg.columns])
 
 
 def velocity(poses: DataFrame, by: list[str], ts: str = "t") -> DataFrame:
@@ -105,6 +129,15 @@ def medoids(points: DataFrame, size: float, by: list[str], order: str) -> DataFr
     return near.groupBy(*by, *cells).agg(F.min_by(F.struct(*rest), F.struct("_d", order)).alias("m")).select(*by, "m.*")
 
 
+def scan_rays(points: DataFrame, scans: DataFrame, imu: DataFrame, window: float, size: float) -> DataFrame:
+    """Rays of scans (scan, t0), for integration: points (scan, seq, dt, x, y, z) turned by
+    the gyro since their scan's start, and thinned to one of each cell of a grid."""
+    turned = deskew(points, rotation_knots(gyro_window(scans, imu, window), window))
+    kept = medoids(turned.select("scan", "seq", "x", "y", "z"), size, ["scan"], "seq")
+    here = [lit(0.0).alias(f"o{a}") for a in "xyz"]
+    return kept.select(F.col("scan").alias("frame_id"), "seq", *here, *[F.col(a).alias(f"e{a}") for a in "xyz"], lit("hit").alias("kind"), lit(1.0).alias("quality"), lit(False).alias("is_dynamic"), F.array().cast("array<double>").alias("probs"))
+
+
 def image_rays(pixels: DataFrame, camera: tuple[float, float, float, float], stride: int, min_depth: float, max_depth: float) -> DataFrame:
     """Pixels (u, v, z) of every stride-th row and column as points, kind hit or, where
     there is no return up to the range, miss; nearer ones are dropped."""
@@ -117,16 +150,20 @@ def image_rays(pixels: DataFrame, camera: tuple[float, float, float, float], str
     return p.select("*", w.alias("x"), (-x).alias("y"), (-y).alias("zz"))
 
 
-def grazing(pixels: DataFrame) -> DataFrame:
-    """Adds cos_angle: between a pixel's view and the normal from its four neighbours
-    (points px, py, pz of frame_id, u, v); null at borders."""
+def grazing(pixels: DataFrame, stride: int, threshold: float) -> DataFrame:
+    """Adds cos_angle, between a pixel's view and the normal from its neighbours `stride`
+    rows and columns away (points px, py, pz of frame_id, u, v), and weight: the
+    share of the threshold that it reaches. Without all four neighbours, each with
+    a depth, there is no normal and the weight is 1."""
     row, col = Window.partitionBy("frame_id", "v").orderBy("u"), Window.partitionBy("frame_id", "u").orderBy("v")
-    d = pixels.withColumns({f"h{a}": F.lead(f"p{a}").over(row) - F.lag(f"p{a}").over(row) for a in "xyz"} | {f"g{a}": F.lead(f"p{a}").over(col) - F.lag(f"p{a}").over(col) for a in "xyz"})
+    at = lambda a, w, k: F.max(F.when(F.col("pz") > 0, F.col(f"p{a}"))).over(w.rangeBetween(k, k))
+    d = pixels.withColumns({f"h{a}": at(a, row, stride) - at(a, row, -stride) for a in "xyz"} | {f"g{a}": at(a, col, stride) - at(a, col, -stride) for a in "xyz"})
     n = [F.col("hy") * F.col("gz") - F.col("hz") * F.col("gy"), F.col("hz") * F.col("gx") - F.col("hx") * F.col("gz"), F.col("hx") * F.col("gy") - F.col("hy") * F.col("gx")]
     length = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
     p = [F.col(f"p{a}") for a in "xyz"]
     dot = n[0] * p[0] + n[1] * p[1] + n[2] * p[2]
-    return d.withColumn("cos_angle", F.when(length(n) > 0, F.abs(dot) / (length(n) * length(p)))).drop(*[f"{x}{a}" for x in "hg" for a in "xyz"])
+    d = d.withColumn("cos_angle", F.when(length(n) > 1e-6, F.abs(dot) / (length(n) * length(p)))).drop(*[f"{x}{a}" for x in "hg" for a in "xyz"])
+    return d.withColumn("weight", F.coalesce(grazing_weight(F.col("cos_angle"), threshold), lit(1.0)))
 
 
 def resize(pixels: DataFrame, old: tuple[int, int], new: tuple[int, int]) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.folds import fold_slots
+from ..functions.folds import empty_slots, fold_slots, let, slot_add
 from ..functions.scalar import lit
-from ..params import MapParams
+from ..params import K_TOP, MapParams
 from .rays import KEY, endpoint_sdf, hit_cells, occupancy
 
 
@@ -34,3 +34,17 @@ def fused_cells(rays: DataFrame, params: MapParams) -> DataFrame:
 def legacy_slots(events: Column) -> Column:
     """Classes without priors: an empty slot holds nothing, what doesn't fit is a_unk."""
     return fold_slots(events, 0.0, 0.0)
+
+
+def merge(dst: DataFrame, src: DataFrame) -> DataFrame:
+    """Cells (a_occ, a_free, other, cls0, cnt0, ..) of two maps in one: counters add up less
+    one prior, each slot of src is added to those of dst as new evidence, which may
+    put the weakest one out, and what src doesn't know adds to OTHER. A cell that
+    only one map has is merged with an empty one."""
+    slots = ["other", *[f"{f}{k}" for k in range(K_TOP) for f in ("cls", "cnt")]]
+    x, y = (t.select(*KEY, F.struct("a_occ", "a_free").alias(f"b{n}"), F.struct(*slots, *[lit(0).alias(c) for c in ("n_match", "n_empty", "n_evict", "n_drop")]).alias(f"d{n}")) for t, n in ((dst, 0), (src, 1)))
+    none = F.struct(lit(1.0).alias("a_occ"), lit(1.0).alias("a_free"))
+    m = x.join(y, KEY, "full_outer").withColumns({"b0": F.coalesce("b0", none), "b1": F.coalesce("b1", none), "d0": F.coalesce("d0", empty_slots(0.0, 0.0)), "d1": F.coalesce("d1", empty_slots(0.0, 0.0))})
+    given = F.filter(F.array(*[F.struct(F.col(f"d1.cls{k}").alias("cls"), F.col(f"d1.cnt{k}").alias("inc")) for k in range(K_TOP)]), lambda e: e["inc"] > 0)
+    merged = let(F.aggregate(given, F.col("d0"), lambda s, e: slot_add(s, e["cls"], e["inc"], 0.0)), lambda d: F.struct((d["other"] + F.col("d1.other")).alias("other"), *[d[c].alias(c) for c in slots[1:]]))
+    return m.select(*KEY, *[(F.col(f"b0.{c}") + F.col(f"b1.{c}") - 1).alias(c) for c in ("a_occ", "a_free")], merged.alias("d")).select(*KEY, "a_occ", "a_free", "d.*")

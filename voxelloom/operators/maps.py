@@ -21,12 +21,12 @@ def with_classes(beta: DataFrame, classes: DataFrame, params: MapParams) -> Data
     return d.withColumns({c: F.coalesce(F.col(c), v) for c, v in fill.items()})
 
 
-def project(cells: DataFrame, params: MapParams, a_unk: str = "merger") -> DataFrame:
+def project(cells: DataFrame, params: MapParams, a_unk: str = "merger", *more: Column) -> DataFrame:
     """Raw evidence of joined cells: a_unk and slots (array of struct(cls, cnt)). The
-    mapper's a_unk keeps the prior of OTHER, the merger's leaves it out."""
+    mapper's a_unk keeps the prior of OTHER, the merger's leaves it out. more: further columns."""
     unk = F.col("other") if a_unk == "mapper" else F.greatest(lit(0.0), F.col("other") - params.prior_other)
     slots = F.filter(F.array(*[F.struct(F.col(c).alias("cls"), raw_evidence(n, c, params.alpha).alias("cnt")) for c, n in zip(CLS, CNT)]), lambda s: s["cnt"] > 0)
-    return cells.select(*KEY, "a_occ", "a_free", unk.alias("a_unk"), slots.alias("slots"))
+    return cells.select(*KEY, "a_occ", "a_free", unk.alias("a_unk"), slots.alias("slots"), *more)
 
 
 def in_box(lo: tuple, hi: tuple, res: float) -> Column:
@@ -59,9 +59,9 @@ def occupancy_grid(beta: DataFrame, z_min: float, z_max: float, params: MapParam
 
 def densify(grid: DataFrame, fill: int = -1) -> DataFrame:
     """Every square between the extremes of (gx, gy, value); those without a row get
-    `fill`. Rows of the rectangle are made where they lie, by one explode."""
+    `fill`. Columns of the rectangle are dealt out before their squares are made."""
     box = grid.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("gx", "gy") for f in (F.min, F.max)]).where("min_gx IS NOT NULL")
-    full = box.select(F.explode(F.sequence("min_gx", "max_gx")).alias("gx"), "min_gy", "max_gy").select("gx", F.explode(F.sequence("min_gy", "max_gy")).alias("gy"))
+    full = box.select(F.explode(F.sequence("min_gx", "max_gx")).alias("gx"), "min_gy", "max_gy").repartition("gx").select("gx", F.explode(F.sequence("min_gy", "max_gy")).alias("gy"))
     return full.join(grid, ["gx", "gy"], "left").select("gx", "gy", F.coalesce("value", lit(fill)).alias("value"))
 
 
@@ -123,10 +123,9 @@ def union_cell(persistent: DataFrame, transient: DataFrame) -> DataFrame:
 def occupied_cloud(beta: DataFrame, classes: DataFrame, params: MapParams, visible: float = 0.7) -> DataFrame:
     """Occupied cells as points with colour, class, confidence, variance and expected gain."""
     cells = with_classes(beta.where(~is_prior_beta(slop=1e-3) & (p_occ() >= visible)), classes, params)
-    c = project(cells, params, "mapper").withColumn("counts", F.transform("slots", lambda s: s["cnt"]))
-    named = cells.select(*KEY, dominant("other", CLS, CNT, params.prior_other, params.alpha).alias("class_id"))
+    named = dominant("other", CLS, CNT, params.prior_other, params.alpha).alias("class_id")
+    out = project(cells, params, "mapper", named).withColumn("counts", F.transform("slots", lambda s: s["cnt"]))
     r = params.resolution
-    out = c.join(named, KEY)
     return out.select(*KEY, *[corner(f"i{a}", r).alias(a) for a in "xyz"], colour("class_id").alias("rgb"), p_occ().alias("p_occ"), "class_id", confidence("a_unk", "counts").alias("confidence"), beta_variance("a_occ", "a_free").alias("variance"), information_gain("a_occ", "a_free").alias("eig"), "a_occ", "a_free", "a_unk")
 
 
@@ -146,3 +145,9 @@ def statistics(beta: DataFrame, classes: DataFrame, tsdf: DataFrame) -> DataFram
     """Cells and bytes of each table."""
     rows = [t.agg(F.count("*").alias("cells")).select(lit(n).alias("grid"), "cells", (F.col("cells") * size).alias("bytes")) for t, n, size in ((beta, "beta", 8), (classes, "dir", 16), (tsdf, "tsdf", 8))]
     return rows[0].union(rows[1]).union(rows[2])
+
+
+def eviction_log(branches: DataFrame) -> DataFrame:
+    """(frame, match, empty, evict, drop): a line for each frame, from what became of its evidence in each cell."""
+    total = {"match": "n_match", "empty": "n_empty", "evict": "n_evict", "drop": "n_drop"}
+    return branches.groupBy(F.col("frame_id").alias("frame")).agg(*[F.sum(F.col(c).cast("long")).alias(n) for n, c in total.items()])

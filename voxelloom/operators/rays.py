@@ -18,21 +18,23 @@ def with_keys(rays: DataFrame, res: float) -> DataFrame:
     return rays.withColumns({f"k{n}{a}": cell(f"{p}{a}", res) for n, p in ((0, "o"), (1, "e")) for a in "xyz"})
 
 
-def walk_cells(rays: DataFrame, inclusive: bool = False, a: str = "k0", b: str = "k1") -> DataFrame:
-    """One row for each cell on the line between two cells (columns a*, b*): step and
-    ix, iy, iz. The last cell is left out unless inclusive; two equal cells give
-    nothing, or that cell if inclusive. Step i of a line whose longest side has m
+def walk_cells(rays: DataFrame, inclusive: bool = False, a: str = "k0", b: str = "k1", only_end: Column | None = None) -> DataFrame:
+    """One row for each cell on the line between two cells (columns a*, b*): step, the
+    last step m, and ix, iy, iz. The last cell is left out unless inclusive; two equal
+    cells give nothing, or that cell if inclusive. Of rays with only_end an inclusive
+    walk has the last cell alone. Step i of a line whose longest side has m
     cells lies at the rounded i / m of each side, so no loop is needed."""
     d = {x: F.col(f"{b}{x}") - F.col(f"{a}{x}") for x in "xyz"}
     m = F.greatest(*[F.abs(v) for v in d.values()])
-    steps = F.sequence(lit(0), F.col("_m")) if inclusive else F.when(F.col("_m") > 0, F.sequence(lit(0), F.col("_m") - 1))
-    out = rays.withColumn("_m", m).withColumn("step", F.explode(steps))
+    begin = lit(0) if only_end is None else F.when(only_end, F.col("m")).otherwise(0)
+    steps = F.sequence(begin, F.col("m")) if inclusive else F.when(F.col("m") > 0, F.sequence(lit(0), F.col("m") - 1))
+    out = rays.withColumn("m", m).withColumn("step", F.explode(steps))
 
     def at(x: str) -> Column:
-        side = F.when(F.col("_m") > 0, F.floor((2 * F.col("step") * F.abs(d[x]) + F.col("_m")) / (2 * F.col("_m")))).otherwise(0)
+        side = F.when(F.col("m") > 0, F.floor((2 * F.col("step") * F.abs(d[x]) + F.col("m")) / (2 * F.col("m")))).otherwise(0)
         return (F.col(f"{a}{x}") + F.when(d[x] < 0, -1).otherwise(1) * side).cast("int")
 
-    return out.withColumns({f"i{x}": at(x) for x in "xyz"}).drop("_m")
+    return out.withColumns({f"i{x}": at(x) for x in "xyz"})
 
 
 def carve_steps(rays: DataFrame, params: MapParams) -> DataFrame:
@@ -49,12 +51,31 @@ def hit_cells(rays: DataFrame, params: MapParams) -> DataFrame:
     return h.withColumns({f"i{a}": cell(f"e{a}", params.resolution) for a in "xyz"})
 
 
+def weights(rays: DataFrame, params: MapParams) -> DataFrame:
+    """Adds w_occ, w_free, kappa and min_p_occ of the map where the rays have none of their own."""
+    value = {"w_occ": params.w_occ, "w_free": params.w_free, "kappa": params.kappa, "min_p_occ": params.min_p_occ}
+    return rays.withColumns({k: lit(float(v)) for k, v in value.items() if k not in rays.columns})
+
+
+def frame_cells(rays: DataFrame, params: MapParams) -> DataFrame:
+    """(frame_id, ix, iy, iz, occ, free, w) of each frame and cell: what persistent hits add, the
+    largest weight w with which the cell is passed, and what of it is carved: nothing
+    where a persistent hit of the frame lies. Every ray is walked once, its end with
+    it; a ray that carves nothing is its end alone."""
+    r = with_keys(weights(rays, params), params.resolution).withColumn("w", F.col("w_free") * F.col("quality"))
+    cells = walk_cells(r, inclusive=True, only_end=F.col("w") <= 0)
+    hit = (F.col("kind") == "hit") & (F.col("step") == F.col("m"))
+    lands = hit & ~F.col("is_dynamic")
+    w = F.when(~hit & (F.col("w") > 0), F.col("w"))
+    g = cells.groupBy("frame_id", *KEY).agg(F.sum(F.when(lands, F.col("w_occ") * F.col("quality"))).alias("occ"), F.max(w).alias("w"), F.max(lands).alias("lands"))
+    g = g.where("lands OR w IS NOT NULL")
+    return g.select("frame_id", *KEY, F.coalesce("occ", lit(0.0)).alias("occ"), F.when(F.col("lands"), 0.0).otherwise(F.coalesce("w", lit(0.0))).alias("free"), "w")
+
+
 def batched_carve(rays: DataFrame, params: MapParams) -> DataFrame:
     """(ix, iy, iz, inc): of each frame the largest weight with which a cell is
     passed, unless a persistent hit of the frame lies there; summed over frames."""
-    most = carve_steps(rays, params).groupBy("frame_id", *KEY).agg(F.max("w").alias("w"))
-    taken = hit_cells(rays.where("NOT is_dynamic"), params).select("frame_id", *KEY).distinct()
-    return most.join(taken, ["frame_id", *KEY], "left_anti").groupBy(*KEY).agg(F.sum("w").alias("inc"))
+    return frame_cells(rays, params).where("free > 0").groupBy(*KEY).agg(F.sum("free").alias("inc"))
 
 
 def immediate_carve(rays: DataFrame, params: MapParams) -> DataFrame:
@@ -75,8 +96,10 @@ def guarded_carve(rays: DataFrame, beta: DataFrame, params: MapParams, threshold
 
 def occupancy(rays: DataFrame, params: MapParams, batched: bool = True) -> DataFrame:
     """(ix, iy, iz, a_occ, a_free) from all rays, without saturation."""
+    if batched:
+        return frame_cells(rays, params).groupBy(*KEY).agg((lit(1.0) + F.sum("occ")).alias("a_occ"), (lit(1.0) + F.sum("free")).alias("a_free"))
     hit = hit_cells(rays.where("NOT is_dynamic"), params).select(*KEY, (lit(params.w_occ) * F.col("quality")).alias("occ"), lit(0.0).alias("free"))
-    free = (batched_carve if batched else immediate_carve)(rays, params).select(*KEY, lit(0.0).alias("occ"), F.col("inc").alias("free"))
+    free = immediate_carve(rays, params).select(*KEY, lit(0.0).alias("occ"), F.col("inc").alias("free"))
     return hit.unionByName(free).groupBy(*KEY).agg((lit(1.0) + F.sum("occ")).alias("a_occ"), (lit(1.0) + F.sum("free")).alias("a_free"))
 
 
@@ -98,7 +121,7 @@ def band_cells(rays: DataFrame, params: MapParams, fused: bool = False) -> DataF
     res = p.resolution
     cols = {f"a{a}": cell(F.col(f"e{a}") - back * F.col(f"u{a}"), res) for a in "xyz"} | {f"b{a}": cell(F.col(f"e{a}") + lit(p.trunc) * F.col(f"u{a}"), res) for a in "xyz"} | {f"h{a}": cell(f"e{a}", res) for a in "xyz"}
     r = r.withColumns(cols)
-    far = walk_cells(r, inclusive=True, a="a", b="b").drop("step")
+    far = walk_cells(r, inclusive=True, a="a", b="b").drop("step", "m")
     end = r.withColumns({f"i{a}": F.col(f"h{a}") for a in "xyz"})
     cells = far.unionByName(end).dropDuplicates(["seq", *KEY])
     sdf = euclidean_sdf(["ox", "oy", "oz"], ["ex", "ey", "ez"], [centre(f"i{a}", res) for a in "xyz"])

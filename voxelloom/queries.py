@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import folds, scalar as sc
-from .operators import consensus, geometry, ingest, legacy, maps, rays as ry
+from .operators import consensus, geometry, ingest, integrate as ig, legacy, maps, rays as ry
 from .params import CAMERA, EMPTY, K_TOP, LIDAR, MapParams
 from .sources import points, wire
 from .streaming import gates
-from .views import MAP, beta, beta_map, cloud, obs, rays, sphere, with_views
+from .views import MAP, SQL, beta, beta_map, cloud, obs, rays, sphere, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,7 +24,8 @@ PRIOR = MAP.prior_other
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[(F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles to six digits, as DuckDB does it: the product is rounded, not the decimal digits."""
+    return df.select(*[(F.round(F.col(c) * 1e6) / 1e6 + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def query(name: str, sql: str | None = None, doubles: str = "", views: str = ""):
@@ -41,6 +42,11 @@ def query(name: str, sql: str | None = None, doubles: str = "", views: str = "")
     return add
 
 
+def total(c: str):
+    """An exact sum, in which no order of additions shows."""
+    return F.sum(F.col(c).cast("decimal(28,12)")).cast("double")
+
+
 D = "::double"
 P = "(a_occ / (a_occ + a_free))"
 
@@ -103,6 +109,11 @@ def _(s, sf):
     return beta(s, sf).select("source", *KEY, sc.p_occ().alias("p"), (F.col("a_occ") + F.col("a_free")).alias("s_total"), sc.is_prior_beta().alias("prior"))
 
 
+@query("fn13_packed_key", "SELECT vec_id, pt, (CAST(floor(x/0.1::double) AS BIGINT) & 2097151) | ((CAST(floor(y/0.1::double) AS BIGINT) & 2097151) << 21) | ((CAST(floor(z/0.1::double) AS BIGINT) & 2097151) << 42) AS k FROM cloud", "", "cloud")
+def _(s, sf):
+    return cloud(s, sf).select("vec_id", "pt", sc.packed_key(*[sc.cell(a, 0.1) for a in "xyz"]).alias("k"))
+
+
 def _duck_digamma(x: str) -> str:
     n = f"greatest(0, ceil(6 - ({x})))"
     y = f"(({x}) + {n})"
@@ -176,17 +187,36 @@ def _(s, sf):
     return beta(s, sf).select("source", *KEY, o.alias("occ"), f.alias("free"))
 
 
-@query("fn37_palette", None)
-def _(s, sf):
-    return s.range(300).select(F.col("id").cast("int").alias("cls"), sc.colour(F.col("id").cast("int")).alias("rgb"))
+#: Written out by hand: the fixed colours, packed; then hues by the golden angle.
+_FIXED = "0x7F7F7F 0x00FF00 0x7F4C19 0x4C4C4C 0x197F19 0xFF0000 0x0000FF 0xFFFF00 0xFF00FF 0x00FFFF".split()
 
 
-_NAMES = " ".join(f"WHEN {' OR '.join(f'''contains(n, '{w}')''' for w in ws)} THEN {g}" for g, ws in sc.NAME_GROUPS)
+@query(
+    "fn37_palette",
+    f"""SELECT cls, CAST(CASE WHEN cls > 255 THEN 0 {' '.join(f'WHEN cls = {i} THEN {int(x, 16)}' for i, x in enumerate(_FIXED))} ELSE
+  CAST(floor(255*CASE CAST(floor(h) AS INT) WHEN 0 THEN 1 WHEN 1 THEN x WHEN 4 THEN x WHEN 5 THEN 1 ELSE 0 END) AS INT)*65536 + CAST(floor(255*CASE CAST(floor(h) AS INT) WHEN 0 THEN x WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN x ELSE 0 END) AS INT)*256
+  + CAST(floor(255*CASE CAST(floor(h) AS INT) WHEN 2 THEN x WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN x ELSE 0 END) AS INT) END AS INT) AS rgb
+FROM (SELECT cls, h, 1 - abs(h - 2*floor(h/2) - 1) AS x FROM (SELECT CAST(i AS INT) AS cls, fmod(i*137.508::double, 360.0::double)/60 AS h FROM range(0, 300) t(i)))""",
+)
+def _(s, sf):
+    return s.range(300).select(F.col("id").cast("int").alias("cls"), sc.colour(F.col("id").cast("int")).alias("rgb"))
 
 
-@query("fn38_collapse_names", f"SELECT p_partkey, CAST(CASE {_NAMES} ELSE 0 END AS INT) AS grp FROM (SELECT p_partkey, replace(lower(p_name), '_', '-') AS n FROM part)")
+@query(
+    "fn38_collapse_names",
+    r"""SELECT p_partkey, CAST(CASE WHEN n LIKE '%person%' THEN 8 WHEN regexp_matches(n, 'rider|bicyclist|motorcyclist') THEN 9 WHEN regexp_matches(n, 'traffic.sign|traffic.light|sign-frame|signboard') THEN 7
+  WHEN regexp_matches(n, 'sidewalk|curb|pedestrian') THEN 2 WHEN regexp_matches(n, 'road|lane|crosswalk|parking|rail.track|path|runway') THEN 1 WHEN regexp_matches(n, 'building|bridge|tunnel|house|skyscraper') THEN 4
+  WHEN regexp_matches(n, 'pole|street-light|street light|streetlight|banner|billboard') THEN 6 WHEN regexp_matches(n, 'vegetation|tree|plant|palm|flower') THEN 5 WHEN regexp_matches(n, 'fence|guard.rail|railing') THEN 12
+  WHEN regexp_matches(n, 'wall|barrier') THEN 13 WHEN regexp_matches(n, 'car|truck|bus|caravan|trailer|van|on.rails|motorcycle|bicycle|boat|vehicle|wheeled-slow|minibike') THEN 10 WHEN n LIKE '%sky%' THEN 11
+  WHEN regexp_matches(n, 'terrain|sand|snow|mountain|grass|earth|field|hill|land|dirt|rock') THEN 3 ELSE 0 END AS INT) AS grp
+FROM (SELECT p_partkey, replace(lower(CASE p_partkey % 16 WHEN 0 THEN 'streetlight' WHEN 1 THEN 'construction--flat--sidewalk' WHEN 2 THEN 'object--vehicle--car' WHEN 3 THEN 'Ground Animal' WHEN 4 THEN 'skyscraper' WHEN 5 THEN 'guard_rail'
+  WHEN 6 THEN 'human--rider--bicyclist' WHEN 7 THEN 'dirt track' WHEN 8 THEN 'traffic_light' WHEN 9 THEN 'Palm' WHEN 10 THEN 'wall' WHEN 11 THEN 'nature--sky' ELSE p_name END), '_', '-') AS n FROM part)""",
+)
 def _(s, sf):
-    return s.read.parquet(f"{sf}/part.parquet").select("p_partkey", sc.collapse_name("p_name").alias("grp"))
+    """Names of two label sets for some parts, the parts' own for the others."""
+    known = ["streetlight", "construction--flat--sidewalk", "object--vehicle--car", "Ground Animal", "skyscraper", "guard_rail", "human--rider--bicyclist", "dirt track", "traffic_light", "Palm", "wall", "nature--sky"]
+    name = F.coalesce(F.get(F.array(*map(lit, known)), (F.col("p_partkey") % 16).cast("int")), F.col("p_name"))
+    return s.read.parquet(f"{sf}/part.parquet").select("p_partkey", sc.collapse_name(name).alias("grp"))
 
 
 @query("fn39_sanitised", "SELECT 0.1::double AS resolution, 0.15::double AS trunc, 1.0::double AS decay, 0.0::double AS w_occ", "resolution trunc decay w_occ")
@@ -263,10 +293,10 @@ def _(s, sf):
     return ry.ball(s, 1.7, 0.5).select("dx", "dy", "dz", "d")
 
 
-@query("gen5_6_probabilities", "SELECT vec_id, CAST(i - 1 AS INT) AS cls, abs(embedding[i]::double) AS p FROM (SELECT vec_id, embedding, unnest(range(1, 11)) AS i FROM embeddings) WHERE embedding[i] > 0", "p")
+@query("gen5_6_probabilities", "SELECT vec_id, CAST(i - 1 AS INT) AS cls, embedding[i]::double / t AS p FROM (SELECT vec_id, embedding, greatest(1.0::double, list_sum([CASE WHEN x > 0 THEN x::double ELSE 0 END FOR x IN embedding])) AS t, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) WHERE embedding[i] > 0", "p")
 def _(s, sf):
     e = s.read.parquet(f"{sf}/embeddings.parquet")
-    return e.select("vec_id", F.posexplode(F.slice("embedding", 1, 10)).alias("cls", "v")).where("v > 0").select("vec_id", "cls", F.abs(F.col("v").cast("double")).alias("p"))
+    return e.select("vec_id", F.explode(ig.distribution(F.col("embedding"))).alias("x")).select("vec_id", F.col("x.cls").alias("cls"), F.col("x.share").alias("p")).where(F.col("cls") != EMPTY)
 
 
 @query("fn34_endpoint_band", f"{with_views('rays')},\n{_BAND.format(back='1.0::double')}\nSELECT seq, ix, iy, iz, sdf FROM (SELECT seq, ix, iy, iz, depth - (ix*0.5::double*ex + iy*0.5::double*ey + iz*0.5::double*ez)/depth AS sdf FROM vis) WHERE abs(sdf) <= 1", "sdf")
@@ -333,46 +363,38 @@ def _(s, sf):
     return d.select(*KEY, *[F.col(f"d.{c}").alias(c) for c in (*_SLOTS, "n_match", "n_empty", "n_evict", "n_drop")])
 
 
-_RUN = "run AS (SELECT *, (1 + o)/(1 + o + f) AS p FROM (SELECT *, sum(quality) OVER (PARTITION BY ix, iy, iz ORDER BY frame_id, seq) AS o, 1 + 0.5::double * frame_id AS f FROM obs))"
-
-
-def _running(s, sf):
-    """Observations with the occupancy after each, against free evidence that grows by frame."""
-    w = Window.partitionBy(*KEY).orderBy("frame_id", "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    o = obs(s, sf).withColumn("o", F.sum("quality").over(w)).withColumn("f", 1 + 0.5 * F.col("frame_id"))
-    return o.withColumn("p", (1 + F.col("o")) / (1 + F.col("o") + F.col("f")))
+#: The map with a gate that no cell meets exactly.
+GATED = replace(MAP, min_p_occ=0.5123)
+_FOLDED = lambda events, order, c, i: f"SELECT ix, iy, iz, list_reduce(list({_ELEM(c, i)} ORDER BY {order}), lambda a, x: {_slot_step('x.i')}, {_EMPTY}) AS s FROM {events} GROUP BY ix, iy, iz"
+#: Class evidence by the probabilities of each hit's label, weighed by the occupancy after it.
+_DIR = lambda gate, events="run": f"SELECT ix, iy, iz, {_OUT} FROM ({_FOLDED(f'(SELECT * FROM {events} JOIN parts USING (seq) WHERE p >= {gate}::double AND q > 0 AND (cls = 65535 OR share > 0))', 'frame_id, seq, i', 'cls', 'p*q*share')})"
+_LABEL = "(SELECT * FROM (SELECT *, CASE WHEN cls <> 7 THEN cls END AS label FROM run JOIN (SELECT seq, cls FROM rays) USING (seq)) WHERE p > 0.5::double AND label IS NOT NULL)"
 
 
-@query("win1_running_occupancy", f", {_RUN} SELECT seq, ix, iy, iz, p FROM run", "p", "obs")
+@query("win1_running_occupancy", "SELECT seq, ix, iy, iz, p FROM run", "p", "run")
 def _(s, sf):
-    return _running(s, sf).select("seq", *KEY, "p")
+    return ig.running(rays(s, sf), MAP).select("seq", *KEY, "p")
 
 
-@query("agg4_dirichlet_update", f", {_RUN} SELECT ix, iy, iz, {_OUT} FROM (SELECT ix, iy, iz, list_reduce(list({_ELEM('CASE WHEN seq%7=0 THEN 65535 ELSE cls END', 'p*quality')} ORDER BY frame_id, seq), lambda a, x: {_slot_step('x.i')}, {_EMPTY}) AS s FROM run WHERE p >= 0.2::double GROUP BY ALL)", "other cnt0 cnt1", "obs")
+@query("agg4_gen5_6_dirichlet_update", f"SELECT * FROM ({_DIR(0.5123)})", "other cnt0 cnt1", "run parts")
 def _(s, sf):
-    r = _running(s, sf).where("p >= 0.2").withColumn("inc", F.col("p") * F.col("quality")).withColumn("cls", F.when(F.col("seq") % 7 == 0, EMPTY).otherwise(F.col("cls")))
-    return _slot_events(r, ["frame_id", "seq"]).select(*KEY, *[F.col(f"d.{c}").alias(c) for c in _SLOTS])
+    return ig.classes(rays(s, sf), GATED).select(*KEY, *_SLOTS)
 
 
-@query("agg6_naive", f"SELECT ix, iy, iz, {PRIOR!r}::double + count(*) - 1 AS other, arg_max(cls, seq) AS cls0, 1.01::double AS cnt0, CAST(65535 AS INT) AS cls1, 0.01::double AS cnt1 FROM obs GROUP BY ALL", "other cnt0 cnt1", "obs")
+@query("agg6_naive", f"SELECT ix, iy, iz, {PRIOR!r}::double + count(*) - 1 AS other, arg_max(label, (frame_id, seq)) AS cls0, 1.01::double AS cnt0, CAST(65535 AS INT) AS cls1, 0.01::double AS cnt1 FROM {_LABEL} GROUP BY ix, iy, iz", "other cnt0 cnt1", "run")
 def _(s, sf):
-    d = obs(s, sf).groupBy(*KEY).agg(folds.fold_naive(F.collect_list(F.struct("seq", "cls")), PRIOR).alias("d"))
-    return d.select(*KEY, *[F.col(f"d.{c}").alias(c) for c in _SLOTS])
+    return ig.classes(rays(s, sf), replace(MAP, mode="naive")).select(*KEY, *_SLOTS)
 
 
-@query("agg6_majority", f"SELECT ix, iy, iz, {_OUT} FROM (SELECT ix, iy, iz, list_reduce(list({_ELEM('cls', '1.0::double')} ORDER BY seq), lambda a, x: {_slot_step('x.i')}, {_EMPTY}) AS s FROM obs GROUP BY ALL)", "other cnt0 cnt1", "obs")
+@query("agg6_majority", f"SELECT ix, iy, iz, {_OUT} FROM ({_FOLDED(_LABEL, 'frame_id, seq', 'label', '1.0::double')})", "other cnt0 cnt1", "run")
 def _(s, sf):
-    return _slot_events(obs(s, sf).withColumn("inc", lit(1.0)), ["seq"]).select(*KEY, *[F.col(f"d.{c}").alias(c) for c in _SLOTS])
+    return ig.classes(rays(s, sf), replace(MAP, mode="majority")).select(*KEY, *_SLOTS)
 
 
 @query("agg4_saturated_fold", None)
 def _(s, sf):
     """A cap makes the update a single fold; brute force in the tests stands for SQL."""
-    o = obs(s, sf)
-    hits = o.select(*KEY, "frame_id", lit(1).alias("phase"), "seq", "cls", F.col("quality").alias("q"), lit(0.0).alias("w"))
-    carve = o.groupBy(*KEY, "frame_id").agg(F.max("quality").alias("w")).select(*KEY, "frame_id", lit(2).alias("phase"), lit(0).cast("long").alias("seq"), lit(EMPTY).alias("cls"), lit(0.0).alias("q"), (F.col("w") * 0.5).alias("w"))
-    ev = hits.unionByName(carve).groupBy(*KEY).agg(folds.fold_cell(F.collect_list(F.struct("frame_id", "phase", "seq", "cls", "q", "w")), 1.0, 1.0, 10.0, 0.5, PRIOR).alias("s"))
-    return ev.select(*KEY, "s.a_occ", "s.a_free", *[F.col(f"s.d.{c}").alias(c) for c in _SLOTS])
+    return ig.saturated(rays(s, sf), replace(GATED, saturation=10.0))
 
 
 _GRID = """, g AS (SELECT CAST(floor(ix*0.5::double/1.0::double) AS INT) AS gx, CAST(floor(iy*0.5::double/1.0::double) AS INT) AS gy, max(a_occ/(a_occ+a_free)) AS p FROM beta WHERE source = 0 AND NOT (a_occ <= 1.0001::double AND a_free <= 1.0001::double) AND iz*0.5::double BETWEEN 0.5::double AND 3.0::double GROUP BY ALL),
@@ -447,16 +469,43 @@ def _(s, sf):
     return consensus.merge_dir(c.where("source = 0"), c.where("source = 1"), PRIOR)
 
 
-@query("agg12_join6_refold_dir", None)
+def _merged(a: str, b: str) -> str:
+    """SQL of the consensus of two class tables; a cell that one of them lacks stays as the other has it."""
+    pairs = " UNION ALL ".join(f"SELECT ix, iy, iz, cls{k} AS cls, cnt{k} AS cnt FROM {t}" for t in (a, b) for k in (0, 1))
+    both = lambda c: f"CASE WHEN a.ix IS NULL THEN b.{c} WHEN b.ix IS NULL THEN a.{c} ELSE"
+    return f"""(WITH keys AS (SELECT ix, iy, iz FROM {a} UNION SELECT ix, iy, iz FROM {b}),
+slot AS (SELECT ix, iy, iz, cls, CAST(sum(cnt - 0.01::double) AS DOUBLE) + 0.01::double AS cnt FROM ({pairs}) WHERE cls <> 65535 GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY ix, iy, iz ORDER BY round(cnt, 9) DESC, cls) AS r FROM slot),
+agg AS (SELECT ix, iy, iz, max(CASE WHEN r=1 THEN cls END) AS c0, max(CASE WHEN r=1 THEN cnt END) AS n0, max(CASE WHEN r=2 THEN cls END) AS c1, max(CASE WHEN r=2 THEN cnt END) AS n1, coalesce(sum(CASE WHEN r>2 THEN greatest(0.0::double, cnt-0.01::double) END), 0) AS tail FROM rk GROUP BY ALL)
+SELECT keys.ix, keys.iy, keys.iz, {both('other')} greatest({PRIOR!r}::double, a.other + b.other - {PRIOR!r}::double) + coalesce(tail, 0) END AS other, CAST({both('cls0')} coalesce(c0, 65535) END AS INT) AS cls0, {both('cnt0')} coalesce(n0, 0.01::double) END AS cnt0,
+  CAST({both('cls1')} coalesce(c1, 65535) END AS INT) AS cls1, {both('cnt1')} coalesce(n1, 0.01::double) END AS cnt1
+FROM keys LEFT JOIN {a} a USING (ix, iy, iz) LEFT JOIN {b} b USING (ix, iy, iz) LEFT JOIN agg USING (ix, iy, iz))"""
+
+
+_REFOLD = f"{_SRC}, s0 AS (SELECT * FROM src WHERE source = 0), s1 AS (SELECT * FROM src WHERE source = 1), s2 AS (SELECT * FROM src WHERE source = 2), m1 AS {_merged('s0', 's1')}, fd AS {_merged('m1', 's2')}"
+
+
+@query("agg12_join6_refold_dir", f"{_REFOLD} SELECT * FROM fd", "other cnt0 cnt1", "obs")
 def _(s, sf):
-    """An ordered fold that cuts to two slots each time; brute force in the tests."""
+    """Sources one after another, cut to two slots each time."""
     return consensus.refold_dir(source_classes(s, sf), PRIOR)
 
 
-@query("agg14_legacy_merge", "SELECT ix, iy, iz, cls, sum(quality) AS cnt FROM obs GROUP BY ALL", "cnt", "obs")
+_LEGACY = lambda step: step.replace("0.01::double", "0.0::double").replace(f"{PRIOR!r}::double", "0.0::double")
+_OLD = lambda k: f"SELECT ix, iy, iz, s FROM (SELECT ix, iy, iz, list_reduce(list({_ELEM('cls', 'quality')} ORDER BY seq), lambda a, x: {_LEGACY(_slot_step('x.i'))}, {_LEGACY(_EMPTY)}) AS s FROM obs WHERE source = {k} GROUP BY ix, iy, iz)"
+
+
+@query(
+    "agg14_legacy_merge",
+    f""", a AS ({_OLD(0)}), b AS ({_OLD(1)}), m AS (SELECT ix, iy, iz, coalesce(a.s, {_LEGACY(_EMPTY)}) AS l, coalesce(b.s, {_LEGACY(_EMPTY)}) AS r FROM a FULL JOIN b USING (ix, iy, iz)),
+f AS (SELECT ix, iy, iz, r.o AS more, list_reduce(list_filter([{_ELEM('r.c0', 'r.n0')}, {_ELEM('r.c1', 'r.n1')}], lambda x: x.i > 0), lambda a, x: {_LEGACY(_slot_step('x.i'))}, l) AS s FROM m)
+SELECT ix, iy, iz, s.o + more AS other, s.c0 AS cls0, s.n0 AS cnt0, s.c1 AS cls1, s.n1 AS cnt1 FROM f""",
+    "other cnt0 cnt1", "obs",
+)
 def _(s, sf):
-    o = obs(s, sf)
-    return o.groupBy("source", *KEY, "cls").agg(F.sum("quality").alias("cnt")).groupBy(*KEY, "cls").agg(F.sum("cnt").alias("cnt"))
+    o = obs(s, sf).groupBy("source", *KEY).agg(legacy.legacy_slots(F.collect_list(F.struct("seq", "cls", F.col("quality").alias("inc")))).alias("d")).select("source", *KEY, "d.*")
+    o = o.withColumn("a_occ", lit(1.0)).withColumn("a_free", lit(1.0))
+    return legacy.merge(o.where("source = 0"), o.where("source = 1")).select(*KEY, *_SLOTS)
 
 
 @query(
@@ -487,6 +536,11 @@ def _(s, sf):
     return g.select(*KEY, F.get("t.kept", lit(0))["cls"].alias("top"), F.col("t.dropped_mass").alias("dropped"))
 
 
+@query("fn15_totals", f"{_SRC} SELECT source, ix, iy, iz, other + cnt0 + cnt1 AS s_class FROM src", "s_class", "obs")
+def _(s, sf):
+    return source_classes(s, sf).select("source", *KEY, sc.class_mass("other", ["cnt0", "cnt1"]).alias("s_class"))
+
+
 # Joins -----------------------------------------------------------------------
 
 
@@ -522,8 +576,8 @@ def _events(s, sf):
 
 @query("join7_as_of_pose", f"SELECT a.event_id, b.event_id AS pose FROM (SELECT * FROM {_EV} WHERE event_type = 'view') a ASOF LEFT JOIN (SELECT * FROM {_EV} WHERE event_type = 'click') b ON a.t >= b.t")
 def _(s, sf):
-    e = _events(s, sf).withColumn("u", lit(0))
-    return ingest.as_of(e.where("event_type = 'view'").select("u", "t", "event_id"), e.where("event_type = 'click'").select("u", "t", F.col("event_id").alias("pose")), "t", ["u"], ["pose"]).select("event_id", "pose")
+    e = _events(s, sf)
+    return ingest.as_of(e.where("event_type = 'view'").select("t", "event_id"), e.where("event_type = 'click'").select("t", F.col("event_id").alias("pose")), "t", [], ["pose"], bucket=3600.0).select("event_id", "pose")
 
 
 @query("join7_exact_pose", f"SELECT a.event_id, b.event_id AS pose FROM (SELECT * FROM {_EV} WHERE event_type = 'view') a LEFT JOIN (SELECT * FROM {_EV} WHERE event_id % 3 = 0) b ON a.t = b.t")
@@ -612,12 +666,30 @@ def _(s, sf):
     return ingest.deskew(pts, knots)
 
 
-@query("win5_6_lags", f"SELECT event_id, sqrt(dv*dv) AS jump FROM (SELECT event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY t) AS dv FROM {_EV})", "jump")
+@query("win5_lags", f"SELECT event_id, sqrt(dv*dv) AS jump FROM (SELECT event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY t) AS dv FROM {_EV})", "jump")
 def _(s, sf):
     p = _events(s, sf).select("event_id", F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("t"))).alias("jump"))
     return p
 
 
+_AT = f"CAST({{o: frame_id::double, c0: 0, n0: 0.0::double, c1: 0, n1: 0.0::double, m: 0, e: 0, v: 0, d: 0, c: cls, i: quality}} AS {_S})"
+_PART = lambda n: f"CAST(sum(s.{n} - coalesce(before.{n}, 0)) AS BIGINT)"
+
+
+@query(
+    "win6_snk12_eviction_log",
+    f""", l AS (SELECT ix, iy, iz, list({_AT} ORDER BY frame_id, seq) AS l FROM obs GROUP BY ix, iy, iz), f AS (SELECT DISTINCT ix, iy, iz, frame_id FROM obs),
+c AS (SELECT ix, iy, iz, frame_id, list_reduce(list_filter(l, lambda x: x.o <= frame_id), lambda a, x: {_slot_step('x.i')}, {_EMPTY}) AS s FROM l JOIN f USING (ix, iy, iz)),
+d AS (SELECT frame_id, s, lag(s) OVER (PARTITION BY ix, iy, iz ORDER BY frame_id) AS before FROM c)
+SELECT frame_id AS frame, {_PART('m')} AS match, {_PART('e')} AS empty, {_PART('v')} AS evict, {_PART('d')} AS drop FROM d GROUP BY frame_id""",
+    "", "obs",
+)
+def _(s, sf):
+    """A line of the log for each frame: what became of its evidence."""
+    e = obs(s, sf).groupBy(*KEY).agg(folds.fold_branches(F.collect_list(F.struct("frame_id", "seq", "cls", F.col("quality").alias("inc"))), PRIOR).alias("f"))
+    return maps.eviction_log(e.select(F.explode("f").alias("x")).select("x.*"))
+
+
 @query("win7_first_pose", "SELECT source, arg_min(quality, seq) AS tx FROM obs GROUP BY source", "tx", "obs")
 def _(s, sf):
     return consensus.first_pose(obs(s, sf).withColumn("tx", F.col("quality")), ["tx"], "seq")
@@ -671,18 +743,82 @@ def _(s, sf):
     return obs(s, sf).select("frame_id", *KEY).distinct().groupBy("frame_id").agg(F.count("*").alias("touched"))
 
 
-@query("str9_win5_pose_gate", None)
+_LOST = "(a.s AND coalesce(x.j > 1.0::double, false))"
+_STILL = f"(a.s AND NOT {_LOST})"
+_AGAIN = f"(NOT {_STILL} AND (x.j IS NULL OR x.j > CASE WHEN a.i THEN 1.0::double ELSE 0.5::double END))"
+_SINCE = f"(CASE WHEN {_AGAIN} OR {_LOST} THEN x.t ELSE a.c END)"
+_NOW = f"({_STILL} OR (NOT {_AGAIN} AND x.t - {_SINCE} >= 2.0::double))"
+_PG = "STRUCT(s BOOLEAN, i BOOLEAN, c DOUBLE, t DOUBLE, j DOUBLE)"
+_GATE = f"""j AS (SELECT user_id, t, sqrt((tx - l)*(tx - l)) AS j FROM (SELECT *, lag(tx) OVER (PARTITION BY user_id ORDER BY t) AS l FROM (SELECT user_id, t/86400::double AS t, value/100::double AS tx FROM {_EV}))),
+gl AS (SELECT user_id, list(CAST({{s: false, i: false, c: 0.0::double, t: t, j: j}} AS {_PG}) ORDER BY t) AS l FROM j GROUP BY user_id),
+gate AS (SELECT user_id, t, j AS jump, list_reduce(list_filter(l, lambda x: x.t <= j.t), lambda a, x: CAST({{s: {_NOW}, i: a.i OR {_NOW}, c: {_SINCE}, t: 0.0::double, j: NULL}} AS {_PG}), CAST({{s: false, i: false, c: 0.0::double, t: 0.0::double, j: NULL}} AS {_PG})).s AS stable FROM j JOIN gl USING (user_id))"""
+
+
+def _poses(s, sf):
+    return _events(s, sf).select("user_id", (F.col("t") / 86400).alias("t"), (F.col("value") / 100).alias("tx"), lit(0.0).alias("ty"), lit(0.0).alias("tz"))
+
+
+@query("str9_win5_pose_gate", f"WITH {_GATE} SELECT user_id, t, jump, stable FROM gate", "t jump")
+def _(s, sf):
+    """A state machine over the poses of each user."""
+    return gates.pose_gate(_poses(s, sf), ["user_id"])
+
+
+@query("flt15_admission", f"WITH {_GATE}, st AS (SELECT t/86400::double AS t, value/100.0::double AS gap FROM {_EV} WHERE event_type = 'error') SELECT user_id, g.t, stable, coalesce(gap >= 0.5::double, false) AS rejected, stable AND NOT coalesce(gap >= 0.5::double, false) AS admitted FROM gate g ASOF LEFT JOIN st ON g.t >= st.t", "t")
+def _(s, sf):
+    status = _events(s, sf).where("event_type = 'error'").select((F.col("t") / 86400).alias("t"), (F.col("value") / 100).alias("gap"), lit(None).cast("int").alias("rejected"))
+    return gates.admitted(_poses(s, sf), ["user_id"], status, 1.0)
+
+
+@query("str5_coalesced", f", {_FRAMES} SELECT CAST(frame_id // 5 AS BIGINT) AS tick, ix, iy, iz, max(frame_id) AS frame_id, arg_max(a_occ, frame_id) AS a_occ FROM st GROUP BY 1, ix, iy, iz", "a_occ", "obs")
+def _(s, sf):
+    return gates.coalesced(_states(s, sf), KEY, "frame_id", 5).select("tick", *KEY, "frame_id", "a_occ")
+
+
+_RL = "STRUCT(l DOUBLE, t DOUBLE)"
+
+
+@query("str12_14_rate_limit", f"WITH e AS (SELECT DISTINCT event_type, t FROM {_EV}), l AS (SELECT event_type, list(CAST({{l: 0.0::double, t: t}} AS {_RL}) ORDER BY t) AS l FROM e GROUP BY event_type), k AS (SELECT event_type, t, list_reduce(list_filter(l, lambda x: x.t <= e.t), lambda a, x: CASE WHEN x.t - a.l >= 43200 THEN CAST({{l: x.t, t: 0.0::double}} AS {_RL}) ELSE a END, CAST({{l: -1e12::double, t: 0.0::double}} AS {_RL})).l AS last FROM e JOIN l USING (event_type) WHERE event_type IN ('error', 'signup')) SELECT event_type, t FROM k WHERE last = t", "t")
+def _(s, sf):
+    return gates.rate_limited(_events(s, sf).where("event_type IN ('error', 'signup')").select("event_type", "t"), ["event_type"], 43200.0)
+
+
+@query("lim2_keep_last", f"SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS n FROM {_EV}) WHERE n <= 2")
+def _(s, sf):
+    return gates.keep_last(_events(s, sf), ["user_id"], ["t", "event_id"], 2).select("user_id", "event_id")
+
+
+_ARRIVALS = f"v AS (SELECT event_id, t FROM {_EV} WHERE event_type = 'view'), po AS (SELECT event_id AS pose, t - 5 AS t, t - 5 + CASE WHEN event_id % 4 = 0 THEN 9000 ELSE 10 END AS arrival FROM {_EV} WHERE event_type = 'click' UNION ALL SELECT -event_id, t, t + event_id % 40 FROM {_EV} WHERE event_type = 'view' AND event_id % 2 = 0)"
+
+
+@query("str11_late_poses", f"WITH {_ARRIVALS}, own AS (SELECT v.event_id, v.t, min(pose) AS own FROM v LEFT JOIN po ON po.t = v.t AND arrival <= v.t + 20 GROUP BY ALL), kn AS (SELECT greatest(arrival, t + 20) AS at, max((t, pose)) AS p FROM po GROUP BY 1) SELECT event_id, coalesce(own, p[2]) AS pose, own IS NULL AS stale FROM own ASOF LEFT JOIN kn ON own.t + 20 >= kn.at WHERE coalesce(own, p[2]) IS NOT NULL")
 def _(s, sf):
-    """A state machine over the poses of each user; brute force in the tests."""
-    p = _events(s, sf).select("user_id", (F.col("t") / 86400).alias("t"), (F.col("value") / 100).alias("tx"), lit(0.0).alias("ty"), lit(0.0).alias("tz"))
-    return gates.pose_gate(p, ["user_id"])
+    """Frames wait 20 seconds for their pose; those of late ones take the last pose that is known."""
+    e = _events(s, sf)
+    other = e.where("event_type = 'click'").select(F.col("event_id").alias("pose"), (F.col("t") - 5).alias("t"), (F.col("t") - 5 + F.when(F.col("event_id") % 4 == 0, 9000).otherwise(10)).alias("arrival"))
+    own = e.where("event_type = 'view' AND event_id % 2 = 0").select((-F.col("event_id")).alias("pose"), "t", (F.col("t") + F.col("event_id") % 40).alias("arrival"))
+    return gates.placed(e.where("event_type = 'view'").select("event_id", "t"), other.unionByName(own), 20.0, False, 3600.0).select("event_id", "pose", "stale")
+
+
+@query("src5_camera_info", f"SELECT a.event_id, b.fx FROM (SELECT * FROM {_EV} WHERE event_type = 'view') a ASOF LEFT JOIN (SELECT t, 400 + value AS fx FROM {_EV} WHERE event_type = 'signup') b ON a.t >= b.t", "fx")
+def _(s, sf):
+    """The camera's parameters, as they were last told before each image."""
+    e = _events(s, sf)
+    return ingest.as_of(e.where("event_type = 'view'").select("t", "event_id"), e.where("event_type = 'signup'").select("t", (400 + F.col("value")).alias("fx")), "t", [], ["fx"], bucket=3600.0).select("event_id", "fx")
+
+
+@query("src11_delta_topics", "SELECT CASE user_id % 3 WHEN 0 THEN '/a' ELSE '/b' END AS source, count(*) AS n FROM events WHERE user_id % 3 < 2 GROUP BY 1")
+def _(s, sf):
+    e = s.read.parquet(f"{sf}/events.parquet")
+    topics = {t: e.where(F.col("user_id") % 3 == k).select("event_id") for k, t in enumerate(("/a", "/b", "/c"))}
+    return points.deltas(topics, ["/a", "", "/b", "/a"]).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("str10_src8_reject_gate", f"SELECT a.event_id, coalesce(b.value/100.0::double >= 0.5::double, false) AS rejected FROM (SELECT * FROM {_EV} WHERE event_type = 'view') a ASOF LEFT JOIN (SELECT * FROM {_EV} WHERE event_type = 'error') b ON a.t >= b.t")
 def _(s, sf):
-    e = _events(s, sf).withColumn("u", lit(0))
-    status = e.where("event_type = 'error'").select("u", "t", (F.col("value") / 100).alias("gap"))
-    return ingest.as_of(e.where("event_type = 'view'").select("u", "t", "event_id"), status, "t", ["u"], ["gap"]).select("event_id", gates.rejects(F.col("gap"), lit(None).cast("int")).alias("rejected"))
+    e = _events(s, sf)
+    status = e.where("event_type = 'error'").select("t", (F.col("value") / 100).alias("gap"))
+    return ingest.as_of(e.where("event_type = 'view'").select("t", "event_id"), status, "t", [], ["gap"], bucket=3600.0).select("event_id", gates.rejects(F.col("gap"), lit(None).cast("int")).alias("rejected"))
 
 
 @query("str15_src12_prior_pin", "SELECT source, seq, 13 + cls % 2 = (SELECT 13 + arg_min(cls, seq) % 2 FROM obs) AS accepted FROM obs", "", "obs")
@@ -701,28 +837,46 @@ def _(s, sf):
 
 @query("q1_integrate", "SELECT * FROM occ", "a_occ a_free", "occ")
 def _(s, sf):
-    return ry.occupancy(rays(s, sf), MAP)
+    return ig.integrate(rays(s, sf), MAP)[0]
 
 
-def frame_classes(s, sf) -> DataFrame:
-    """Classes of the cells that rays end in, labels in ray order."""
-    h = ry.hit_cells(rays(s, sf).where("NOT is_dynamic"), MAP).select(*KEY, "frame_id", "seq", "cls", F.col("quality").alias("inc"))
-    return _slot_events(h, ["frame_id", "seq"]).select(*KEY, *[F.col(f"d.{c}").alias(c) for c in _SLOTS])
+_DOM = f"CAST(CASE WHEN cls0 IS NULL THEN 65535 WHEN other - {PRIOR!r}::double > greatest(0.0::double, CASE WHEN cls0 <> 65535 THEN cnt0 - 0.01::double ELSE -1 END, CASE WHEN cls1 <> 65535 THEN cnt1 - 0.01::double ELSE -1 END) THEN 65535 WHEN cls0 <> 65535 AND cnt0 > 0.01::double AND NOT (cls1 <> 65535 AND cnt1 > cnt0) THEN cls0 WHEN cls1 <> 65535 AND cnt1 > 0.01::double THEN cls1 ELSE 65535 END AS INT)"
 
 
-_CLS = f", cl AS (SELECT ix, iy, iz, {_OUT} FROM (SELECT ix, iy, iz, list_reduce(list({_ELEM('cls', 'quality')} ORDER BY frame_id, seq), lambda a, x: {_slot_step('x.i')}, {_EMPTY}) AS s FROM hits WHERE NOT is_dynamic GROUP BY ALL))"
-_DOM = f"CAST(CASE WHEN cls0 IS NULL THEN 65535 WHEN other - {PRIOR!r}::double > greatest(0.0::double, CASE WHEN cls0 <> 65535 THEN cnt0 - 0.01::double ELSE -1 END, CASE WHEN cls1 <> 65535 THEN cnt1 - 0.01::double ELSE -1 END) THEN 65535 WHEN cls0 <> 65535 AND cnt0 > 0.01::double AND NOT (cls1 <> 65535 AND cnt1 > cnt0) THEN cls0 WHEN cls1 <> 65535 AND cnt1 > 0.01::double THEN cls1 ELSE 65535 END AS INT)"
+_CLOUD = f"{P} AS p_occ, {_DOM} AS class_id, a_occ*a_free/((a_occ+a_free)*(a_occ+a_free)*(a_occ+a_free+1)) AS variance, {_EIG} AS eig"
 
 
-@query("q3_occupied_cloud", f"{_CLS} SELECT ix, iy, iz, {P} AS p_occ, {_DOM} AS class_id, a_occ*a_free/((a_occ+a_free)*(a_occ+a_free)*(a_occ+a_free+1)) AS variance, {_EIG} AS eig FROM occ LEFT JOIN cl USING (ix, iy, iz) WHERE NOT (a_occ <= 1.001::double AND a_free <= 1.001::double) AND {P} >= 0.55::double", "p_occ variance eig", "occ")
+@query("q3_occupied_cloud", f", cl AS ({_DIR(0.5123)}) SELECT ix, iy, iz, {_CLOUD} FROM occ LEFT JOIN cl USING (ix, iy, iz) WHERE NOT (a_occ <= 1.001::double AND a_free <= 1.001::double) AND {P} >= 0.55::double", "p_occ variance eig", "occ run parts")
 def _(s, sf):
-    c = maps.occupied_cloud(ry.occupancy(rays(s, sf), MAP), frame_classes(s, sf), MAP, 0.55)
+    c = maps.occupied_cloud(*ig.integrate(rays(s, sf), GATED), MAP, 0.55)
     return c.select(*KEY, "p_occ", "class_id", "variance", "eig")
 
 
-@query("q4_q12_fused_cloud", f", f AS (SELECT ix, iy, iz, CASE WHEN count(*) = 1 THEN max(a_occ) ELSE greatest(1.0::double, sum(a_occ) - count(*) + 1) END AS a_occ, CASE WHEN count(*) = 1 THEN max(a_free) ELSE greatest(1.0::double, sum(a_free) - count(*) + 1) END AS a_free FROM beta WHERE NOT (a_occ <= 1.0001::double AND a_free <= 1.0001::double) GROUP BY ix, iy, iz) SELECT ix, iy, iz, {P} AS p_occ FROM f WHERE {P} >= 0.7::double", "p_occ", "beta")
+@query("q1b_fused_integrate", f"""{with_views('rays')},
+{_BAND.format(back='greatest(depth, 1.0::double)')},
+v AS (SELECT *, at_end AND NOT is_dynamic AS lands, CASE WHEN coalesce(NOT at_end AND sdf > 0 AND sdf <= depth, false) THEN 0.5::double*quality END AS w, coalesce(NOT is_dynamic AND sdf <= 1.25::double AND sdf > -1, false) AS near FROM band JOIN (SELECT seq, quality FROM rays) USING (seq)),
+c AS (SELECT frame_id, ix, iy, iz, sum(CASE WHEN lands THEN quality ELSE 0 END) AS occ, CASE WHEN bool_or(lands) THEN 0 ELSE coalesce(max(w), 0) END AS free FROM v GROUP BY ALL HAVING bool_or(lands) OR max(w) > 0),
+b AS (SELECT ix, iy, iz, 1 + sum(occ) AS a_occ, 1 + sum(free) AS a_free FROM c GROUP BY ALL),
+t AS (SELECT ix, iy, iz, avg(least(sdf, 1.0::double)) AS tsdf_d, count(*)::double AS tsdf_w FROM v WHERE near GROUP BY ALL)
+SELECT ix, iy, iz, a_occ, a_free, tsdf_d, tsdf_w FROM b FULL JOIN t USING (ix, iy, iz)""", "a_occ a_free tsdf_d tsdf_w")
 def _(s, sf):
-    return consensus.refold_beta(beta(s, sf)).where(sc.p_occ() >= 0.7).select(*KEY, sc.p_occ().alias("p_occ"))
+    b, _, t = ig.integrate_fused(rays(s, sf), MAP)
+    return b.join(t, KEY, "full_outer")
+
+
+_FUSED = f"{_REFOLD}, f AS (SELECT ix, iy, iz, CASE WHEN count(*) = 1 THEN max(a_occ) ELSE greatest(1.0::double, sum(a_occ) - count(*) + 1) END AS a_occ, CASE WHEN count(*) = 1 THEN max(a_free) ELSE greatest(1.0::double, sum(a_free) - count(*) + 1) END AS a_free FROM beta WHERE NOT (a_occ <= 1.0001::double AND a_free <= 1.0001::double) GROUP BY ix, iy, iz)"
+
+
+@query(
+    "q4_q12_fused_cloud",
+    f"""{_FUSED}, c AS (SELECT f.*, coalesce(other, {PRIOR!r}::double) AS other, coalesce(cls0, 65535) AS cls0, coalesce(cnt0, 0.01::double) AS cnt0, coalesce(cls1, 65535) AS cls1, coalesce(cnt1, 0.01::double) AS cnt1 FROM f LEFT JOIN fd USING (ix, iy, iz))
+SELECT ix, iy, iz, ix*0.5::double AS x, iy*0.5::double AS y, iz*0.5::double AS z, a_occ, a_free, {P} AS p_occ, {_DOM} AS class_id, a_occ*a_free/((a_occ+a_free)*(a_occ+a_free)*(a_occ+a_free+1)) AS variance, {_EIG} AS eig FROM c WHERE {P} >= 0.7::double""",
+    "x y z a_occ a_free p_occ variance eig", "beta obs",
+)
+def _(s, sf):
+    """The cloud of all sources' consensus, its classes folded source by source."""
+    c = maps.occupied_cloud(consensus.refold_beta(beta(s, sf)), consensus.refold_dir(source_classes(s, sf), PRIOR), MAP, 0.7)
+    return c.select(*KEY, "x", "y", "z", "a_occ", "a_free", "p_occ", "class_id", "variance", "eig")
 
 
 @query("q5_get_region", f"{_SRC} SELECT ix*0.5::double AS x, iy*0.5::double AS y, iz*0.5::double AS z, a_occ, a_free, greatest(0.0::double, coalesce(other, {PRIOR!r}::double) - {PRIOR!r}::double) + CASE WHEN cls0 <> 65535 AND cls1 <> 65535 THEN least(cnt0, cnt1) - 0.01::double ELSE 0 END AS a_unk FROM (SELECT * FROM beta WHERE source = 0) b LEFT JOIN (SELECT * FROM src WHERE source = 0) s USING (ix, iy, iz) WHERE NOT (a_occ <= 1.0001::double AND a_free <= 1.0001::double) AND ix BETWEEN 0 AND 7 AND iy BETWEEN 0 AND 20 AND iz BETWEEN 1 AND 3", "x y z a_occ a_free a_unk", "beta obs")
@@ -742,18 +896,55 @@ def _(s, sf):
     return beta_map(s, sf).select(*[sc.centre(f"i{a}", 0.5).alias(a) for a in "xyz"], "a_occ")
 
 
-@query("q14_image_frame", "SELECT event_id//640 AS row, count(*) AS n, sum((event_id%640-320.0::double)*value/500.0::double) AS sx FROM events WHERE value >= 20 AND value <= 150 GROUP BY 1", "sx")
+_IMAGE = """px AS (SELECT event_id, event_id%640 AS u, event_id//640%480 AS v, value, value > 150 AS gone FROM events WHERE event_id%640%2 = 0 AND event_id//640%480%2 = 0 AND (value > 150 OR value >= 20)),
+pt AS (SELECT event_id AS seq, 0 AS frame_id, CASE WHEN gone THEN 'miss' ELSE 'hit' END AS kind, z AS ex, 0 - (u-320.0::double)*z/500.0::double AS ey, 0 - (v-240.0::double)*z/500.0::double AS ez FROM (SELECT *, CASE WHEN gone THEN 150.0::double ELSE value::double END AS z FROM px)),
+k AS (SELECT *, CAST(floor(ex/0.5::double) AS INT) AS bx, CAST(floor(ey/0.5::double) AS INT) AS by_, CAST(floor(ez/0.5::double) AS INT) AS bz FROM pt),
+m AS (SELECT *, greatest(abs(bx), abs(by_), abs(bz)) AS m FROM k), st AS (SELECT *, unnest(range(0, CASE WHEN kind = 'miss' THEN m+1 ELSE m END)) AS step FROM m),
+wk AS (SELECT DISTINCT CAST((CASE WHEN bx<0 THEN -1 ELSE 1 END)*((2*step*abs(bx)+m)//(2*m)) AS INT) AS ix, CAST((CASE WHEN by_<0 THEN -1 ELSE 1 END)*((2*step*abs(by_)+m)//(2*m)) AS INT) AS iy, CAST((CASE WHEN bz<0 THEN -1 ELSE 1 END)*((2*step*abs(bz)+m)//(2*m)) AS INT) AS iz FROM st WHERE m > 0),
+h AS (SELECT bx AS ix, by_ AS iy, bz AS iz, count(*) AS n FROM k WHERE kind = 'hit' GROUP BY ALL)
+SELECT ix, iy, iz, 1 + coalesce(n, 0)::double AS a_occ, CASE WHEN n IS NULL THEN 1.5::double ELSE 1.0::double END AS a_free FROM wk FULL JOIN h USING (ix, iy, iz)"""
+
+
+_MEDOID_RAYS = """c0 AS (SELECT *, floor(x/2.0::double) AS cx, floor(y/2.0::double) AS cy, floor(z/2.0::double) AS cz, vec_id*21+pt AS seq FROM cloud), m0 AS (SELECT frame_id, cx, cy, cz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM c0 GROUP BY ALL),
+rays AS (SELECT frame_id, seq, 0.0::double AS ox, 0.0::double AS oy, 0.0::double AS oz, x AS ex, y AS ey, z AS ez, 1 AS cls, 1.0::double AS quality, false AS is_dynamic, 'hit' AS kind
+  FROM (SELECT c0.*, row_number() OVER (PARTITION BY frame_id, cx, cy, cz ORDER BY round((x-mx)*(x-mx)+(y-my)*(y-my)+(z-mz)*(z-mz), 12), seq) AS r FROM c0 JOIN m0 USING (frame_id, cx, cy, cz)) WHERE r = 1)"""
+
+
+@query("q13_scan_integrate", f"WITH {SQL['cloud']},\n{_MEDOID_RAYS},\n" + ",\n".join(SQL[v] for v in ("k", "walk", "hits", "carve", "occ")) + "\nSELECT * FROM occ", "a_occ a_free")
 def _(s, sf):
-    e = s.read.parquet(f"{sf}/events.parquet").select("event_id", (F.col("event_id") % 640).alias("u"), F.expr("event_id div 640 % 480").alias("v"), F.col("value").alias("z"))
-    r = ingest.image_rays(e, (500.0, 500.0, 320.0, 240.0), 1, 20.0, 150.0).where("kind = 'hit'")
-    return r.groupBy(F.expr("event_id div 640").alias("row")).agg(F.count("*").alias("n"), F.sum(-F.col("y")).alias("sx"))
+    """Scans of a sensor at rest: turned by the gyro (here by nothing), thinned, integrated."""
+    c = cloud(s, sf).select(F.col("frame_id").alias("scan"), (F.col("vec_id") * 21 + F.col("pt")).alias("seq"), (F.col("pt") / 21).alias("dt"), "x", "y", "z")
+    scans = c.select("scan", F.col("scan").cast("double").alias("t0")).distinct()
+    imu = scans.select(F.explode(F.array(F.col("t0"), F.col("t0") + 0.5)).alias("t"), *[lit(0.0).alias(f"w{a}") for a in "xyz"])
+    return ig.integrate(ingest.scan_rays(c, scans, imu, 1.0, 2.0), MAP)[0]
 
 
-@query("fn8_grazing", None)
+@query("q14_image_frame", f"WITH {_IMAGE}", "a_occ a_free")
 def _(s, sf):
-    e = s.read.parquet(f"{sf}/events.parquet").select((F.col("event_id") % 100).alias("u"), F.expr("event_id div 100").alias("v"), F.col("value").alias("z"))
+    """One image: every second pixel a ray of the camera, those without a return carve; integrated into a map."""
+    e = s.read.parquet(f"{sf}/events.parquet").select("event_id", (F.col("event_id") % 640).alias("u"), F.expr("event_id div 640 % 480").alias("v"), F.col("value").cast("double").alias("z"))
+    r = ingest.image_rays(e, (500.0, 500.0, 320.0, 240.0), 2, 20.0, 150.0)
+    r = r.select(F.col("event_id").alias("seq"), lit(0).alias("frame_id"), "kind", *[lit(0.0).alias(f"o{a}") for a in "xyz"], F.col("x").alias("ex"), F.col("y").alias("ey"), F.col("zz").alias("ez"), lit(1.0).alias("quality"), lit(False).alias("is_dynamic"), F.array().cast("array<double>").alias("probs"))
+    return ig.integrate(r, MAP)[0]
+
+
+_NORM = lambda x, y, z: f"sqrt({x}*{x}+{y}*{y}+{z}*{z})"
+
+
+@query(
+    "fn8_grazing",
+    f"""WITH p AS (SELECT event_id % 100 AS u, event_id // 100 AS v, event_id % 100*value/500.0::double AS px, (event_id // 100)*value/500.0::double AS py, value::double AS pz FROM events WHERE event_id % 7 <> 0),
+q AS (SELECT p.u, p.v, p.px, p.py, p.pz, r.px-l.px AS hx, r.py-l.py AS hy, r.pz-l.pz AS hz, d.px-t.px AS gx, d.py-t.py AS gy, d.pz-t.pz AS gz FROM p LEFT JOIN p l ON l.u = p.u-2 AND l.v = p.v AND l.pz > 0 LEFT JOIN p r ON r.u = p.u+2 AND r.v = p.v AND r.pz > 0 LEFT JOIN p t ON t.u = p.u AND t.v = p.v-2 AND t.pz > 0 LEFT JOIN p d ON d.u = p.u AND d.v = p.v+2 AND d.pz > 0),
+n AS (SELECT *, hy*gz-hz*gy AS nx, hz*gx-hx*gz AS ny, hx*gy-hy*gx AS nz FROM q),
+c AS (SELECT *, CASE WHEN {_NORM('nx', 'ny', 'nz')} > 1e-6 THEN abs(nx*px+ny*py+nz*pz)/({_NORM('nx', 'ny', 'nz')}*{_NORM('px', 'py', 'pz')}) END AS ca FROM n)
+SELECT u, v, coalesce(CASE WHEN ca < 0.3::double THEN ca/0.3::double END, 1.0::double) AS weight, ca AS cos_angle FROM c""",
+    "weight cos_angle",
+)
+def _(s, sf):
+    """Some pixels are missing; their neighbours have no normal and so weight 1."""
+    e = s.read.parquet(f"{sf}/events.parquet").where("event_id % 7 <> 0").select((F.col("event_id") % 100).alias("u"), F.expr("event_id div 100").alias("v"), F.col("value").cast("double").alias("z"))
     p = e.select(lit(0).alias("frame_id"), "u", "v", (F.col("u") * F.col("z") / 500).alias("px"), (F.col("v") * F.col("z") / 500).alias("py"), F.col("z").alias("pz"))
-    return ingest.grazing(p).select("u", "v", "cos_angle")
+    return ingest.grazing(p, 2, 0.3).select("u", "v", "weight", "cos_angle")
 
 
 _COR = ", ".join(f"({k},{c[0]},{c[1]},{c[2]})" for k, c in enumerate(geometry.CORNERS))
@@ -800,9 +991,9 @@ _DK = "STRUCT(x DOUBLE, f INT, fr INT, i DOUBLE)"
 _FADE = lambda f: f"CASE WHEN a.x * pow(0.5::double, {f} - a.f) < 0.001::double THEN 0 ELSE a.x * pow(0.5::double, {f} - a.f) END"
 
 
-@query("win2_str3_transient_fold", f", e AS (SELECT ix, iy, iz, frame_id, sum(quality) AS inc FROM obs GROUP BY ALL), s AS (SELECT ix, iy, iz, list_reduce(list(CAST({{x: 0.0::double, f: 0, fr: frame_id, i: inc}} AS {_DK}) ORDER BY frame_id), lambda a, x: CAST({{x: {_FADE('x.fr')} + x.i, f: x.fr, fr: 0, i: 0.0::double}} AS {_DK}), CAST({{x: 0.0::double, f: 0, fr: 0, i: 0.0::double}} AS {_DK})) AS a FROM e GROUP BY ALL) SELECT ix, iy, iz, 1 + a.x * pow(0.5::double, 31 - a.f) AS a_occ FROM s WHERE a.x * pow(0.5::double, 31 - a.f) >= 0.001::double", "a_occ", "obs")
+@query("win2_str3_transient_fold", f", e AS (SELECT ix, iy, iz, frame_id, sum(quality::DECIMAL(28,12))::double AS inc FROM obs GROUP BY ALL), s AS (SELECT ix, iy, iz, list_reduce(list(CAST({{x: 0.0::double, f: 0, fr: frame_id, i: inc}} AS {_DK}) ORDER BY frame_id), lambda a, x: CAST({{x: {_FADE('x.fr')} + x.i, f: x.fr, fr: 0, i: 0.0::double}} AS {_DK}), CAST({{x: 0.0::double, f: 0, fr: 0, i: 0.0::double}} AS {_DK})) AS a FROM e GROUP BY ALL) SELECT ix, iy, iz, 1 + a.x * pow(0.5::double, 31 - a.f) AS a_occ FROM s WHERE a.x * pow(0.5::double, 31 - a.f) >= 0.001::double", "a_occ", "obs")
 def _(s, sf):
-    e = obs(s, sf).groupBy(*KEY, "frame_id").agg(F.sum("quality").alias("inc"))
+    e = obs(s, sf).groupBy(*KEY, "frame_id").agg(total("quality").alias("inc"))
     g = e.groupBy(*KEY).agg(folds.fold_decay(F.collect_list(F.struct("frame_id", "inc")), 0.5, lit(31)).alias("a_occ"))
     return g.where("a_occ IS NOT NULL")
 
@@ -841,10 +1032,21 @@ def _(s, sf):
     return d.select(*KEY, F.col("d.other").alias("a_unk"), F.col("d.cls0").alias("cls0"), F.col("d.cnt0").alias("cnt0"))
 
 
-@query("q2_sensor_profiles", "SELECT ix, iy, iz, sum(CASE WHEN source = 1 THEN 0 ELSE quality END) AS occ, sum(CASE WHEN source = 1 THEN 0.55::double ELSE 0.5::double END) AS gates FROM obs GROUP BY ALL", "occ gates", "obs")
+_FUSION = """prof AS (SELECT *, CASE WHEN seq % 2 = 1 THEN 0.0::double ELSE quality END AS occ1, CASE WHEN seq % 2 = 1 THEN 0.0::double ELSE 0.5::double*quality END AS w1 FROM rays),
+pw AS (SELECT walk.frame_id, walk.ix, walk.iy, walk.iz, max(w1) AS w FROM walk JOIN prof USING (seq) WHERE w1 > 0 GROUP BY ALL),
+ph AS (SELECT hits.*, occ1 FROM hits JOIN (SELECT seq, occ1 FROM prof) USING (seq) WHERE NOT is_dynamic),
+pe AS (SELECT frame_id, 1 AS phase, seq, ix, iy, iz, quality AS q, occ1 AS occ, 0.0::double AS free FROM ph UNION ALL SELECT frame_id, 2, 0, ix, iy, iz, 0.0::double, 0.0::double, w FROM pw ANTI JOIN ph USING (frame_id, ix, iy, iz)),
+po AS (SELECT *, 1 + (sum(occ::DECIMAL(28,12)) OVER w)::double AS o, 1 + (sum(free::DECIMAL(28,12)) OVER w)::double AS f FROM pe WINDOW w AS (PARTITION BY ix, iy, iz ORDER BY frame_id, phase, seq)),
+prun AS (SELECT *, o/(o + f) AS p FROM po WHERE phase = 1 AND o/(o + f) >= CASE WHEN seq % 2 = 1 THEN 0.5623::double ELSE 0.5123::double END),
+pb AS (SELECT ix, iy, iz, 1 + sum(occ) AS a_occ, 1 + sum(free) AS a_free FROM pe GROUP BY ALL)"""
+
+
+@query("q2_sensor_profiles", f", {_FUSION}, pc AS ({_DIR(0.0, 'prun')}) SELECT ix, iy, iz, a_occ, a_free, other, cls0, cnt0, cls1, cnt1 FROM pb LEFT JOIN pc USING (ix, iy, iz)", "a_occ a_free other cnt0 cnt1", "run parts")
 def _(s, sf):
-    o = obs(s, sf).withColumn("sensor", F.when(F.col("source") == 1, CAMERA.name).when(F.col("source") == 0, LIDAR.name).otherwise("other"))
-    return ry.with_profiles(o, [LIDAR, CAMERA], MAP.sanitised()).withColumn("w_occ", F.when(F.col("sensor") == CAMERA.name, F.col("w_occ")).otherwise(1.0)).groupBy(*KEY).agg(F.sum(F.col("w_occ") * F.col("quality")).alias("occ"), F.sum("min_p_occ").alias("gates"))
+    """A scanner shapes the map; a camera's rays only label what the scanner holds for occupied."""
+    r = rays(s, sf).withColumn("sensor", F.when(F.col("seq") % 2 == 1, CAMERA.name).otherwise(LIDAR.name))
+    beta_, classes_ = ig.integrate(ry.with_profiles(r, [LIDAR, replace(CAMERA, min_p_occ=0.5623)], GATED), GATED)
+    return beta_.join(classes_, KEY, "left")
 
 
 @query("ext5_map_gain", f"SELECT source, count(*) AS cells, avg({_EIG}) AS mean_eig, sum({_EIG}) AS total_eig FROM beta GROUP BY source", "mean_eig total_eig", "beta")
@@ -893,12 +1095,17 @@ def _(s, sf):
     return points.valid_clouds(e).select("vec_id")
 
 
-@query("src4_frame_pairs", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON (a.event_id & 65535) = (b.event_id*2 & 65535) WHERE a.event_type = 'view' AND b.event_type = 'click'")
+@query(
+    "src4_frame_pairs",
+    """WITH m AS (SELECT event_id, event_type AS kind, event_id & 1023 AS f FROM events WHERE event_type IN ('view', 'click')),
+b AS (SELECT *, CASE WHEN kind = lag(kind) OVER (PARTITION BY f ORDER BY event_id) THEN 1 ELSE 0 END AS same FROM m), r AS (SELECT *, sum(same) OVER (PARTITION BY f ORDER BY event_id) AS run FROM b),
+n AS (SELECT *, row_number() OVER w AS k, lead(event_id) OVER w AS next FROM r WINDOW w AS (PARTITION BY f, run ORDER BY event_id))
+SELECT CASE WHEN kind = 'view' THEN event_id ELSE next END AS a, CASE WHEN kind = 'view' THEN next ELSE event_id END AS b FROM n WHERE k % 2 = 1 AND next IS NOT NULL""",
+)
 def _(s, sf):
-    e = s.read.parquet(f"{sf}/events.parquet")
-    d = e.where("event_type = 'view'").select("event_id", F.col("event_id").alias("nanos"))
-    g = e.where("event_type = 'click'").select("event_id", (F.col("event_id") * 2).alias("nanos"))
-    return ingest.pair_by_frame(d, g, "nanos").select(F.col("depth_event_id").alias("a"), F.col("seg_event_id").alias("b"))
+    e = s.read.parquet(f"{sf}/events.parquet").withColumn("nanos", F.col("event_id").bitwiseAND(lit(1023)))
+    d, g = (e.where(F.col("event_type") == t).select("event_id", "nanos", F.col("event_id").alias("t")) for t in ("view", "click"))
+    return ingest.pair_by_frame(d, g, "nanos", "t").select(F.col("depth_event_id").alias("a"), F.col("seg_event_id").alias("b"))
 
 
 @query("src17_ray_fan", None)

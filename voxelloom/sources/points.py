@@ -52,3 +52,20 @@ def ray_fan(spark: SparkSession, n: int, length: float = 5.0, miss: float = 0.05
     end = {"ex": F.cos(el) * F.cos(az), "ey": F.cos(el) * F.sin(az), "ez": F.sin(el)}
     kind = F.when(F.col("c") < miss, "miss").otherwise("hit")
     return r.select("seq", (F.col("seq") / 1000).cast("int").alias("frame_id"), *[lit(0.0).alias(f"o{a}") for a in "xyz"], *[(v * length).alias(k) for k, v in end.items()], lit(1.0).alias("quality"), lit(False).alias("is_dynamic"), kind.alias("kind"), (F.col("seq") % 10).cast("int").alias("cls"))
+
+
+def delta_topics(topics: list[str], first: str = "/robot1/map_delta", second: str = "/robot2/map_delta") -> list[str]:
+    """The topics that deltas come from, each once, in order, without empty names; if none is given, the pair."""
+    out = list(dict.fromkeys(t for t in (topics or [first, second]) if t))
+    if not out:
+        raise ValueError("no topics of deltas")
+    return out
+
+
+def deltas(sources: dict[str, DataFrame], topics: list[str]) -> DataFrame:
+    """The rows of all topics, with their topic as `source`."""
+    out = None
+    for t in delta_topics(topics):
+        one = sources[t].withColumn("source", F.lit(t))
+        out = one if out is None else out.unionByName(one)
+    return out

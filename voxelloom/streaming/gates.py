@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import lit
+from ..operators.ingest import as_of
 
 P_STEP, GROWTH = 0.02, 0.10
 
@@ -70,3 +71,56 @@ def pose_gate(poses: DataFrame, by: list[str], startup: float = 0.5, runtime: fl
 def rejects(gap: Column, rejected: Column, max_gap: float = 0.5, max_rejected: int = 3) -> Column:
     """Does the localiser's last status forbid frames? Unknown values allow."""
     return F.coalesce((~F.isnan(gap)) & (gap >= max_gap), lit(False)) | F.coalesce(rejected >= max_rejected, lit(False))
+
+
+def admitted(poses: DataFrame, by: list[str], status: DataFrame, bucket: float, **gate) -> DataFrame:
+    """(by, t, stable, rejected, admitted): frames that the pose gate lets pass and that the
+    localiser's last status before them (t, gap, rejected) doesn't forbid."""
+    frames = pose_gate(poses, by, **gate).select(*by, "t", "stable")
+    known = as_of(frames, status.select("t", "gap", F.col("rejected").alias("n_rejected")), "t", [], ["gap", "n_rejected"], bucket=bucket)
+    out = known.withColumn("rejected", rejects(F.col("gap"), F.col("n_rejected")))
+    return out.select(*by, "t", "stable", "rejected", (F.col("stable") & ~F.col("rejected")).alias("admitted"))
+
+
+def rate_limited(ticks: DataFrame, by: list[str], interval: float) -> DataFrame:
+    """(by, t): of each group's ticks those that are sent: the first, and each one at least
+    `interval` after the last sent. Frames that come while one is worked on for that
+    long are dropped in the same way. What is gathered for a group is the sent ones."""
+    init = F.struct(lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("sent"))
+
+    def step(s, t):
+        send = s["last"].isNull() | (t - s["last"] >= interval)
+        return F.struct(F.when(send, t).otherwise(s["last"]).alias("last"), F.when(send, F.concat(s["sent"], F.array(t))).otherwise(s["sent"]).alias("sent"))
+
+    g = ticks.groupBy(*by).agg(F.array_sort(F.collect_list(F.col("t").cast("double"))).alias("all"))
+    return g.select(*by, F.explode(F.aggregate("all", init, step)["sent"]).alias("t"))
+
+
+def coalesced(states: DataFrame, by: list[str], order: str, every: int) -> DataFrame:
+    """(tick, by, ..): what a timer sends that fires each `every` frames: the last state of
+    each cell that was touched since. Nothing is lost, as states are absolute."""
+    rest = [c for c in states.columns if c not in by]
+    tick = F.floor(F.col(order) / every).alias("tick")
+    return states.groupBy(tick, *by).agg(F.max_by(F.struct(*rest), order).alias("l")).select("tick", *by, "l.*")
+
+
+def keep_last(rows: DataFrame, by: list[str], order: list[str], depth: int) -> DataFrame:
+    """What a queue of a depth holds at the end: the last rows of each group."""
+    w = Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order])
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= depth).drop("_n")
+
+
+def placed(frames: DataFrame, poses: DataFrame, timeout: float, exact: bool, bucket: float) -> DataFrame:
+    """Frames (t) with the pose of their time, if it arrives (column arrival) at most
+    `timeout` after; else, unless exact, with the last pose before them that had
+    arrived by then (stale); else they are dropped."""
+    own = frames.join(poses.where(F.col("arrival") <= F.col("t") + timeout).select("t", F.col("pose").alias("own")), "t", "left")
+    if exact:
+        return own.where("own IS NOT NULL").select(*frames.columns, F.col("own").alias("pose"), lit(False).alias("stale"))
+    # A pose is known from its arrival on; the one of the latest time among those is the last.
+    known = poses.select(F.greatest("arrival", F.col("t") + timeout).alias("t"), F.struct(F.col("t").alias("at"), "pose").alias("p"))
+    known = known.groupBy("t").agg(F.max("p").alias("p"))
+    asked = own.withColumn("_t", F.col("t")).withColumn("t", F.col("t") + timeout)
+    out = as_of(asked, known, "t", [], ["p"], bucket=bucket).withColumn("t", F.col("_t"))
+    pose = F.coalesce("own", "p.pose")
+    return out.select(*frames.columns, pose.alias("pose"), F.col("own").isNull().alias("stale")).where("pose IS NOT NULL")

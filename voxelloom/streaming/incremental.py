@@ -17,7 +17,11 @@ from .gates import beta_changed
 
 
 class Table:
-    """A state table of versions. A reader takes the newest version below its batch."""
+    """A state table of versions. A reader takes the newest version below its batch.
+    Writing a version deletes those that no batch can ask for again: all but the
+    newest `kept` of them."""
+
+    kept = 3
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path, schema
@@ -36,6 +40,9 @@ class Table:
 
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
+        for v in [x for x in self._versions() if x < batch][: -self.kept]:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v}")
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 class OccupancyStream:
@@ -70,7 +77,7 @@ class FusedView:
         old = self.sources.read(below=number)
         self.sources.write(old.join(new, ["source", *KEY], "left_anti").unionByName(new), number)
         cells = new.select(*KEY).distinct()
-        again = refold_beta(self.sources.read(), cells)
+        again = refold_beta(self.sources.read(below=number + 1), cells)
         kept = self.fused.read(below=number).join(cells, KEY, "left_anti")
         self.fused.write(kept.unionByName(again), number)
 
@@ -115,3 +122,48 @@ class TransientStream:
         new = hits.groupBy(*KEY).agg(F.sum(F.lit(self.params.w_occ) * F.col("quality")).alias("occ"))
         m = old.join(new, KEY, "full_outer")
         self.beta.write(m.select(*KEY, (F.coalesce("a_occ", F.lit(1.0)) + F.coalesce("occ", F.lit(0.0))).alias("a_occ"), F.coalesce("a_free", F.lit(1.0)).alias("a_free")), number)
+
+
+class Latched:
+    """The last snapshot that was published, for whoever comes later. A snapshot is taken
+    only if the map has changed since the last one and someone listens; until then it
+    stays due."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.table, self.dirty = Table(spark, path, schema), False
+        self.table.kept = 1
+
+    def changed(self) -> None:
+        self.dirty = True
+
+    def publish(self, snapshot: DataFrame, number: int, listeners: int = 1) -> bool:
+        if not listeners or not self.dirty:
+            return False
+        self.table.write(snapshot, number)
+        self.dirty = False
+        return True
+
+    def read(self) -> DataFrame:
+        return self.table.read()
+
+
+def bounded(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
+    """A stream of the folder's files that takes so many at most for each batch: what comes
+    faster waits in the folder, and not in memory."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def coalesced_sink(stream: DataFrame, sink, rate_hz: float, checkpoint: str):
+    """Starts sink(batch, number) at most `rate_hz` times a second with what has come since
+    (at once for all that is there if the rate is 0)."""
+    w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=f"{round(1000 / rate_hz)} milliseconds") if rate_hz > 0 else w.trigger(availableNow=True)).start()
+
+
+def joined_in_time(scans: DataFrame, poses: DataFrame, wait: str) -> DataFrame:
+    """A stream of scans (ts, ..) with the pose of their time (streams with timestamps
+    ts): a scan waits for its pose; one that has not come within the delay `wait`
+    leaves it null, and rows that are later than that are dropped."""
+    s = scans.withWatermark("ts", wait)
+    p = poses.withColumnRenamed("ts", "pose_ts").withWatermark("pose_ts", wait)
+    return s.join(p, (F.col("ts") == F.col("pose_ts")), "left_outer")

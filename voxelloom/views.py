@@ -33,11 +33,14 @@ def cloud(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rays(spark: SparkSession, sf: str) -> DataFrame:
-    """Rays from the origin to the cloud; the last point of a vector is a miss, class 9 moves."""
-    c = cloud(spark, sf)
+    """Rays from the origin to the cloud; the last point of a vector is a miss, class 9 moves.
+    probs has the class and a second one; class 7 has no label."""
+    c, k = cloud(spark, sf), F.col("cls")
+    second = F.when(F.col("pt") % 3 == 0, 0.2).otherwise(0.3)
+    probs = F.transform(F.sequence(lit(0), lit(9)), lambda i: F.when(i == k, lit(0.5) + F.col("pt") / 50).when(i == (k + 3) % 10, second).otherwise(0.0))
     return c.select(
         (F.col("vec_id") * 21 + F.col("pt")).alias("seq"), "frame_id", *[lit(0.0).alias(f"o{a}") for a in "xyz"], *[F.col(a).alias(f"e{a}") for a in "xyz"], "cls",
-        (lit(0.5) + F.col("cls") / 20).alias("quality"), (F.col("cls") == 9).alias("is_dynamic"), F.when(F.col("pt") == 20, "miss").otherwise("hit").alias("kind"),
+        (lit(0.5) + F.col("cls") / 20).alias("quality"), (F.col("cls") == 9).alias("is_dynamic"), F.when(F.col("pt") == 20, "miss").otherwise("hit").alias("kind"), F.when(k != 7, probs).alias("probs"),
     )
 
 
@@ -86,9 +89,15 @@ walk AS (SELECT seq, frame_id, kind, is_dynamic, quality, cls, step,
     "hits": """hits AS (SELECT seq, frame_id, cls, quality, is_dynamic, bx AS ix, by_ AS iy, bz AS iz FROM k WHERE kind = 'hit')""",
     "carve": """top AS (SELECT frame_id, ix, iy, iz, max(0.5::double*quality) AS w FROM walk GROUP BY ALL),
 carve AS (SELECT ix, iy, iz, sum(w) AS inc FROM top ANTI JOIN (SELECT * FROM hits WHERE NOT is_dynamic) USING (frame_id, ix, iy, iz) GROUP BY ALL)""",
+    "parts": """parts AS (SELECT seq, i, cls, share FROM (SELECT seq, CASE WHEN cls = 7 THEN [{'c': 65535, 's': 1.0::double}] ELSE list_sort([{'c': cls, 's': p1/greatest(1.0::double, p1 + p2)}, {'c': (cls + 3) % 10, 's': p2/greatest(1.0::double, p1 + p2)}]) || [{'c': 65535, 's': greatest(0.0::double, 1 - (p1 + p2))}] END AS l,
+  unnest(range(0, len(l))) AS i, l[i+1].c AS cls, l[i+1].s AS share FROM (SELECT seq, cls, 0.5::double + (seq % 21)/50.0::double AS p1, CASE WHEN seq % 21 % 3 = 0 THEN 0.2::double ELSE 0.3::double END AS p2 FROM rays)))""",
+    "run": """ev AS (SELECT frame_id, 1 AS phase, seq, ix, iy, iz, quality AS q, quality AS occ, 0.0::double AS free FROM hits WHERE NOT is_dynamic
+  UNION ALL SELECT frame_id, 2, 0, ix, iy, iz, 0.0::double, 0.0::double, w FROM top ANTI JOIN (SELECT * FROM hits WHERE NOT is_dynamic) USING (frame_id, ix, iy, iz)),
+ro AS (SELECT *, 1 + (sum(occ::DECIMAL(28,12)) OVER w)::double AS o, 1 + (sum(free::DECIMAL(28,12)) OVER w)::double AS f FROM ev WINDOW w AS (PARTITION BY ix, iy, iz ORDER BY frame_id, phase, seq)),
+run AS (SELECT *, o/(o + f) AS p FROM ro WHERE phase = 1)""",
     "occ": """occ AS (SELECT ix, iy, iz, 1 + sum(o) AS a_occ, 1 + sum(f) AS a_free FROM (SELECT ix, iy, iz, quality AS o, 0.0::double AS f FROM hits WHERE NOT is_dynamic UNION ALL SELECT ix, iy, iz, 0.0::double, inc FROM carve) GROUP BY ALL)""",
 }
-_NEEDS = {"rays": ["cloud"], "k": ["rays"], "walk": ["k"], "hits": ["k"], "carve": ["walk", "hits"], "occ": ["carve"]}
+_NEEDS = {"rays": ["cloud"], "k": ["rays"], "walk": ["k"], "hits": ["k"], "carve": ["walk", "hits"], "occ": ["carve"], "parts": ["rays"], "run": ["carve"]}
 
 
 def with_views(*names: str) -> str:
