@@ -5,7 +5,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from voxelloom.streaming import gates
-from voxelloom.streaming.incremental import Latched, Table, bounded, coalesced_sink, joined_in_time
+from voxelloom.operators import consensus
+from voxelloom.params import MapParams
+from voxelloom.sources import wire
+from voxelloom.streaming.incremental import DeltaPublisher, Latched, Table, bounded, coalesced_sink, joined_in_time, published
 
 
 def test_latched(spark, tmp_path):
@@ -66,3 +69,24 @@ def test_placed(spark):
     assert got == {1: (100, False), 2: (100, True), 3: (100, True)}
     assert [r.f for r in gates.placed(frames, poses, 5.0, True, 7.0).collect()] == [1]
     assert frames.where(F.col("f") > 9).count() == 0
+
+
+def test_deltas_reach_the_wire(spark, tmp_path):
+    p = DeltaPublisher(spark, str(tmp_path), MapParams())
+    p(spark.createDataFrame([(1, 2, 3, 2.0, 1.0), (4, 5, 6, 1.0, 1.0)], "ix int, iy int, iz int, a_occ double, a_free double"), 0)
+    got = wire.decode_frames(published(p, "robot", 0)).collect()
+    assert [(r.source, r.msg_seq, r.error, [tuple(c) for c in r.beta], r.dir) for r in got] == [("robot", 0, None, [(1, 2, 3, 2.0, 1.0)], [])]
+    p(spark.createDataFrame([(1, 2, 3, 2.01, 1.0)], "ix int, iy int, iz int, a_occ double, a_free double"), 1)
+    assert published(p, "robot", 1).count() == 0
+
+
+def test_frames_are_checked_before_they_merge(spark):
+    b = spark.createDataFrame([(0, 0, 0, 2.0, 1.0)], "ix int, iy int, iz int, a_occ double, a_free double")
+    a = {"resolution": 0.1, "num_classes": 14, "alpha": 0.01, "beta": b}
+    assert consensus.merge_frames(a, a | {"resolution": 0.0}, 0.12)["beta"].first().a_occ == 3.0
+    for wrong in ({"num_classes": 13}, {"alpha": 0.02}, {"resolution": 0.2}, {"alpha": float("inf")}):
+        try:
+            consensus.merge_frames(a, a | wrong, 0.12)
+        except ValueError:
+            continue
+        raise AssertionError(wrong)

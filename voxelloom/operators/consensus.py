@@ -75,6 +75,19 @@ def check_frames(a: dict, b: dict) -> None:
         raise ValueError("resolutions differ")
 
 
+def merge_frames(a: dict, b: dict, prior_other: float) -> dict:
+    """Two frames in one: dictionaries of resolution, num_classes and alpha, and the tables
+    beta, dir and tsdf (any may be missing). They are checked first, and the
+    resolution is the one that is given. A table that one of them lacks is the other's."""
+    check_frames(a, b)
+    merge = {"beta": merge_beta, "dir": lambda x, y: merge_dir(x, y, prior_other, a["alpha"]), "tsdf": merge_tsdf}
+    out = {"resolution": a["resolution"] or b["resolution"], "num_classes": a["num_classes"], "alpha": a["alpha"]}
+    for name, f in merge.items():
+        x, y = a.get(name), b.get(name)
+        out[name] = f(x, y) if x is not None and y is not None else x if y is None else y
+    return out
+
+
 def reproject(deltas: DataFrame, res: float, t: list[float], q: list[float], order: list[str]) -> DataFrame:
     """Cells of a source moved by a pose into the map's lattice, centre to centre; of
     several in one target cell the last by `order` stays."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import folds, scalar as sc
 from .operators import consensus, geometry, ingest, integrate as ig, legacy, maps, rays as ry
-from .params import CAMERA, EMPTY, K_TOP, LIDAR, MapParams
+from .params import CAMERA, EMPTY, LIDAR, MapParams
 from .sources import points, wire
 from .streaming import gates
 from .views import MAP, SQL, beta, beta_map, cloud, obs, rays, sphere, with_views
@@ -1059,12 +1059,60 @@ def _(s, sf):
 
 def frames(s, sf) -> DataFrame:
     """One frame for each source: its occupancy, and class states."""
-    pair = F.struct(*KEY, F.col("a_occ").cast("float").alias("a"), F.col("a_free").cast("float").alias("b"))
-    b = beta(s, sf).groupBy("source").agg(F.array_sort(F.collect_list(pair)).alias("beta"))
-    d = F.struct(*KEY, F.col("other").cast("float").alias("other"), F.array(*[f"cls{k}" for k in range(K_TOP)]).alias("cls"), F.array(*[F.col(f"cnt{k}").cast("float") for k in range(K_TOP)]).alias("cnt"))
-    c = source_classes(s, sf).groupBy("source").agg(F.array_sort(F.collect_list(d)).alias("dir"))
-    none = F.array().cast("array<struct<ix:int,iy:int,iz:int,a:float,b:float>>")
-    return b.join(c, "source").select("source", lit(1).cast("long").alias("msg_seq"), lit(0.5).cast("float").alias("resolution"), lit(14).alias("num_classes"), lit(0.01).cast("float").alias("alpha"), none.alias("tsdf"), "beta", "dir")
+    return wire.frames_of(beta(s, sf), source_classes(s, sf), ["source"], lit(1).cast("long"), 0.5, 14, 0.01)
+
+
+@query("src1_cloud_fields", "SELECT vec_id AS seq, embedding[1]::double AS x, embedding[2]::double AS y, embedding[3]::double AS z, label, vec_id/10.0::double AS t FROM embeddings", "x y z t")
+def _(s, sf):
+    """A cloud whose fields go by other names."""
+    e = s.read.parquet(f"{sf}/embeddings.parquet")
+    at = lambda k: F.get("embedding", lit(k)).cast("double")
+    c = e.select(F.col("vec_id").alias("seq"), at(0).alias("X"), at(1).alias("Y"), at(2).alias("z"), F.col("label").alias("Semantic_Label"), (F.col("vec_id") / 10).alias("timestamp"))
+    return points.cloud_columns(c)
+
+
+@query("src8_diagnostics", "SELECT user_id AS source, event_id AS ts, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value/100.0::double END AS gap, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(event_id % 7 AS INT) END AS rejected FROM events WHERE event_type = 'error'", "gap")
+def _(s, sf):
+    """Status messages of keys and values; what is no number is null."""
+    e = s.read.parquet(f"{sf}/events.parquet").where("event_type = 'error'")
+    pair = lambda k, v: F.struct(lit(k).alias("key"), v.alias("value"))
+    gap = F.when(F.col("event_id") % 3 == 0, "n/a").otherwise((F.col("value") / 100).cast("string"))
+    n = (F.col("event_id") % 7).cast("string")
+    values = F.when(F.col("event_id") % 5 == 0, F.array(pair("state", lit("ok")), pair("accepted_gap_sec", gap))).otherwise(F.array(pair("accepted_gap_sec", gap), pair("consecutive_rejected_updates", n)))
+    return points.diagnostics(e.select(F.col("user_id").alias("source"), F.col("event_id").alias("ts"), values.alias("values")))
+
+
+_CAP = "CASE WHEN other + cnt0 + cnt1 > 3 THEN 3/(other + cnt0 + cnt1) ELSE 1.0::double END"
+
+
+@query("fn36_class_saturation", f"{_SRC} SELECT source, ix, iy, iz, other*{_CAP} AS other, CASE WHEN cls0 <> 65535 THEN greatest(cnt0*{_CAP}, 0.01::double) ELSE cnt0*{_CAP} END AS cnt0, CASE WHEN cls1 <> 65535 THEN greatest(cnt1*{_CAP}, 0.01::double) ELSE cnt1*{_CAP} END AS cnt1 FROM src", "other cnt0 cnt1", "obs")
+def _(s, sf):
+    o, a, b = sc.saturate_dir("other", ["cls0", "cls1"], ["cnt0", "cnt1"], 3.0)
+    return source_classes(s, sf).select("source", *KEY, o.alias("other"), a.alias("cnt0"), b.alias("cnt1"))
+
+
+@query("str6_class_changes", f"{_SRC} SELECT ix, iy, iz, b.cls0 <> a.cls0 OR b.cls1 <> a.cls1 OR (b.other + b.cnt0 + b.cnt1) - (a.other + a.cnt0 + a.cnt1) > 0.1::double*(a.other + a.cnt0 + a.cnt1) AS changed FROM (SELECT * FROM src WHERE source = 0) a JOIN (SELECT * FROM src WHERE source = 1) b USING (ix, iy, iz)", "", "obs")
+def _(s, sf):
+    """Which cells of the second source differ enough in class from the first to be sent."""
+    c = source_classes(s, sf)
+    a, b = (c.where(F.col("source") == k).select(*KEY, *[F.col(x).alias(f"{x}_{k}") for x in _SLOTS]) for k in (0, 1))
+    mass = lambda k: sc.class_mass(f"other_{k}", [f"cnt0_{k}", f"cnt1_{k}"])
+    cls = lambda k: [F.col(f"cls{i}_{k}") for i in (0, 1)]
+    return a.join(b, KEY).select(*KEY, gates.dir_changed(cls(0), cls(1), mass(0), mass(1)).alias("changed"))
+
+
+@query("q7_rolling_window", f"{_PLAN} SELECT gx, gy, value FROM v WHERE gx BETWEEN 3 AND 12 AND gy BETWEEN 1 AND 10", "", "beta")
+def _(s, sf):
+    """The planning grid around a position, snapped to the grid."""
+    x, y, n = maps.rolling_window(8.2, 6.4, 10.0, 1.0)
+    return maps.planning_band(beta_map(s, sf), 0.5, 1.0, MAP, 1.0, 0.8).where(F.col("gx").between(x, x + n - 1) & F.col("gy").between(y, y + n - 1))
+
+
+@query("q11_merge_frames", "SELECT ix, iy, iz, greatest(1.0::double, coalesce(a.a_occ, 1) + coalesce(b.a_occ, 1) - 1) AS a_occ FROM (SELECT * FROM beta WHERE source = 1) a FULL JOIN (SELECT * FROM beta WHERE source = 2) b USING (ix, iy, iz)", "a_occ", "beta")
+def _(s, sf):
+    b = beta(s, sf)
+    one, two = ({"resolution": r, "num_classes": 14, "alpha": 0.01, "beta": b.where(F.col("source") == k)} for k, r in ((1, 0.5), (2, 0.0)))
+    return consensus.merge_frames(one, two, PRIOR)["beta"].select(*KEY, "a_occ")
 
 
 @query("src13_14_snk2_4_wire_round_trip", f"{_SRC} SELECT source, (SELECT count(*) FROM beta WHERE beta.source = s.source AND iz = 1 AND ix < 10) AS n_beta, count(*) AS n_dir, true AS ok FROM src s GROUP BY source", "", "beta obs")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..params import K_TOP
@@ -88,6 +88,19 @@ def decompress(data: bytes) -> bytes:
         raise ValueError("not an LZ4 block") from e
 
 
+def frames_of(beta: DataFrame, classes: DataFrame, by: list[str], msg_seq: Column, resolution: float, num_classes: int, alpha: float) -> DataFrame:
+    """One frame for each group `by` of tables with cells: its occupancy and class states,
+    in order of the cells; a group without classes has none."""
+    key = ["ix", "iy", "iz"]
+    pair = F.struct(*key, F.col("a_occ").cast("float").alias("a"), F.col("a_free").cast("float").alias("b"))
+    b = beta.groupBy(*by).agg(F.array_sort(F.collect_list(pair)).alias("beta"))
+    d = F.struct(*key, F.col("other").cast("float").alias("other"), F.array(*[f"cls{k}" for k in range(K_TOP)]).alias("cls"), F.array(*[F.col(f"cnt{k}").cast("float") for k in range(K_TOP)]).alias("cnt"))
+    c = classes.groupBy(*by).agg(F.array_sort(F.collect_list(d)).alias("dir"))
+    none = lambda kind: F.array().cast(kind)
+    fixed = [F.lit(resolution).cast("float").alias("resolution"), F.lit(num_classes).alias("num_classes"), F.lit(alpha).cast("float").alias("alpha"), none(_PAIRS).alias("tsdf")]
+    return b.join(c, by, "left").select(*by, msg_seq.alias("msg_seq"), *fixed, "beta", F.coalesce("dir", none(_DIRS)).alias("dir"))
+
+
 def encode_frames(frames: DataFrame, share_tsdf: bool = True) -> DataFrame:
     """(source, msg_seq, data) of frames (source, msg_seq and the columns of FRAME)."""
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import centre, is_prior_beta
 from ..operators.consensus import latest, refold_beta
 from ..operators.rays import KEY
-from ..params import MapParams
+from ..params import EMPTY, K_TOP, MapParams
+from ..sources import wire
 from .gates import beta_changed
 
 
@@ -107,6 +108,14 @@ class DeltaPublisher:
         self.sent.write(last.join(new.select(*KEY), KEY, "left_anti").unionByName(new), number)
 
 
+def published(publisher: DeltaPublisher, source: str, number: int) -> DataFrame:
+    """(source, msg_seq, data): the message of what a publisher sent in a batch; none if it sent nothing."""
+    p = publisher.params
+    sent = publisher.deltas.spark.read.schema(publisher.deltas.schema).parquet(f"{publisher.deltas.path}/v={number}").withColumn("source", F.lit(source))
+    none = sent.where("false").select("source", *KEY, F.lit(0.0).alias("other"), *[v for k in range(K_TOP) for v in (F.lit(EMPTY).alias(f"cls{k}"), F.lit(0.0).alias(f"cnt{k}"))])
+    return wire.encode_frames(wire.frames_of(sent, none, ["source"], F.lit(number).cast("long"), p.resolution, p.num_classes, p.alpha))
+
+
 class TransientStream:
     """Cells of things that move: each batch is a frame; what is there fades towards the
     prior first and is forgotten close to it, then the frame's hits are added."""
