@@ -1,7 +1,8 @@
 """Maps kept up to date by micro-batches.
 
 State lives in Parquet tables, one folder for each batch number, so a batch that
-is run again after a failure writes the same folder again.
+is run again after a failure writes the same folder again. Large state is kept as
+what each batch changed and, now and then, a snapshot.
 """
 
 from __future__ import annotations
@@ -27,13 +28,13 @@ class Table:
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path, schema
 
-    def _versions(self) -> list[int]:
+    def _versions(self, kind: str = "v=") -> list[int]:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(p):
             return []
         mark = self.spark._jvm.org.apache.hadoop.fs.Path
-        return sorted(int(n[2:]) for s in fs.listStatus(p) if (n := s.getPath().getName()).startswith("v=") and fs.exists(mark(s.getPath(), "_SUCCESS")))
+        return sorted(int(n[2:]) for s in fs.listStatus(p) if (n := s.getPath().getName()).startswith(kind) and fs.exists(mark(s.getPath(), "_SUCCESS")))
 
     def read(self, below: int | None = None) -> DataFrame:
         v = [x for x in self._versions() if below is None or x < below]
@@ -42,8 +43,48 @@ class Table:
     def write(self, df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
         for v in [x for x in self._versions() if x < batch][: -self.kept]:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v}")
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(f"v={v}")
+
+    def _delete(self, folder: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}")
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+class Keyed(Table):
+    """A state table of which a batch writes the rows that it changed alone. A reader takes
+    of each key the last row below its batch, from the last snapshot on; rows whose
+    column `alive` is null are gone. A snapshot is taken after so many batches, and what
+    is older than the one before it is deleted."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: list[str], alive: str, every: int = 8):
+        super().__init__(spark, path, schema)
+        self.key, self.alive, self.every = key, alive, every
+
+    def read(self, below: int | None = None) -> DataFrame:
+        old = lambda kind: [x for x in self._versions(kind) if below is None or x < below]
+        base = max(old("s="), default=-1)
+        deltas = [x for x in old("v=") if x > base]
+        folders = [(f"s={base}", -1)] * (base >= 0) + [(f"v={x}", x) for x in deltas]
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        parts = [self.spark.read.schema(self.schema).parquet(f"{self.path}/{f}").withColumn("_v", F.lit(x)) for f, x in folders]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        names = [c for c in out.columns if c != "_v"]
+        if deltas:
+            out = out.groupBy(*self.key).agg(F.max_by(F.struct(*[c for c in names if c not in self.key]), "_v").alias("_r")).select(*self.key, "_r.*")
+        return out.where(F.col(self.alive).isNotNull()).select(*names)
+
+    def put(self, df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/v={batch}")
+        base = max((x for x in self._versions("s=") if x < batch), default=-1)
+        if len([x for x in self._versions() if base < x <= batch]) > self.every:
+            self.read(below=batch + 1).write.mode("overwrite").parquet(f"{self.path}/s={batch}")
+            for kind in ("v=", "s="):
+                for x in self._versions(kind):
+                    if x < base or (kind == "v=" and x == base):
+                        self._delete(f"{kind}{x}")
 
 
 class OccupancyStream:
@@ -51,16 +92,15 @@ class OccupancyStream:
 
     def __init__(self, spark: SparkSession, path: str, params: MapParams):
         self.params = params
-        self.beta = Table(spark, f"{path}/beta", "ix int, iy int, iz int, a_occ double, a_free double")
+        self.beta = Keyed(spark, f"{path}/beta", "ix int, iy int, iz int, a_occ double, a_free double", KEY, "a_occ")
         self.touched = Table(spark, f"{path}/touched", "ix int, iy int, iz int")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         new = batch.groupBy(*KEY).agg(F.sum(F.lit(self.params.w_occ) * F.col("quality")).alias("occ"), F.sum("free").alias("free"))
         self.touched.write(new.select(*KEY), number)
-        old = self.beta.read(below=number)
-        m = old.join(new, KEY, "full_outer")
+        m = new.join(self.beta.read(below=number), KEY, "left")
         value = lambda c, n: (F.coalesce(F.col(c), F.lit(1.0)) + F.coalesce(F.col(n), F.lit(0.0))).alias(c)
-        self.beta.write(m.select(*KEY, value("a_occ", "occ"), value("a_free", "free")), number)
+        self.beta.put(m.select(*KEY, value("a_occ", "occ"), value("a_free", "free")), number)
 
 
 class FusedView:
@@ -70,17 +110,15 @@ class FusedView:
 
     def __init__(self, spark: SparkSession, path: str):
         row = "ix int, iy int, iz int, a_occ double, a_free double"
-        self.sources = Table(spark, f"{path}/sources", f"source int, {row}")
-        self.fused = Table(spark, f"{path}/fused", f"{row}, n_sources long")
+        self.sources = Keyed(spark, f"{path}/sources", f"source int, {row}", ["source", *KEY], "a_occ")
+        self.fused = Keyed(spark, f"{path}/fused", f"{row}, n_sources long", KEY, "a_occ")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         new = latest(batch, ["msg_seq", "pos"]).select("source", *KEY, "a_occ", "a_free")
-        old = self.sources.read(below=number)
-        self.sources.write(old.join(new, ["source", *KEY], "left_anti").unionByName(new), number)
+        self.sources.put(new, number)
         cells = new.select(*KEY).distinct()
         again = refold_beta(self.sources.read(below=number + 1), cells)
-        kept = self.fused.read(below=number).join(cells, KEY, "left_anti")
-        self.fused.write(kept.unionByName(again), number)
+        self.fused.put(cells.join(again, KEY, "left"), number)  # cells without evidence are gone
 
 
 class DeltaPublisher:
@@ -92,7 +130,7 @@ class DeltaPublisher:
     def __init__(self, spark: SparkSession, path: str, params: MapParams, band: tuple[float, float] | None = None):
         row = "ix int, iy int, iz int, a_occ double, a_free double"
         self.params, self.band = params, band if band and band[0] < band[1] else None
-        self.sent, self.deltas = Table(spark, f"{path}/sent", row), Table(spark, f"{path}/deltas", row)
+        self.sent, self.deltas = Keyed(spark, f"{path}/sent", row, KEY, "a_occ"), Table(spark, f"{path}/deltas", row)
 
     def __call__(self, states: DataFrame, number: int, snapshot: bool = False, consumer: bool = True) -> None:
         if not consumer:
@@ -104,8 +142,7 @@ class DeltaPublisher:
         before = last.select(*KEY, F.col("a_occ").alias("o"), F.col("a_free").alias("f"))
         changed = F.col("o").isNull() | beta_changed(F.col("o"), F.col("f"), F.col("a_occ"), F.col("a_free")) | F.lit(snapshot)
         self.deltas.write(now.join(before, KEY, "left").where(changed).select(*KEY, "a_occ", "a_free"), number)
-        new = self.deltas.read(below=number + 1)
-        self.sent.write(last.join(new.select(*KEY), KEY, "left_anti").unionByName(new), number)
+        self.sent.put(self.deltas.read(below=number + 1), number)
 
 
 def published(publisher: DeltaPublisher, source: str, number: int) -> DataFrame:
