@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -226,44 +227,20 @@ def linked(column, root: np.ndarray, side: np.ndarray, k: int, num: int, den: in
     return [(int(names[a]), int(names[b])) for a, b in pairs.tolist() if a != b]
 
 
-def _sketch(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(id, n, sid, name, check, sketch, keys, shared, centers) of each document. keys are those
-    that the set enters for its slice of documents: all but the ones that a
-    smaller set of the slice enters, which are in shared, with that set in centers."""
+def _sketch(docs: DataFrame, k: int) -> DataFrame:
+    """(id, n, sid, name, check, sketch) of each document; sid is null without shingles."""
 
     def work(it):
-        bands = Bands(num, den)
         for batch in batches(it):
             sets = shingle_sets(batch.column("text"), k)
             names = [set_name(s) if len(s[0]) else (0, 0) for s in sets]
-            sid = np.array([x for x, _ in names], np.int64)
-            first: dict[tuple[int, int], int] = {}
-            keys: list[np.ndarray] = []
-            for i, (s, _) in enumerate(sets):
-                fresh = len(s) and first.setdefault(names[i], i) == i
-                keys.append(segment_keys(s, bands) if fresh else np.zeros(0, np.uint64))
-            size = np.array([len(x) for x in keys])
-            flat, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), size)
-            order = np.lexsort((sid[owner], flat))
-            fk, fo = flat[order], owner[order]
-            new = np.ones(len(fk), bool)
-            new[1:] = fk[1:] != fk[:-1]
-            center = sid[fo[np.maximum.accumulate(np.where(new, np.arange(len(fk)), 0))]] if len(fk) else np.zeros(0, np.int64)
-            multi = ~new
-            multi[:-1] |= ~new[1:]
-
-            def lists(mask, values):
-                by = np.argsort(fo[mask], kind="stable")
-                ptr = np.concatenate([[0], np.cumsum(np.bincount(fo[mask], minlength=len(keys)))]).astype(np.int32)
-                return pa.ListArray.from_arrays(pa.array(ptr), pa.array(values[mask][by].astype(np.int64)))
-
-            signed = fk.view(np.int64)
-            alone = np.array([not len(s) for s, _ in sets])
-            cols = [batch.column("id"), pa.array([len(s) for s, _ in sets], pa.int64()), pa.array(sid, pa.int64(), mask=alone), pa.array(sid), pa.array([c for _, c in names], pa.int64()), pa.array([parity(s, sketch_bits(len(s))).tobytes() for s, _ in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*cols, lists(new, signed), lists(multi, signed), lists(multi, center)], ["id", "n", "sid", "name", "check", "sketch", "keys", "shared", "centers"])
+            name, n = np.array([x for x, _ in names], np.int64), np.array([len(s) for s, _ in sets], np.int64)
+            raw = [parity(s, sketch_bits(len(s))).tobytes() for s, _ in sets]
+            cols = [batch.column("id"), pa.array(n), pa.array(name, mask=n == 0), pa.array(name), pa.array([c for _, c in names], pa.int64()), pa.array(raw, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "n", "sid", "name", "check", "sketch"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(work, f"id {kind}, n long, sid long, name long, check long, sketch binary, keys array<long>, shared array<long>, centers array<long>")
+    return docs.select("id", "text").mapInArrow(work, f"id {kind}, n long, sid long, name long, check long, sketch binary")
 
 
 def _nodes(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -279,14 +256,46 @@ def _nodes(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
         sketches = materialize(sketches.join(clash, "sid", "left").withColumn("sid", other).drop("lo"), "sketches")
 
 
-def _members(sketches: DataFrame) -> DataFrame:
+def _entries(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(key, sid, center): the buckets that the sets of the documents enter, by name. Of the
+    sets of a slice of documents in one bucket the smallest enters it, without a
+    center; if there are others, all of them are members already, with that center."""
+
+    def work(it):
+        bands = Bands(num, den)
+        for batch in batches(it):
+            sets = {set_name(s): s[0] for s in shingle_sets(batch.column("text"), k) if len(s[0])}
+            if not sets:
+                continue
+            sid = np.array([x for x, _ in sets], np.int64)
+            keys = [segment_keys(s, bands) for s in sets.values()]
+            flat, owner = np.concatenate(keys), np.repeat(sid, [len(x) for x in keys])
+            order = np.lexsort((owner, flat))
+            flat, owner = flat[order], owner[order]
+            new = np.ones(len(flat), bool)
+            new[1:] = flat[1:] != flat[:-1]
+            center = owner[np.maximum.accumulate(np.where(new, np.arange(len(flat)), 0))]
+            multi = ~new
+            multi[:-1] |= ~new[1:]
+            some = np.concatenate([np.flatnonzero(new), np.flatnonzero(multi)])
+            first = np.arange(len(some)) < new.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(flat[some].view(np.int64)), pa.array(owner[some]), pa.array(center[some], mask=first)], ["key", "sid", "center"])
+
+    return docs.select("text").mapInArrow(work, "key long, sid long, center long")
+
+
+def _members(entries: DataFrame) -> DataFrame:
     """(key, sid, center) of every set in a bucket of two sets or more; center is a small
-    one of them. A bucket gets at most one row from each slice, so a frequent key is
-    no large group."""
+    one of them. Of a bucket a task gets at most one row from each slice, and of rows
+    that have their center already a share, so a frequent key is no large group."""
 
     def runs(it):
         key = center = None
         for batch in it:
+            done = batch.filter(pc.is_valid(batch.column("center")))
+            if done.num_rows:
+                yield done
+            batch = batch.filter(pc.is_null(batch.column("center")))
             k, s = (batch.column(c).to_numpy() for c in ("key", "sid"))
             if not len(k):
                 continue
@@ -303,9 +312,8 @@ def _members(sketches: DataFrame) -> DataFrame:
             out = [np.concatenate([k[other], both]), np.concatenate([s[other], c[other][at]]), np.concatenate([c[other], c[other][at]])]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["key", "sid", "center"])
 
-    entered = sketches.select(F.explode("keys").alias("key"), "sid").repartition("key").sortWithinPartitions("key", "sid")
-    within = sketches.select("sid", F.explode(F.arrays_zip("shared", "centers")).alias("x")).select("x.shared", "sid", "x.centers")
-    return entered.mapInArrow(runs, "key long, sid long, center long").union(within)
+    salt = F.when(F.col("center").isNull(), 0).otherwise(F.pmod(F.xxhash64("sid"), F.lit(64)))
+    return entries.repartition("key", salt).sortWithinPartitions("key", "sid").mapInArrow(runs, "key long, sid long, center long")
 
 
 def _parts(c: Column, size: Column) -> Column:
@@ -436,8 +444,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     d = docs.selectExpr(f"`{id_col}` AS id", f"`{text_col}` AS text")
     spark = docs.sparkSession
     with scratch() as own:
-        sketches, nodes = _nodes(materialize(_sketch(d, k, num, den), "sketches"))
-        members = materialize(_members(sketches), "members")
+        sketches, nodes = _nodes(materialize(_sketch(d, k), "sketches"))
+        members = materialize(_members(_entries(d, k, num, den)), "members")
+        if nodes.where("sid <> name").limit(1).count():  # sets that share a name share its buckets
+            members = materialize(members.withColumnRenamed("sid", "name").join(nodes.select("name", "sid"), "name").select("key", "sid", "center"), "members")
         slim = materialize(sketches.select("id", "n", "sid"), "documents")
         discard(sketches)
         release(spark)
