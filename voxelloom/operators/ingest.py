@@ -132,7 +132,8 @@ def medoids(points: DataFrame, size: float, by: list[str], order: str) -> DataFr
 def scan_rays(points: DataFrame, scans: DataFrame, imu: DataFrame, window: float, size: float) -> DataFrame:
     """Rays of scans (scan, t0), for integration: points (scan, seq, dt, x, y, z) turned by
     the gyro since their scan's start, and thinned to one of each cell of a grid."""
-    turned = deskew(points, rotation_knots(gyro_window(scans, imu, window), window))
+    # One exchange by scan serves the means, the join with them and the choice that follow.
+    turned = deskew(points, rotation_knots(gyro_window(scans, imu, window), window)).repartition("scan")
     kept = medoids(turned.select("scan", "seq", "x", "y", "z"), size, ["scan"], "seq")
     here = [lit(0.0).alias(f"o{a}") for a in "xyz"]
     return kept.select(F.col("scan").alias("frame_id"), "seq", *here, *[F.col(a).alias(f"e{a}") for a in "xyz"], lit("hit").alias("kind"), lit(1.0).alias("quality"), lit(False).alias("is_dynamic"), F.array().cast("array<double>").alias("probs"))
