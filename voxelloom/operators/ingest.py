@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import let
 from ..functions.scalar import back_project, grazing_weight, lit, quat_exp, quat_mul, quat_normalise, slerp, transform
 
 
@@ -90,16 +91,22 @@ def rotation_knots(windows: DataFrame, window: float) -> DataFrame:
     one = F.struct(lit(0.0).alias("dt"), lit(1.0).alias("qw"), lit(0.0).alias("qx"), lit(0.0).alias("qy"), lit(0.0).alias("qz"))
     init = F.struct(F.array(one).alias("knots"), F.struct(F.col("t0").alias("t"), *[first[f"w{i}"].alias(f"w{i}") for i in range(3)]).alias("prev"))
 
+    q = ("qw", "qx", "qy", "qz")
+    named = lambda values: F.struct(*[v.alias(c) for v, c in zip(values, q)])
+    parts = lambda x: [x[c] for c in q]
+
     def step(s, e):
-        last, prev = F.element_at(s["knots"], -1), s["prev"]
-        dt = e["t"] - prev["t"]
-        q = quat_normalise(quat_mul([last[c] for c in ("qw", "qx", "qy", "qz")], quat_exp([(prev[f"w{i}"] + e[f"w{i}"]) / 2 * dt for i in range(3)])))
-        knot = F.struct((e["t"] - F.col("t0")).alias("dt"), *[v.alias(c) for v, c in zip(q, ("qw", "qx", "qy", "qz"))])
+        def turned(v):  # by the rotation vector of half the sum of two samples
+            return let(named(quat_exp([v["x"], v["y"], v["z"]])), lambda d: let(named(quat_mul(parts(F.element_at(s["knots"], -1)), parts(d))), lambda m: named(quat_normalise(parts(m)))))
+
+        dt = e["t"] - s["prev"]["t"]
+        v = F.struct(*[((s["prev"][f"w{i}"] + e[f"w{i}"]) / 2 * dt).alias(a) for i, a in enumerate("xyz")])
+        knot = let(let(v, turned), lambda r: F.struct((e["t"] - F.col("t0")).alias("dt"), *[r[c].alias(c) for c in q]))
         return F.struct(F.concat(s["knots"], F.array(knot)).alias("knots"), F.struct(e["t"].alias("t"), *[e[f"w{i}"].alias(f"w{i}") for i in range(3)]).alias("prev"))
 
     folded = F.aggregate(F.filter("samples", lambda e: e["t"] > F.col("t0")), init, step)["knots"]
     end = F.element_at("k", -1)
-    tail = F.array(F.struct(lit(float(window)).alias("dt"), *[end[c].alias(c) for c in ("qw", "qx", "qy", "qz")]))
+    tail = F.array(F.struct(lit(float(window)).alias("dt"), *[end[c].alias(c) for c in q]))
     return windows.withColumn("k", folded).select("scan", F.when(F.size("samples") >= 2, F.concat("k", tail)).alias("knots"))
 
 

@@ -655,9 +655,20 @@ def _(s, sf):
     return ingest.velocity(p, ["user_id"]).select("event_id", "vx")
 
 
-@query("win4_agg16_q13_deskew", None)
+@query(
+    "win4_agg16_q13_deskew",
+    f"""WITH imu AS (SELECT t/3600 AS t, value/500::double AS w FROM {_EV} WHERE event_type = 'click'), sc AS (SELECT event_id AS scan, t/3600 AS t0 FROM {_EV} WHERE event_type = 'view'),
+b AS (SELECT scan, t0, coalesce((SELECT max(t) FROM imu WHERE t <= t0 AND t >= t0 - 1), t0) AS f FROM sc), m AS (SELECT scan, t0, t, w, count(*) OVER (PARTITION BY scan) AS n, first_value(w) OVER (PARTITION BY scan ORDER BY t) AS w0 FROM b JOIN imu ON t >= f AND t <= t0 + 1),
+g AS (SELECT scan, t - t0 AS dt, sqrt(3)*sum((pw + w)/2*(t - pt)) OVER (PARTITION BY scan ORDER BY t) AS a FROM (SELECT *, coalesce(lag(w) OVER (PARTITION BY scan ORDER BY t), w0) AS pw, coalesce(lag(t) OVER (PARTITION BY scan ORDER BY t), t0) AS pt FROM m WHERE n >= 2 AND t > t0)),
+s2 AS (SELECT DISTINCT scan FROM m WHERE n >= 2), kn AS (SELECT scan, 0.0::double AS dt, 0.0::double AS a FROM s2 UNION ALL SELECT * FROM g UNION ALL SELECT s2.scan, 1.0::double, coalesce(arg_max(a, dt), 0) FROM s2 LEFT JOIN g USING (scan) GROUP BY s2.scan),
+sp AS (SELECT scan, dt, a, lead(dt) OVER w AS dt2, lead(a) OVER w AS a2 FROM kn WINDOW w AS (PARTITION BY scan ORDER BY dt)),
+p AS (SELECT scan, CAST(unnest(range(0, 10)) AS INT) AS k FROM sc), r AS (SELECT p.scan, p.k, sp.a + (p.k/10.0::double - sp.dt)/(dt2 - sp.dt)*(a2 - sp.a) AS th FROM p LEFT JOIN sp ON sp.scan = p.scan AND p.k/10.0::double >= sp.dt AND p.k/10.0::double < dt2)
+SELECT scan, k, k/10.0::double AS dt, coalesce(1 + 2*cos(th), 3.0::double)/3 AS x, coalesce((1 - cos(th))/3 + sin(th)/sqrt(3), 0.0::double) AS y, coalesce((1 - cos(th))/3 - sin(th)/sqrt(3), 0.0::double) AS z FROM r""",
+    "dt x y z",
+)
 def _(s, sf):
-    """Rotations folded from gyro samples, then applied to points between them."""
+    """Rotations folded from gyro samples, then applied to points between them. The gyro
+    turns about one axis, so the SQL adds up angles and knows the turned points in closed form."""
     e = _events(s, sf)
     imu = e.where("event_type = 'click'").select((F.col("t") / 3600).alias("t"), *[(F.col("value") / 500).alias(f"w{a}") for a in "xyz"])
     scans = e.where("event_type = 'view'").select(F.col("event_id").alias("scan"), (F.col("t") / 3600).alias("t0"))
