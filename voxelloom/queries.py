@@ -15,7 +15,7 @@ from .operators import consensus, geometry, ingest, integrate as ig, legacy, map
 from .params import CAMERA, EMPTY, LIDAR, MapParams
 from .sources import points, wire
 from .streaming import gates
-from .views import MAP, SQL, beta, beta_map, cloud, obs, rays, sphere, with_views
+from .views import MAP, NEEDS, SQL, beta, beta_map, cloud, obs, rays, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,29 @@ def total(c: str):
 D = "::double"
 P = "(a_occ / (a_occ + a_free))"
 
+_BAND = """r AS (SELECT * FROM (SELECT *, sqrt(ex*ex+ey*ey+ez*ez) AS depth FROM rays WHERE kind = 'hit') WHERE depth >= 1e-4),
+q AS (SELECT *, CAST(floor((ex-{back}*(ex/depth))/0.5::double) AS INT) AS ax, CAST(floor((ey-{back}*(ey/depth))/0.5::double) AS INT) AS ay, CAST(floor((ez-{back}*(ez/depth))/0.5::double) AS INT) AS az,
+  CAST(floor((ex+ex/depth)/0.5::double) AS INT) AS fx, CAST(floor((ey+ey/depth)/0.5::double) AS INT) AS fy, CAST(floor((ez+ez/depth)/0.5::double) AS INT) AS fz,
+  CAST(floor(ex/0.5::double) AS INT) AS hx, CAST(floor(ey/0.5::double) AS INT) AS hy, CAST(floor(ez/0.5::double) AS INT) AS hz FROM r),
+mm AS (SELECT *, greatest(abs(fx-ax), abs(fy-ay), abs(fz-az)) AS m FROM q),
+st AS (SELECT *, unnest(range(0, m+1)) AS i FROM mm),
+vis AS (SELECT DISTINCT seq, frame_id, is_dynamic, depth, ex, ey, ez, hx, hy, hz, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, CAST(iz AS INT) AS iz FROM (
+  SELECT *, ax + (CASE WHEN fx<ax THEN -1 ELSE 1 END)*(CASE WHEN m>0 THEN (2*i*abs(fx-ax)+m)//(2*m) ELSE 0 END) AS ix, ay + (CASE WHEN fy<ay THEN -1 ELSE 1 END)*(CASE WHEN m>0 THEN (2*i*abs(fy-ay)+m)//(2*m) ELSE 0 END) AS iy,
+  az + (CASE WHEN fz<az THEN -1 ELSE 1 END)*(CASE WHEN m>0 THEN (2*i*abs(fz-az)+m)//(2*m) ELSE 0 END) AS iz FROM st
+  UNION ALL SELECT *, 0, hx, hy, hz FROM mm)),
+sd AS (SELECT *, vx*(ex-vx)+vy*(ey-vy)+vz*(ez-vz) AS proj, sqrt((ex-vx)*(ex-vx)+(ey-vy)*(ey-vy)+(ez-vz)*(ez-vz)) AS dist FROM (SELECT *, (ix+0.5::double)*0.5::double AS vx, (iy+0.5::double)*0.5::double AS vy, (iz+0.5::double)*0.5::double AS vz FROM vis)),
+band AS (SELECT *, CASE WHEN abs(proj) >= 1e-12 THEN sign(proj)*dist END AS sdf, ix=hx AND iy=hy AND iz=hz AS at_end FROM sd)"""
+
+
+SQL["surf"] = _BAND.format(back="1.0::double") + ",\nsurf AS (SELECT ix, iy, iz, sum(least(sdf, 1.0::double))/count(*) AS tsdf_d, count(*)::double AS tsdf_w FROM band WHERE sdf > -1 GROUP BY ix, iy, iz)"
+NEEDS["surf"] = ["rays"]
+
+
+def surface(s, sf) -> DataFrame:
+    """The distance field that the rays leave."""
+    return ry.integrate_tsdf(rays(s, sf).where("kind = 'hit'"), MAP)
+
+
 # Scalar functions ------------------------------------------------------------
 
 
@@ -170,11 +193,11 @@ def _(s, sf):
 @query(
     "fn32_35_surface_functions",
     """SELECT ix, iy, iz, greatest(0.0::double, 1-abs(tsdf_d)/0.3::double) AS linear, exp(-tsdf_d*tsdf_d/(2*0.1::double*0.1::double)) AS gauss,
-  CASE WHEN t < 1 THEN (2+cos(2*pi()*t))*(1-t)/3 + sin(2*pi()*t)/(2*pi()) ELSE 0 END AS kernel FROM (SELECT *, abs(tsdf_d)/0.3::double AS t FROM sphere)""",
-    "linear gauss kernel", "sphere",
+  CASE WHEN t < 1 THEN (2+cos(2*pi()*t))*(1-t)/3 + sin(2*pi()*t)/(2*pi()) ELSE 0 END AS kernel FROM (SELECT *, abs(tsdf_d)/0.3::double AS t FROM surf)""",
+    "linear gauss kernel", "surf",
 )
 def _(s, sf):
-    return sphere(s).select(*KEY, sc.tsdf_weight("tsdf_d", 0.3, "linear").alias("linear"), sc.tsdf_weight("tsdf_d", 0.3, "gaussian", 0.1).alias("gauss"), sc.kernel(F.abs("tsdf_d"), 0.3).alias("kernel"))
+    return surface(s, sf).select(*KEY, sc.tsdf_weight("tsdf_d", 0.3, "linear").alias("linear"), sc.tsdf_weight("tsdf_d", 0.3, "gaussian", 0.1).alias("gauss"), sc.kernel(F.abs("tsdf_d"), 0.3).alias("kernel"))
 
 
 @query(
@@ -261,20 +284,6 @@ def _(s, sf):
     return ry.carve_steps(rays(s, sf), MAP).select("seq", F.col("step").cast("int").alias("step"), *KEY)
 
 
-_BAND = """r AS (SELECT * FROM (SELECT *, sqrt(ex*ex+ey*ey+ez*ez) AS depth FROM rays WHERE kind = 'hit') WHERE depth >= 1e-4),
-q AS (SELECT *, CAST(floor((ex-{back}*(ex/depth))/0.5::double) AS INT) AS ax, CAST(floor((ey-{back}*(ey/depth))/0.5::double) AS INT) AS ay, CAST(floor((ez-{back}*(ez/depth))/0.5::double) AS INT) AS az,
-  CAST(floor((ex+ex/depth)/0.5::double) AS INT) AS fx, CAST(floor((ey+ey/depth)/0.5::double) AS INT) AS fy, CAST(floor((ez+ez/depth)/0.5::double) AS INT) AS fz,
-  CAST(floor(ex/0.5::double) AS INT) AS hx, CAST(floor(ey/0.5::double) AS INT) AS hy, CAST(floor(ez/0.5::double) AS INT) AS hz FROM r),
-mm AS (SELECT *, greatest(abs(fx-ax), abs(fy-ay), abs(fz-az)) AS m FROM q),
-st AS (SELECT *, unnest(range(0, m+1)) AS i FROM mm),
-vis AS (SELECT DISTINCT seq, frame_id, is_dynamic, depth, ex, ey, ez, hx, hy, hz, CAST(ix AS INT) AS ix, CAST(iy AS INT) AS iy, CAST(iz AS INT) AS iz FROM (
-  SELECT *, ax + (CASE WHEN fx<ax THEN -1 ELSE 1 END)*(CASE WHEN m>0 THEN (2*i*abs(fx-ax)+m)//(2*m) ELSE 0 END) AS ix, ay + (CASE WHEN fy<ay THEN -1 ELSE 1 END)*(CASE WHEN m>0 THEN (2*i*abs(fy-ay)+m)//(2*m) ELSE 0 END) AS iy,
-  az + (CASE WHEN fz<az THEN -1 ELSE 1 END)*(CASE WHEN m>0 THEN (2*i*abs(fz-az)+m)//(2*m) ELSE 0 END) AS iz FROM st
-  UNION ALL SELECT *, 0, hx, hy, hz FROM mm)),
-sd AS (SELECT *, vx*(ex-vx)+vy*(ey-vy)+vz*(ez-vz) AS proj, sqrt((ex-vx)*(ex-vx)+(ey-vy)*(ey-vy)+(ez-vz)*(ez-vz)) AS dist FROM (SELECT *, (ix+0.5::double)*0.5::double AS vx, (iy+0.5::double)*0.5::double AS vy, (iz+0.5::double)*0.5::double AS vz FROM vis)),
-band AS (SELECT *, CASE WHEN abs(proj) >= 1e-12 THEN sign(proj)*dist END AS sdf, ix=hx AND iy=hy AND iz=hz AS at_end FROM sd)"""
-
-
 @query("gen2_fn33_flt14_band", f"{with_views('rays')},\n{_BAND.format(back='1.0::double')}\nSELECT seq, ix, iy, iz, sdf FROM band", "sdf")
 def _(s, sf):
     return ry.band_cells(rays(s, sf).where("kind = 'hit'"), MAP).select("seq", *KEY, "sdf")
@@ -519,10 +528,10 @@ def _(s, sf):
     return ingest.medoids(c.select("frame_id", "seq", "x", "y", "z"), 2.0, ["frame_id"], "seq")
 
 
-@query("agg17_statistics", "SELECT 'beta' AS grid, count(*) AS cells, count(*)*8 AS bytes FROM (SELECT DISTINCT ix, iy, iz FROM beta) UNION ALL SELECT 'dir', 0, 0 UNION ALL SELECT 'tsdf', count(*), count(*)*8 FROM sphere", "", "beta sphere")
+@query("agg17_statistics", "SELECT 'beta' AS grid, count(*) AS cells, count(*)*8 AS bytes FROM (SELECT DISTINCT ix, iy, iz FROM beta) UNION ALL SELECT 'dir', 0, 0 UNION ALL SELECT 'tsdf', count(*), count(*)*8 FROM surf", "", "beta surf")
 def _(s, sf):
     b = beta(s, sf).select(*KEY).distinct()
-    return maps.statistics(b, b.where("false"), sphere(s))
+    return maps.statistics(b, b.where("false"), surface(s, sf))
 
 
 @query(
@@ -561,9 +570,9 @@ def _(s, sf):
     return consensus.merge_beta(b.where("source = 0"), b.where("source = 1"))
 
 
-@query("join5_merge_tsdf", "SELECT ix, iy, iz, sum(d*w)/sum(w) AS tsdf_d, sum(w) AS tsdf_w FROM (SELECT ix, iy, iz, tsdf_d AS d, tsdf_w AS w FROM sphere UNION ALL SELECT ix + 1, iy, iz, tsdf_d, 3.0::double FROM sphere) GROUP BY ALL", "tsdf_d tsdf_w", "sphere")
+@query("join5_merge_tsdf", "SELECT ix, iy, iz, sum(d*w)/sum(w) AS tsdf_d, sum(w) AS tsdf_w FROM (SELECT ix, iy, iz, tsdf_d AS d, tsdf_w AS w FROM surf UNION ALL SELECT ix + 1, iy, iz, tsdf_d, 3.0::double FROM surf) GROUP BY ALL", "tsdf_d tsdf_w", "surf")
 def _(s, sf):
-    t = sphere(s)
+    t = surface(s, sf)
     return consensus.merge_tsdf(t, t.select((F.col("ix") + 1).alias("ix"), "iy", "iz", "tsdf_d", lit(3.0).alias("tsdf_w")))
 
 
@@ -960,12 +969,12 @@ def _(s, sf):
 
 _COR = ", ".join(f"({k},{c[0]},{c[1]},{c[2]})" for k, c in enumerate(geometry.CORNERS))
 _CUBE = f""", cor(k, dx, dy, dz) AS (VALUES {_COR}),
-cube AS (SELECT CAST(ix-dx AS INT) AS ix, CAST(iy-dy AS INT) AS iy, CAST(iz-dz AS INT) AS iz, {', '.join(f'max(CASE WHEN k={k} THEN tsdf_d END) AS f{k}' for k in range(8))}, CAST(sum(CASE WHEN tsdf_d < 0 THEN 1 << k ELSE 0 END) AS INT) AS cs FROM sphere, cor GROUP BY 1,2,3 HAVING count(*) = 8)"""
+cube AS (SELECT CAST(ix-dx AS INT) AS ix, CAST(iy-dy AS INT) AS iy, CAST(iz-dz AS INT) AS iz, {', '.join(f'max(CASE WHEN k={k} THEN tsdf_d END) AS f{k}' for k in range(8))}, CAST(sum(CASE WHEN tsdf_d < 0 THEN 1 << k ELSE 0 END) AS INT) AS cs FROM surf, cor GROUP BY 1,2,3 HAVING count(*) = 8)"""
 
 
-@query("join2_cubes", f"{_CUBE} SELECT ix, iy, iz, cs FROM cube WHERE cs > 0 AND cs < 255", "", "sphere")
+@query("join2_cubes", f"{_CUBE} SELECT ix, iy, iz, cs FROM cube WHERE cs > 0 AND cs < 255", "", "surf")
 def _(s, sf):
-    return geometry.cubes(sphere(s), 0.5).select(*KEY, F.col("case").alias("cs"))
+    return geometry.cubes(surface(s, sf), 0.5).select(*KEY, F.col("case").alias("cs"))
 
 
 _TRI = ", ".join(f"({c},{t},{a},{e2},{e1})" for c in range(256) for t, (a, e2, e1) in enumerate(geometry.triangles(c)))
@@ -978,24 +987,24 @@ def _xyz(e: int, d: int) -> str:
     return f"(i{'xyz'[d]} + {_B(e, 0, d)} + CASE WHEN abs({_F(e, 0)})+abs({_F(e, 1)}) > 1e-10 THEN {t} ELSE 0.5::double END*({_B(e, 1, d)}-{_B(e, 0, d)}) + 0.5::double)*0.05::double"
 
 
-@query("geo1_q8_gen7_mesh", f"{_CUBE}, tri(cs, tri, e0, e2, e1) AS (VALUES {_TRI}) SELECT ix, iy, iz, CAST(tri AS INT) AS tri, {_xyz(0, 0)} AS x0, {_xyz(1, 1)} AS y1, {_xyz(2, 2)} AS z2 FROM cube JOIN tri USING (cs)", "x0 y1 z2", "sphere")
+@query("geo1_q8_gen7_mesh", f"{_CUBE}, tri(cs, tri, e0, e2, e1) AS (VALUES {_TRI}) SELECT ix, iy, iz, CAST(tri AS INT) AS tri, {_xyz(0, 0)} AS x0, {_xyz(1, 1)} AS y1, {_xyz(2, 2)} AS z2 FROM cube JOIN tri USING (cs)", "x0 y1 z2", "surf")
 def _(s, sf):
-    return geometry.mesh(sphere(s), 0.5, 0.05).select(*KEY, "tri", "x0", "y1", "z2")
+    return geometry.mesh(surface(s, sf), 0.5, 0.05).select(*KEY, "tri", "x0", "y1", "z2")
 
 
-@query("agg19_vertices", f"{_CUBE} SELECT count(DISTINCT (vx, vy, vz, axis)) AS n FROM (" + " UNION ALL ".join(f"SELECT ix+{min(geometry.CORNERS[a][0], geometry.CORNERS[b][0])} AS vx, iy+{min(geometry.CORNERS[a][1], geometry.CORNERS[b][1])} AS vy, iz+{min(geometry.CORNERS[a][2], geometry.CORNERS[b][2])} AS vz, {next(k for k in range(3) if geometry.CORNERS[a][k] != geometry.CORNERS[b][k])} AS axis FROM cube WHERE (f{a} < 0) <> (f{b} < 0)" for a, b in geometry.EDGES) + ")", "", "sphere")
+@query("agg19_vertices", f"{_CUBE} SELECT count(DISTINCT (vx, vy, vz, axis)) AS n FROM (" + " UNION ALL ".join(f"SELECT ix+{min(geometry.CORNERS[a][0], geometry.CORNERS[b][0])} AS vx, iy+{min(geometry.CORNERS[a][1], geometry.CORNERS[b][1])} AS vy, iz+{min(geometry.CORNERS[a][2], geometry.CORNERS[b][2])} AS vz, {next(k for k in range(3) if geometry.CORNERS[a][k] != geometry.CORNERS[b][k])} AS axis FROM cube WHERE (f{a} < 0) <> (f{b} < 0)" for a, b in geometry.EDGES) + ")", "", "surf")
 def _(s, sf):
-    return geometry.mesh_vertices(sphere(s), 0.5, 0.05).agg(F.count("*").alias("n"))
+    return geometry.mesh_vertices(surface(s, sf), 0.5, 0.05).agg(F.count("*").alias("n"))
 
 
-@query("geo2_join3_zero_crossings", ", n AS (" + " UNION ALL ".join(f"SELECT a.ix, a.iy, a.iz, {k} AS axis, a.tsdf_d AS f, b.tsdf_d AS g FROM sphere a JOIN sphere b ON b.ix = a.ix+{int(k == 0)} AND b.iy = a.iy+{int(k == 1)} AND b.iz = a.iz+{int(k == 2)}" for k in range(3)) + ") SELECT ix, iy, iz, CAST(axis AS INT) AS axis, (ix + CASE WHEN axis = 0 THEN abs(f)/(abs(f)+abs(g)) ELSE 0 END + 0.5::double)*0.05::double AS x FROM n WHERE (f > 0) <> (g > 0)", "x", "sphere")
+@query("geo2_join3_zero_crossings", ", n AS (" + " UNION ALL ".join(f"SELECT a.ix, a.iy, a.iz, {k} AS axis, a.tsdf_d AS f, b.tsdf_d AS g FROM surf a JOIN surf b ON b.ix = a.ix+{int(k == 0)} AND b.iy = a.iy+{int(k == 1)} AND b.iz = a.iz+{int(k == 2)}" for k in range(3)) + ") SELECT ix, iy, iz, CAST(axis AS INT) AS axis, (ix + CASE WHEN axis = 0 THEN abs(f)/(abs(f)+abs(g)) ELSE 0 END + 0.5::double)*0.05::double AS x FROM n WHERE (f > 0) <> (g > 0)", "x", "surf")
 def _(s, sf):
-    return geometry.zero_crossings(sphere(s), 0.5, 0.05).select(*KEY, "axis", "x")
+    return geometry.zero_crossings(surface(s, sf), 0.5, 0.05).select(*KEY, "axis", "x")
 
 
-@query("geo3_surface_points", "SELECT ix, iy, iz, (ix+0.5::double)*0.05::double AS x, tsdf_d, tsdf_w FROM sphere", "x tsdf_d tsdf_w", "sphere")
+@query("geo3_surface_points", "SELECT ix, iy, iz, (ix+0.5::double)*0.05::double AS x, tsdf_d, tsdf_w FROM surf", "x tsdf_d tsdf_w", "surf")
 def _(s, sf):
-    return geometry.surface_points(sphere(s), 0.5, 0.05).select(*KEY, "x", "tsdf_d", "tsdf_w")
+    return geometry.surface_points(surface(s, sf), 0.5, 0.05).select(*KEY, "x", "tsdf_d", "tsdf_w")
 
 
 _DK = "STRUCT(x DOUBLE, f INT, fr INT, i DOUBLE)"
@@ -1175,12 +1184,12 @@ def _(s, sf):
 
 @query("snk10_ply", None)
 def _(s, sf):
-    return wire.ply_lines(geometry.mesh(sphere(s), 0.5, 0.05))
+    return wire.ply_lines(geometry.mesh(surface(s, sf), 0.5, 0.05))
 
 
-@query("snk11_tsdf_rows", "SELECT ix, iy, iz, tsdf_d, tsdf_w FROM sphere WHERE tsdf_w > 0", "tsdf_d tsdf_w", "sphere")
+@query("snk11_tsdf_rows", "SELECT ix, iy, iz, tsdf_d, tsdf_w FROM surf WHERE tsdf_w > 0", "tsdf_d tsdf_w", "surf")
 def _(s, sf):
-    return sphere(s).where("tsdf_w > 0")
+    return surface(s, sf).where("tsdf_w > 0")
 
 
 @query("snk1_nested_snapshot", f"{_SRC} SELECT b.ix, b.iy, b.iz, a_occ, CAST((CASE WHEN cls0 <> 65535 AND cnt0 > 0.01::double THEN 1 ELSE 0 END) + (CASE WHEN cls1 <> 65535 AND cnt1 > 0.01::double THEN 1 ELSE 0 END) AS INT) AS slots, greatest(CASE WHEN cls0 <> 65535 THEN cnt0 - 0.01::double ELSE 0 END, CASE WHEN cls1 <> 65535 THEN cnt1 - 0.01::double ELSE 0 END, 0.0::double) AS best FROM (SELECT * FROM beta WHERE source = 0) b LEFT JOIN (SELECT * FROM src WHERE source = 0) s USING (ix, iy, iz)", "a_occ best", "beta obs")
@@ -1190,9 +1199,9 @@ def _(s, sf):
     return p.select(*KEY, "a_occ", F.size("slots").alias("slots"), F.coalesce(F.array_max(F.transform("slots", lambda x: x["cnt"])), lit(0.0)).alias("best"))
 
 
-@query("snk7_labelled_surface", f"{_SRC}, l AS (SELECT ix, iy, iz, {_DOM} AS label FROM src WHERE source = 0) SELECT p.ix, p.iy, p.iz, coalesce(label, 65535) AS label FROM sphere p LEFT JOIN l ON l.ix = floor((p.ix+0.5::double)*0.25::double/0.5::double) AND l.iy = floor((p.iy+0.5::double)*0.25::double/0.5::double) AND l.iz = floor((p.iz+0.5::double)*0.25::double/0.5::double)", "", "obs sphere")
+@query("snk7_labelled_surface", f"{_SRC}, l AS (SELECT ix, iy, iz, {_DOM} AS label FROM src WHERE source = 0) SELECT p.ix, p.iy, p.iz, coalesce(label, 65535) AS label FROM surf p LEFT JOIN l ON l.ix = floor((p.ix+0.5::double)*0.25::double/0.5::double) AND l.iy = floor((p.iy+0.5::double)*0.25::double/0.5::double) AND l.iz = floor((p.iz+0.5::double)*0.25::double/0.5::double)", "", "obs surf")
 def _(s, sf):
-    p = geometry.surface_points(sphere(s), 0.5, 0.25).select(F.col("ix").alias("px"), F.col("iy").alias("py"), F.col("iz").alias("pz"), "x", "y", "z")
+    p = geometry.surface_points(surface(s, sf), 0.5, 0.25).select(F.col("ix").alias("px"), F.col("iy").alias("py"), F.col("iz").alias("pz"), "x", "y", "z")
     got = maps.labels_at(p, source_classes(s, sf).where("source = 0"), MAP)
     return got.select(F.col("px").alias("ix"), F.col("py").alias("iy"), F.col("pz").alias("iz"), "label")
 

@@ -177,13 +177,18 @@ def ply_lines(triangles: DataFrame) -> DataFrame:
     n = triangles.count()
     head = ["ply", "format ascii 1.0", f"element vertex {3 * n}", "property float x", "property float y", "property float z", f"element face {n}", "property list uchar int vertex_indices", "end_header"]
     h = spark.createDataFrame([(0, i, x) for i, x in enumerate(head)], "part int, n long, line string")
-    t = triangles.select(F.row_number().over(_order(triangles)).cast("long").alias("r"), *[c for c in triangles.columns if c[-1] in "012"])
+    t = _numbered(triangles).select("r", *[c for c in triangles.columns if c[-1] in "012"])
     v = t.select(F.col("r"), F.posexplode(F.array(*[F.concat_ws(" ", *[F.round(f"{a}{i}", 6).cast("string") for a in "xyz"]) for i in range(3)]))).select(F.lit(1).alias("part"), (F.col("r") * 3 + F.col("pos")).alias("n"), F.col("col").alias("line"))
     f = t.select(F.lit(2).alias("part"), F.col("r").alias("n"), F.concat_ws(" ", F.lit("3"), *[((F.col("r") - 1) * 3 + i).cast("string") for i in range(3)]).alias("line"))
     return h.union(v).union(f)
 
 
-def _order(t: DataFrame):
+def _numbered(t: DataFrame) -> DataFrame:
+    """Triangles with r, their number from 1 in the order of ix, iy, iz and tri: counted
+    by ix first, so that a single task sees a row for each ix alone."""
     from pyspark.sql import Window
 
-    return Window.orderBy(*[c for c in ("ix", "iy", "iz", "tri") if c in t.columns])
+    before = Window.orderBy("ix").rowsBetween(Window.unboundedPreceding, -1)
+    slabs = t.groupBy("ix").count().select("ix", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    own = F.row_number().over(Window.partitionBy("ix").orderBy("iy", "iz", "tri"))
+    return t.withColumn("own", own).join(slabs, "ix").withColumn("r", (F.col("first") + F.col("own")).cast("long")).drop("own", "first")

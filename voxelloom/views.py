@@ -57,14 +57,6 @@ def beta_map(spark: SparkSession, sf: str) -> DataFrame:
     return beta(spark, sf).where("source = 0").drop("source")
 
 
-def sphere(spark: SparkSession, n: int = 10) -> DataFrame:
-    """The distance field of a sphere of seven cells."""
-    side = lambda c: F.explode(F.sequence(lit(-n), lit(n))).alias(c)
-    g = spark.range(1).select(side("ix")).select("ix", side("iy")).select("ix", "iy", side("iz"))
-    r2 = F.col("ix") * F.col("ix") + F.col("iy") * F.col("iy") + F.col("iz") * F.col("iz")
-    return g.select("ix", "iy", "iz", F.round(lit(0.35) - lit(0.05) * F.sqrt(r2.cast("double")), 9).alias("tsdf_d"), lit(1.0).alias("tsdf_w"))
-
-
 #: The same in DuckDB: each begins with a name that the next may use.
 SQL = {
     "obs": """obs AS (SELECT event_id AS seq, CAST(CAST(ts AS DATE) - DATE '2024-01-01' AS INT) AS frame_id, CAST(user_id % 3 AS INT) AS source, CAST(user_id % 8 AS INT) AS ix,
@@ -77,8 +69,6 @@ SQL = {
     "beta": """beta AS (SELECT CAST(l_suppkey % 3 AS INT) AS source, CAST(l_partkey % 40 AS INT) AS ix, CAST(l_orderkey % 40 AS INT) AS iy, CAST(l_linenumber AS INT) AS iz,
   1.0::double + sum(CASE WHEN l_returnflag='A' THEN l_quantity ELSE 0.0::double END)/10.0::double AS a_occ, 1.0::double + sum(CASE WHEN l_returnflag<>'A' THEN l_quantity ELSE 0.0::double END)/10.0::double AS a_free
   FROM lineitem GROUP BY 1,2,3,4)""",
-    "sphere": """sphere AS (SELECT CAST(a.i AS INT) AS ix, CAST(b.i AS INT) AS iy, CAST(c.i AS INT) AS iz, round(0.35::double - 0.05::double*sqrt((a.i*a.i+b.i*b.i+c.i*c.i)::double), 9) AS tsdf_d, 1.0::double AS tsdf_w
-  FROM range(-10,11) a(i), range(-10,11) b(i), range(-10,11) c(i))""",
     "k": """k AS (SELECT *, CAST(floor(ox/0.5::double) AS INT) AS ax, CAST(floor(oy/0.5::double) AS INT) AS ay, CAST(floor(oz/0.5::double) AS INT) AS az, CAST(floor(ex/0.5::double) AS INT) AS bx, CAST(floor(ey/0.5::double) AS INT) AS by_, CAST(floor(ez/0.5::double) AS INT) AS bz FROM rays)""",
     "walk": """m AS (SELECT *, greatest(abs(bx-ax), abs(by_-ay), abs(bz-az)) AS m FROM k),
 s AS (SELECT *, CAST(unnest(range(0, CASE WHEN kind = 'miss' THEN m+1 ELSE m END)) AS INT) AS step FROM m),
@@ -97,7 +87,7 @@ ro AS (SELECT *, 1 + (sum(occ::DECIMAL(28,12)) OVER w)::double AS o, 1 + (sum(fr
 run AS (SELECT *, o/(o + f) AS p FROM ro WHERE phase = 1)""",
     "occ": """occ AS (SELECT ix, iy, iz, 1 + sum(o) AS a_occ, 1 + sum(f) AS a_free FROM (SELECT ix, iy, iz, quality AS o, 0.0::double AS f FROM hits WHERE NOT is_dynamic UNION ALL SELECT ix, iy, iz, 0.0::double, inc FROM carve) GROUP BY ALL)""",
 }
-_NEEDS = {"rays": ["cloud"], "k": ["rays"], "walk": ["k"], "hits": ["k"], "carve": ["walk", "hits"], "occ": ["carve"], "parts": ["rays"], "run": ["carve"]}
+NEEDS = {"rays": ["cloud"], "k": ["rays"], "walk": ["k"], "hits": ["k"], "carve": ["walk", "hits"], "occ": ["carve"], "parts": ["rays"], "run": ["carve"]}
 
 
 def with_views(*names: str) -> str:
@@ -105,7 +95,7 @@ def with_views(*names: str) -> str:
     done: list[str] = []
 
     def add(n: str) -> None:
-        for x in _NEEDS.get(n, []):
+        for x in NEEDS.get(n, []):
             add(x)
         if n not in done:
             done.append(n)
