@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,44 +25,42 @@ def dir_changed(last_cls: list[Column], cls: list[Column], last_mass: Column, ma
     return differs | (mass - last_mass > GROWTH * last_mass)
 
 
-def in_order(df: DataFrame, by: list[str], order: str, columns: list[str], start, step, schema: str) -> DataFrame:
-    """A state machine over the rows of each group: (by, order, ..) with a row for each
-    that step(state, row) gives, where row holds `columns` and state begins as
-    start(). Groups are sorted, and their rows pass by one after another, so a group
-    of any length takes no memory."""
-    rows = df.select(*by, order, *columns).repartition(*by).sortWithinPartitions(*by, order)
-    names = [*by, order, *[c.split()[0] for c in schema.split(", ")]]
-    arrow = [pa.bool_() if c.endswith("boolean") else pa.float64() for c in schema.split(", ")]
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*by, order])
+#: Rows of a part of what a fold gives out.
+PART = 256
 
-    def work(it):
-        key, state = None, None
-        for batch in it:
-            out = []
-            for k, row in zip(zip(*(batch.column(c).to_pylist() for c in by)), zip(*(batch.column(c).to_pylist() for c in [order, *columns]))):
-                if k != key:
-                    key, state = k, start()
-                state, result = step(state, row)
-                out.append(result)
-            more = [pa.array(x, kind) for x, kind in zip(zip(*out) if out else [()] * len(arrow), arrow)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*by, order]), *more], names)
 
-    return rows.mapInArrow(work, f"{kinds}, {schema}")
+def grown(s: Column, row: Column) -> list[Column]:
+    """The fields part and parts of a fold's state with one more row. Parts are of PART rows, so a
+    step copies that many at most, and not all rows given out before."""
+    full = F.size(s["part"]) >= PART
+    return [F.when(full, F.array(row)).otherwise(F.concat(s["part"], F.array(row))).alias("part"), F.when(full, F.concat(s["parts"], F.array(s["part"]))).otherwise(s["parts"]).alias("parts")]
+
+
+def nothing(row: str) -> list[Column]:
+    """The fields part and parts at the start of a fold that gives out rows of a type."""
+    return [F.array().cast(f"array<{row}>").alias("part"), F.array().cast(f"array<array<{row}>>").alias("parts")]
+
+
+def given(s: Column) -> Column:
+    """All rows that a fold has given out."""
+    return F.concat(F.flatten(s["parts"]), s["part"])
 
 
 def change_gate(states: DataFrame, by: list[str], order: str) -> DataFrame:
     """(by, order, a_occ, a_free, emit): successive states of each cell; the first is
     emitted, later ones when they differ enough from the last emitted one."""
+    events = F.array_sort(F.collect_list(F.struct(order, "a_occ", "a_free")))
+    kind = f"struct<{order}:{states.schema[order].dataType.simpleString()},a_occ:double,a_free:double,emit:boolean>"
+    init = F.struct(lit(False).alias("any"), lit(1.0).alias("occ"), lit(1.0).alias("free"), *nothing(kind))
 
-    def step(last, row):
-        _, occ, free = row
-        emit = last is None
-        if not emit:
-            s0, s1 = last[0] + last[1], occ + free
-            emit = abs(occ / s1 - last[0] / s0) > P_STEP or s1 - s0 > GROWTH * s0
-        return ((occ, free) if emit else last), (occ, free, emit)
+    def step(s, e):
+        emit = ~s["any"] | beta_changed(s["occ"], s["free"], e["a_occ"], e["a_free"])
+        row = F.struct(e[order].alias(order), e["a_occ"].alias("a_occ"), e["a_free"].alias("a_free"), emit.alias("emit"))
+        keep = lambda new, old: F.when(emit, e[new]).otherwise(s[old])
+        return F.struct(lit(True).alias("any"), keep("a_occ", "occ").alias("occ"), keep("a_free", "free").alias("free"), *grown(s, row))
 
-    return in_order(states, by, order, ["a_occ", "a_free"], lambda: None, step, "a_occ double, a_free double, emit boolean")
+    g = states.groupBy(*by).agg(events.alias("ev")).select(*by, F.aggregate("ev", init, step, given).alias("out"))
+    return g.select(*by, F.explode("out").alias("o")).select(*by, "o.*")
 
 
 def pose_gate(poses: DataFrame, by: list[str], startup: float = 0.5, runtime: float = 1.0, hold: float = 2.0) -> DataFrame:
@@ -72,18 +69,21 @@ def pose_gate(poses: DataFrame, by: list[str], startup: float = 0.5, runtime: fl
     runtime one), and until a jump above the runtime threshold."""
     w = Window.partitionBy(*by).orderBy("t")
     d2 = sum(((F.col(f"t{a}") - F.lag(f"t{a}").over(w)) * (F.col(f"t{a}") - F.lag(f"t{a}").over(w)) for a in "yz"), (F.col("tx") - F.lag("tx").over(w)) * (F.col("tx") - F.lag("tx").over(w)))
-    jumps = poses.select(*by, "t", F.sqrt(d2).alias("jump"))
+    j = poses.select(*by, "t", F.sqrt(d2).alias("jump"))
+    init = F.struct(lit(False).alias("stable"), lit(False).alias("initial"), lit(0.0).alias("since"), *nothing("struct<t:double,jump:double,stable:boolean>"))
 
-    def step(state, row):
-        (stable, initial, since), (t, jump) = state, row
-        if stable and jump is not None and jump > runtime:
-            stable, since = False, t
-        again = not stable and (jump is None or jump > (runtime if initial else startup))
-        since = t if again else since
-        now = stable or (not again and t - since >= hold)
-        return (now, initial or now, since), (jump, now)
+    def step(s, e):
+        lost = s["stable"] & F.coalesce(e["jump"] > runtime, lit(False))
+        stable, since = s["stable"] & ~lost, F.when(lost, e["t"]).otherwise(s["since"])
+        limit = F.when(s["initial"], runtime).otherwise(startup)
+        again = ~stable & (e["jump"].isNull() | (e["jump"] > limit))
+        since = F.when(again, e["t"]).otherwise(since)
+        now = stable | (~again & (e["t"] - since >= hold))
+        row = F.struct(e["t"].alias("t"), e["jump"].alias("jump"), now.alias("stable"))
+        return F.struct(now.alias("stable"), (s["initial"] | now).alias("initial"), since.alias("since"), *grown(s, row))
 
-    return in_order(jumps, by, "t", ["jump"], lambda: (False, False, 0.0), step, "jump double, stable boolean")
+    g = j.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("t", "jump"))).alias("ev"))
+    return g.select(*by, F.explode(F.aggregate("ev", init, step, given)).alias("o")).select(*by, "o.*")
 
 
 def rejects(gap: Column, rejected: Column, max_gap: float = 0.5, max_rejected: int = 3) -> Column:
@@ -104,12 +104,15 @@ def rate_limited(ticks: DataFrame, by: list[str], interval: float) -> DataFrame:
     """(by, t): of each group's ticks those that are sent: the first, and each one at least
     `interval` after the last sent. Frames that come while one is worked on for that
     long are dropped in the same way."""
+    init = F.struct(lit(None).cast("double").alias("last"), *nothing("double"))
 
-    def step(last, row):
-        send = last is None or row[0] - last >= interval
-        return (row[0] if send else last), (send,)
+    def step(s, t):
+        send = s["last"].isNull() | (t - s["last"] >= interval)
+        part, parts = grown(s, t)
+        return F.struct(F.when(send, t).otherwise(s["last"]).alias("last"), F.when(send, part).otherwise(s["part"]).alias("part"), F.when(send, parts).otherwise(s["parts"]).alias("parts"))
 
-    return in_order(ticks.distinct(), by, "t", [], lambda: None, step, "sent boolean").where("sent").drop("sent")
+    g = ticks.groupBy(*by).agg(F.array_sort(F.collect_list(F.col("t").cast("double"))).alias("all"))
+    return g.select(*by, F.explode(F.aggregate("all", init, step, given)).alias("t"))
 
 
 def coalesced(states: DataFrame, by: list[str], order: str, every: int) -> DataFrame:
