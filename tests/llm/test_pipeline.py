@@ -69,7 +69,8 @@ def test_stages_on_odd_tables(spark):
             got = out.count()
             assert got <= n
             if n and name == "quality":
-                assert got == 60 + 1 + 3 and out.where("doc_id IS NULL").count() == 1
+                # the three added rows stay, short and empty texts go, and so does the one that is far longer than all others
+                assert got == 60 + 3 and out.where("doc_id IS NULL").count() == 1
             if n and name == "near_duplicates":  # row 0 twice and its other text, the copy without an id
                 assert got == n - 1 and out.where("doc_id = 0").count() == 2
             if n and name == "benchmark_passages":
