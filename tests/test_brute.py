@@ -125,6 +125,24 @@ def test_windows_of_many_samples_are_not_listed(spark):
     assert g.agg(F.sum("n"), F.sum("wx")).first()[:] == (4000 * 4000, 2000.0 * 4000)
 
 
+def test_points_turn_as_by_listed_windows(spark):
+    imu, scans = windows_of_scans()
+    imu += [(200 + k / 300, 0.3 * math.sin(k), -0.2, k % 7 / 5) for k in range(1500)] + [(None, 1.0, 1.0, 1.0)]
+    scans += [(900 + k, 200 + k * 0.37) for k in range(14)]
+    s, i = spark.createDataFrame([*scans, (999, None)], "scan int, t0 double"), spark.createDataFrame(imu, "t double, wx double, wy double, wz double")
+    dts = [-0.5, 0.0, 0.01, 0.3, 0.75, 1.2, 1.5, 9.0, None]
+    pts = spark.createDataFrame([(n, k, d, 1.0, 0.5, -2.0) for n in [*(x for x, _ in scans), 999, 1000] for k, d in enumerate(dts)], "scan int, k int, dt double, x double, y double, z double")
+    want = {(r.scan, r.k): r for r in ingest.deskew(pts, ingest.rotation_knots(ingest.gyro_window(s, i, 1.5), 1.5)).collect()}
+    got = ingest.turn_points(pts, s, i, 1.5)
+    assert got.columns == pts.columns
+    rows = got.collect()
+    assert len(rows) == len(want) == pts.count()
+    for r in rows:
+        e = want[r.scan, r.k]
+        assert r.dt == e.dt and (r.x, r.y, r.z) == pytest.approx((e.x, e.y, e.z), abs=1e-11), (r, e)
+    assert any(abs(r.x - 1) > 0.1 for r in rows)
+
+
 def test_grazing_of_a_plane(spark):
     rows = [(0, u, v, (u - 2) * 0.1, (v - 2) * 0.1, 2.0) for u in range(5) for v in range(5)]
     g = ingest.grazing(spark.createDataFrame(rows, "frame_id int, u int, v int, px double, py double, pz double"), 1, 0.3)

@@ -70,16 +70,22 @@ def quat_normalise(q: list) -> list[Column]:
     return [x / n for x in q]
 
 
-def slerp(a: list, b: list, t) -> list[Column]:
-    """Between two unit quaternions, along the shorter arc."""
-    a, b, t = [_c(x) for x in a], [_c(x) for x in b], _c(t)
-    d = sum((x * y for x, y in zip(a[1:], b[1:])), a[0] * b[0])
+def slerp_shares(d, t) -> list[Column]:
+    """The shares of two unit quaternions, whose product is d, in the one between them."""
+    d, t = _c(d), _c(t)
     sign, d = F.when(d < 0, -1.0).otherwise(1.0), F.least(F.abs(d), lit(1.0))
     angle = F.acos(d)
     near = d > 1 - 1e-9
     u = F.when(near, 1 - t).otherwise(F.sin((1 - t) * angle) / F.sin(angle))
     v = F.when(near, t).otherwise(F.sin(t * angle) / F.sin(angle))
-    return [u * x + v * sign * y for x, y in zip(a, b)]
+    return [u, v * sign]
+
+
+def slerp(a: list, b: list, t) -> list[Column]:
+    """Between two unit quaternions, along the shorter arc."""
+    a, b = [_c(x) for x in a], [_c(x) for x in b]
+    u, v = slerp_shares(sum((x * y for x, y in zip(a[1:], b[1:])), a[0] * b[0]), t)
+    return [u * x + v * y for x, y in zip(a, b)]
 
 
 # Images and points
